@@ -19,28 +19,29 @@ LUMA = (0.299, 0.587, 0.114)
 def band_stats(blocks, keys=("scene", "band")):
     """Limits, percentiles and least positive value per band."""
     keys = list(keys)
-    positive = F.filter("data", lambda v: finite(v) & (v > 0))
-    least = blocks.groupBy(*keys).agg(F.min(F.array_min(positive)).alias("min_positive"))
+    least = blocks.groupBy(*keys).agg(F.min(F.array_min(_positive("data"))).alias("min_positive"))
     q = block_quantiles(blocks, keys, [LOW, HIGH])
     return least.join(
         q.select(*keys, "n", "vmin", "vmax", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")), keys, "left"
     )
 
 
-def to_db_blocks(blocks, keys=("scene", "band"), where=None):
+def _positive(name):
+    return F.filter(name, lambda v: finite(v) & (v > 0))
+
+
+def _decibel(name, least):
+    """Array in dB; the floor lies below the least positive value."""
+    floor = F.coalesce(F.greatest(least * DB_SHARE, F.lit(DB_FLOOR)), F.lit(DB_FLOOR))
+    return F.transform(name, lambda v: 10.0 * F.log10(F.greatest(F.when(finite(v), v).otherwise(0.0), floor)))
+
+
+def to_db_blocks(blocks, keys=("scene", "band")):
     """Replace ``data`` by 10*log10 with a floor below the least positive value."""
     keys = list(keys)
-    positive = F.filter("data", lambda v: finite(v) & (v > 0))
-    least = blocks.groupBy(*keys).agg(F.min(F.array_min(positive)).alias("_least"))
-    floor = F.coalesce(F.greatest(F.col("_least") * DB_SHARE, F.lit(DB_FLOOR)), F.lit(DB_FLOOR))
-    rows = salted_join(blocks, least, keys, ["by", "bx"]).withColumn("_floor", floor)
-    scaled = F.transform(
-        "data",
-        lambda v: 10.0 * F.log10(F.greatest(F.when(finite(v), v).otherwise(0.0), F.col("_floor"))),
-    )
-    if where is not None:
-        scaled = F.when(where, scaled).otherwise(F.col("data"))
-    return rows.withColumn("data", scaled).drop("_least", "_floor")
+    least = blocks.groupBy(*keys).agg(F.min(F.array_min(_positive("data"))).alias("_least"))
+    rows = salted_join(blocks, least, keys, ["by", "bx"])
+    return rows.withColumn("data", _decibel("data", F.col("_least"))).drop("_least")
 
 
 def _limited(blocks, keys):
@@ -78,51 +79,38 @@ def stretch_trunc(blocks, keys=("scene", "band")):
     return rows.select(*keys, "y", "x", value.cast("int").alias("u8"))
 
 
-def channel_map(scenes):
-    """Source bands of each display channel (channel, b0, b1) per scene."""
-    n, sar = F.col("band_count"), F.col("is_sar")
-
-    def channels(*pairs):
-        return F.array(*[
-            F.struct(F.lit(i).alias("channel"), F.lit(a).alias("b0"), F.lit(b).cast("int").alias("b1"))
-            for i, (a, b) in enumerate(pairs)
-        ])
-
-    chosen = (
-        F.when(n == 1, channels((1, None), (1, None), (1, None)))
-        .when(n == 2, channels((1, None), (2, None), (1, 2)))
-        .when((n == 4) & ~sar, channels((3, None), (2, None), (1, None)))
-        .when(n.isin(12, 13), channels((4, None), (3, None), (2, None)))
-        .otherwise(channels((1, None), (2, None), (3, None)))
-    )
-    return scenes.select("scene", "is_sar", F.explode(chosen).alias("c")).select("scene", "is_sar", "c.*")
+def bands_wide(blocks, bands, names):
+    """Chosen bands of a block side by side: one bounded group per block."""
+    pick = [F.max(F.when(F.col("band") == b, F.col("data"))).alias(n) for b, n in zip(bands, names)]
+    return blocks.where(F.col("band").isin(list(bands))).groupBy("scene", "by", "bx", "h", "w").agg(*pick)
 
 
 def display_rgb(blocks, scenes):
     """Display composite per scene: (scene, channel, y, x, u8).
 
-    SAR bands are dB-scaled before the two-band mean and before the stretch.
+    A block's first four bands are laid side by side, so the channels are
+    expressions.  SAR bands are dB-scaled before the two-band mean and before
+    the stretch.
     """
-    sar = scenes.select("scene", F.coalesce("is_sar", F.lit(False)).alias("is_sar"))
-    ready = to_db_blocks(salted_join(blocks, sar, ["scene"], ["by", "bx"]), where=F.col("is_sar")).drop("is_sar")
-    channels = channel_map(scenes.drop("is_sar").join(sar, "scene")).drop("is_sar")
-    # few rows per scene on the right; the block side is what gets cut
-    main = salted_join(ready.withColumnRenamed("band", "b0"), channels, ["scene", "b0"], ["by", "bx"])
-    second = salted_join(
-        ready.select("scene", F.col("band").alias("b1"), "by", "bx", F.col("data").alias("other")),
-        channels.where("b1 is not null").select("scene", "channel", "b1"), ["scene", "b1"], ["by", "bx"],
-    ).select("scene", "channel", "by", "bx", "other")
-    joined = main.join(second, ["scene", "channel", "by", "bx"], "left")
-    mixed = F.when(
-        F.col("b1").isNotNull(), F.zip_with("data", "other", lambda p, q: (p + q) / 2.0)
-    ).otherwise(F.col("data"))
-    return stretch(joined.select("scene", "channel", "by", "bx", "h", "w", mixed.alias("data")), ("scene", "channel"))
-
-
-def bands_wide(blocks, bands, names):
-    """Chosen bands of a block side by side: one bounded group per block."""
-    pick = [F.max(F.when(F.col("band") == b, F.col("data"))).alias(n) for b, n in zip(bands, names)]
-    return blocks.where(F.col("band").isin(list(bands))).groupBy("scene", "by", "bx", "h", "w").agg(*pick)
+    names = ("d1", "d2", "d3", "d4")
+    wide = bands_wide(blocks, (1, 2, 3, 4), names)
+    least = wide.groupBy("scene").agg(*[F.min(F.array_min(_positive(n))).alias(f"least_{n}") for n in names])
+    facts = scenes.select("scene", "band_count", F.coalesce("is_sar", F.lit(False)).alias("is_sar")).join(least, "scene")
+    rows = salted_join(wide, facts, ["scene"], ["by", "bx"])
+    rows = rows.withColumns({
+        n: F.when(F.col("is_sar"), _decibel(n, F.col(f"least_{n}"))).otherwise(F.col(n)) for n in names})
+    d1, d2, d3, d4 = (F.col(n) for n in names)
+    mean = F.zip_with("d1", "d2", lambda p, q: (p + q) / 2.0)
+    n, sar = F.col("band_count"), F.col("is_sar")
+    channels = (
+        F.when(n == 1, F.array(d1, d1, d1))
+        .when(n == 2, F.array(d1, d2, mean))
+        .when((n == 4) & ~sar, F.array(d3, d2, d1))
+        .when(n.isin(12, 13), F.array(d4, d3, d2))
+        .otherwise(F.array(d1, d2, d3))
+    )
+    shown = rows.select("scene", "by", "bx", "h", "w", F.posexplode(channels).alias("channel", "data"))
+    return stretch(shown, ("scene", "channel"))
 
 
 def natural_colour(blocks, red=3, green=2, blue=1):

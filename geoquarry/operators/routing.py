@@ -238,7 +238,8 @@ def routing_accuracy(routed):
 
 def confusion_matrix(routed):
     """Gold rows by predicted columns, zero cells kept."""
-    every = routed.sparkSession.createDataFrame([(t,) for t in TASKS], "gold_task string")
+    names = F.array(*[F.lit(t) for t in TASKS])
+    every = routed.sparkSession.range(1).select(F.explode(names).alias("gold_task"))
     cells = routed.groupBy("gold_task").pivot("task", TASKS).count()
     return every.join(cells, "gold_task", "left").select(
         "gold_task", *[F.coalesce(t, F.lit(0)).alias(t) for t in TASKS]

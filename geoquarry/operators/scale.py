@@ -86,20 +86,24 @@ def block_quantiles(blocks, keys, qs, data="data", big=PERCENTILE_ROWS):
     ``qs``).  Groups up to ``big`` values use one percentile buffer; larger ones
     go through :func:`running_sums`.
     """
-    sizes = blocks.groupBy(*keys).agg(F.sum(F.size(data)).alias("_size"))
-    tagged = salted_join(blocks.select(*keys, "by", "bx", data), sizes, keys, ["by", "bx"])
-    values = tagged.select(*keys, "_size", F.explode(data).alias("v")).where(finite(F.col("v")))
-    small = (
-        values.where(F.col("_size") <= big)
-        .groupBy(*keys)
-        .agg(
+    def unfold(rows):
+        return rows.select(*keys, F.explode(data).alias("v")).where(finite(F.col("v")))
+
+    def buffered(values):
+        return values.groupBy(*keys).agg(
             F.count("v").alias("n"),
             F.min("v").alias("vmin"),
             F.max("v").alias("vmax"),
             F.percentile("v", F.array(*[F.lit(float(q)) for q in qs])).alias("q"),
         )
-    )
-    large = values.where(F.col("_size") > big)
+
+    # block sizes alone are read here; most tables have no large group at all
+    sizes = blocks.groupBy(*keys).agg(F.sum(F.col("h") * F.col("w")).alias("_size")).where(F.col("_size") > big)
+    if sizes.isEmpty():
+        return buffered(unfold(blocks))
+    tagged = salted_join(blocks, sizes, keys, ["by", "bx"], "left")
+    small = buffered(unfold(tagged.where(F.col("_size").isNull())))
+    large = unfold(tagged.where(F.col("_size").isNotNull()))
     totals = large.groupBy(*keys).agg(
         F.count("v").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax")
     )

@@ -88,8 +88,7 @@ def channel_stats(slot_blocks):
     sums = values.groupBy("slot").agg(
         F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss")
     )
-    spark = slot_blocks.sparkSession
-    every = spark.createDataFrame([(s,) for s in SLOTS], "slot string")
+    every = slot_blocks.sparkSession.range(1).select(F.explode(_strings(SLOTS)).alias("slot"))
     mean = F.col("s") / F.col("n")
     deviation = F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))
     radar = F.col("slot").isin(RADAR)
