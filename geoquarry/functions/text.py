@@ -9,6 +9,11 @@ ANSWER_WORDS = {"presence": ["yes", "no"], "comp": ["yes", "no"], "rural_urban":
 PENALTY_BASE = 2.718281828
 
 
+def fixed(number, pattern):
+    """A number as text with a fixed number of digits, such as ``0.00``."""
+    return F.call_function("format_number", number, F.lit(pattern))
+
+
 def strip(text):
     """Drop white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

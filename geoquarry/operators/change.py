@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from geoquarry.functions.text import fixed
 from geoquarry.operators.grid import morph
 from geoquarry.operators.scale import salted_join, tiled_pairs
 from geoquarry.sources.blocks import to_pixels
@@ -72,11 +73,8 @@ def difference(pairs):
     ).drop("_lut")
 
 
-def otsu(diff):
-    """Histogram threshold with the largest between-class variance.
-
-    The first level wins a tie; a scene with one level gets 0.
-    """
+def class_variance(diff):
+    """Between-class variance of a split after each level (W4); null after the last."""
     hist = histogram(diff, "data")
     run = Window.partitionBy("scene").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("scene")
@@ -87,10 +85,17 @@ def otsu(diff):
         F.sum("count").over(whole).alias("n"), F.sum(moment).over(whole).alias("s"),
     )
     share = F.col("n0") / F.col("n")
-    gap = F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("n0"))
-    variance = F.when(F.col("n0") < F.col("n"), share * (1 - share) * gap * gap)
-    best = F.max(F.struct(F.coalesce(variance, F.lit(-1.0)).alias("v"), (-F.col("level")).alias("l")))
-    return sums.groupBy("scene").agg(best.alias("b")).select(
+    gap = F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / F.nullif(F.col("n") - F.col("n0"), F.lit(0))
+    return sums.withColumn("variance", F.when(F.col("n0") < F.col("n"), share * (1 - share) * gap * gap))
+
+
+def otsu(diff):
+    """Histogram threshold with the largest between-class variance (A4).
+
+    The first level wins a tie; a scene with one level gets 0.
+    """
+    best = F.max(F.struct(F.coalesce("variance", F.lit(-1.0)).alias("v"), (-F.col("level")).alias("l")))
+    return class_variance(diff).groupBy("scene").agg(best.alias("b")).select(
         "scene", F.when(F.col("b.v") > 0, -F.col("b.l")).otherwise(0).alias("threshold"),
         F.greatest(F.col("b.v"), F.lit(0.0)).alias("variance"),
     )
@@ -219,6 +224,21 @@ def good_matches(matches, limit=GOOD_DISTANCE):
     return matches.where(F.col("distance") < limit)
 
 
+def ordered_matches(matches):
+    """Matches numbered by distance, then keypoint.
+
+    Distances are small integers: counts per distance give each one its offset
+    and the numbering inside one distance runs per pair and distance.
+    """
+    per = matches.groupBy("pair", "distance").count()
+    before = Window.partitionBy("pair").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("pair", "distance", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("pair", "distance").orderBy("kp0")
+    return matches.join(offsets, ["pair", "distance"]).select(
+        "kp0", "distance", (F.row_number().over(inside) - 1 + F.col("_o")).alias("position")
+    )
+
+
 def registration(matches, first, second, keys=("pair",)):
     """Mechanism and confidence of each pair from its matches."""
     keys = list(keys)
@@ -286,7 +306,7 @@ def fusion_confidence(sources):
 
 def change_text(mechanism, good, confidence, reason, changed_fraction, movers, side0, side1):
     """Summary sentence of a change run (P30); null movers drop their sentence."""
-    shown = F.format_number(confidence, "0.00")
+    shown = fixed(confidence, "0.00")
     registered = (
         F.when(mechanism == "skip_already_coregistered", "registration skipped (t0/t1 already share CRS and transform)")
         .when(mechanism == "orb_affine", F.concat(
@@ -299,7 +319,7 @@ def change_text(mechanism, good, confidence, reason, changed_fraction, movers, s
         " ",
         F.concat(F.lit("Bi-temporal change analysis, t0 "), side0, F.lit(" vs t1 "), side1, F.lit(". "), registered, F.lit(".")),
         F.concat(F.lit("Differencing + morphological cleanup flags "),
-                 F.format_number(changed_fraction * 100, "0.0"), F.lit("% of pixels as changed.")),
+                 fixed(changed_fraction * 100, "0.0"), F.lit("% of pixels as changed.")),
         F.concat(F.lit("Largest benclip class-confidence shifts between the two dates: "), movers, F.lit(".")),
     )
 
@@ -309,7 +329,7 @@ def grounding_text(n, target, best):
     return F.when(
         n > 0,
         F.concat(F.lit("Detected "), n.cast("string"), F.lit(" instance(s) of '"), target,
-                 F.lit("'. Highest-confidence detection scores "), F.format_number(best, "0.00"), F.lit(".")),
+                 F.lit("'. Highest-confidence detection scores "), fixed(best, "0.00"), F.lit(".")),
     ).otherwise(F.concat(F.lit("No '"), target, F.lit(f"' detected above the confidence threshold ({DETECTION_THRESHOLD}).")))
 
 
@@ -319,7 +339,7 @@ def fusion_text(side0, side1, agree_n, agree_pct, optical_only, sar_only, water,
         " ",
         F.concat(F.lit("Cross-modal fusion of optical ("), side0, F.lit(") and SAR ("), side1, F.lit(") data.")),
         F.concat(F.lit("BEN predictions: "), agree_n.cast("string"), F.lit(" classes agree ("),
-                 F.format_number(agree_pct, "0"), F.lit("%), "), optical_only.cast("string"), F.lit(" optical-only, "),
+                 fixed(agree_pct, "0"), F.lit("%), "), optical_only.cast("string"), F.lit(" optical-only, "),
                  sar_only.cast("string"), F.lit(" SAR-only.")),
         F.when(water, "SAR physics: potential water body detected (low VV backscatter)."),
         F.when(built, "SAR physics: possible built-up area (high backscatter + double-bounce)."),

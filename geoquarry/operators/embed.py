@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from geoquarry.functions.text import fixed
 from geoquarry.operators.scale import running_sums, tiled_pairs
 
 #: Largest class table shipped to the tasks as one matrix; larger ones are tiled.
@@ -247,7 +248,7 @@ def mover_text(deltas, keys=("pair",), k=TOP_MOVERS):
     """'label +0.0pp' of the biggest movers, comma separated."""
     top = movers(deltas, keys, k)
     sign = F.when(F.round("delta_pct", 1) < 0, "").otherwise("+")
-    part = F.concat("label", F.lit(" "), sign, F.format_number("delta_pct", "0.0"), F.lit("pp"))
+    part = F.concat("label", F.lit(" "), sign, fixed("delta_pct", "0.0"), F.lit("pp"))
     rows = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("t")))).alias("a"))
     return rows.select(*keys, F.array_join(F.transform("a", lambda p: p["t"]), ", ").alias("movers"))
 

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from geoquarry.functions.text import strip
+from geoquarry.functions.text import fixed, strip
 from geoquarry.operators.rules import (
     EXEMPLAR_FLOOR, EXEMPLARS, REFERENCES, RULE_STRENGTH, RULES, SINGLE_IMAGE, STOP_WORDS, TARGET_ARTICLE,
     TARGET_EDGE, TARGET_LEAD, TARGET_TRAIL, TARGET_WHERE, TASKS, WHOLE_EDGE,
@@ -164,7 +164,7 @@ def route(queries):
     )
     ranked = F.transform(
         F.slice("_ranked", 2, 3),
-        lambda r: F.concat(r["task"], F.lit("(score="), F.format_number(-r["key"], "0.000"), F.lit(")")),
+        lambda r: F.concat(r["task"], F.lit("(score="), fixed(-r["key"], "0.000"), F.lit(")")),
     )
     texts = F.array(*[F.lit(x) for _, x in EXAMPLES])
     none = F.array().cast("array<string>")

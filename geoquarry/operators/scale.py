@@ -168,6 +168,8 @@ def tiled_pairs(left, right, keys, kernel, schema):
     spread_left = spread_left.withColumnRenamed("tile", "_l")
     spread_right = spread_right.withColumnRenamed("tile", "_r")
     names = [*keys, "_l", "_r"]
+    # fresh column identities, as both sides may come from one table
+    spread_left, spread_right = (d.toDF(*d.columns) for d in (spread_left, spread_right))
     return (
         spread_left.groupBy(*names)
         .cogroup(spread_right.groupBy(*names))

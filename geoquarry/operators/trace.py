@@ -3,6 +3,7 @@
 
 from pyspark.sql import functions as F
 
+from geoquarry.functions.text import fixed
 from geoquarry.operators.rules import TASKS
 from geoquarry.operators.scale import finite
 
@@ -241,7 +242,7 @@ def evidence_text(top_scores):
     """The five best labels as prompt text; empty without labels."""
     parts = F.transform(
         F.slice(top_scores, 1, PROMPT_LABELS),
-        lambda p: F.concat(p["label"], F.lit(" ("), F.format_number(p["score"], "0.00"), F.lit(")")),
+        lambda p: F.concat(p["label"], F.lit(" ("), fixed(p["score"], "0.00"), F.lit(")")),
     )
     return F.when(F.coalesce(F.size(top_scores), F.lit(0)) > 0,
                   F.concat(F.lit(EVIDENCE_LEAD), F.array_join(parts, ", "), F.lit("."))).otherwise("")
@@ -343,7 +344,7 @@ def confidence_line(basis, confidence):
     chain = None
     for name, label in BASIS_LABELS.items():
         chain = F.when(basis == name, label) if chain is None else chain.when(basis == name, label)
-    return F.concat(F.format_number(confidence, "0.00"), F.lit(" ("), chain.otherwise(basis), F.lit(")"))
+    return F.concat(fixed(confidence, "0.00"), F.lit(" ("), chain.otherwise(basis), F.lit(")"))
 
 
 def report_rows(traces):

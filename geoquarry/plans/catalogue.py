@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from geoquarry.plans import pixel_queries, scene_queries  # noqa: F401
+from geoquarry.plans import change_queries, pixel_queries, scene_queries  # noqa: F401
 from geoquarry.plans.registry import ORACLE, QUERIES  # noqa: F401

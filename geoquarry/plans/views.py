@@ -5,6 +5,7 @@ Nothing here is sampled: every view covers every row of the tables it reads.
 
 from pyspark.sql import functions as F
 
+from geoquarry.functions.text import fixed
 from geoquarry.operators.slots import SLOTS
 from geoquarry.plans.templates import PAYLOADS, TEMPLATES
 from geoquarry.sources.blocks import to_pixels
@@ -424,7 +425,7 @@ def payloads(spark, sf):
             F.replace(
                 F.replace(F.col("t.text"), F.lit("{id}"), e.cast("string")),
                 F.lit("{v}"),
-                F.format_number(F.col("value"), "0.00"),
+                fixed(F.col("value"), "0.00"),
             ).alias("payload"),
         )
     )
