@@ -3,6 +3,7 @@
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from geoquarry.functions.text import brevity, contains_answer, ngrams, score_answer, tokens
 from geoquarry.operators.kernels import lcs_length
@@ -124,7 +125,7 @@ def cider_proxy(pairs):
     return pairs.select("id").join(sums.select("id", score.alias("cider_proxy")), "id", "left").na.fill(0.0, ["cider_proxy"])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence of two token arrays, whole texts."""
     return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)])

@@ -4,7 +4,6 @@ The route is a projection: it needs no join and no shuffle, so the same columns
 serve a batch table and a stream.
 """
 
-import json
 import math
 import re
 
@@ -63,8 +62,18 @@ def rule_hits(query):
     return F.filter(F.array(*tests), lambda h: h.isNotNull())
 
 
-def _constant(value, kind):
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def _numbers(values):
+    return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+
+
+def _table(rows):
+    """A token map as one literal: the optimiser folds it once per query."""
+    return "map(" + ", ".join(f"'{w}', {v}" for w, v in rows.items()) + ")"
+
+
+WEIGHT_TABLE = _table({w: _numbers(v) for w, v in WEIGHTS.items()})
+IDF_TABLE = _table({w: f"{v!r}D" for w, v in IDF.items()})
+NORM_LIST = _numbers(NORMS)
 
 
 def exemplar_scores(words):
@@ -73,24 +82,33 @@ def exemplar_scores(words):
     A repeated query word adds its weight each time; an example's length adds the
     squared weight of each occurrence.
     """
-    table = _constant(WEIGHTS, "map<string,array<double>>")
-    idf = _constant(IDF, "map<string,double>")
-    known = F.filter(words, lambda w: F.element_at(idf, w).isNotNull())
-    zero = F.array_repeat(F.lit(0.0), len(EXAMPLES))
-    dots = F.aggregate(
-        known,
-        zero,
-        lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda s, v: s + v * F.element_at(idf, w)),
+    table, idf, norms = F.expr(WEIGHT_TABLE), F.expr(IDF_TABLE), F.expr(NORM_LIST)
+    weighted = F.filter(
+        F.transform(words, lambda w: F.struct(w.alias("w"), F.element_at(idf, w).alias("idf"))),
+        lambda t: t["idf"].isNotNull(),
     )
-    distinct = F.array_distinct(known)
-    squares = F.aggregate(
-        distinct,
-        F.lit(0.0),
-        lambda s, w: s + F.pow(F.size(F.filter(known, lambda t: t == w)) * F.element_at(idf, w), F.lit(2.0)),
+    # one pass: dot products and, per distinct word, its summed weight
+    start = F.struct(
+        F.array_repeat(F.lit(0.0), len(EXAMPLES)).alias("dots"), F.lit(0.0).alias("squares"),
+        F.array().cast("array<string>").alias("seen"),
+    )
+
+    def add(acc, t):
+        times = F.size(F.filter(acc["seen"], lambda s: s == t["w"]))
+        return F.struct(
+            F.zip_with(acc["dots"], F.element_at(table, t["w"]), lambda s, v: s + v * t["idf"]).alias("dots"),
+            # the square of k+1 weights less the square of k
+            (acc["squares"] + (2 * times + 1) * t["idf"] * t["idf"]).alias("squares"),
+            F.concat(acc["seen"], F.array(t["w"])).alias("seen"),
+        )
+
+    return F.aggregate(
+        weighted, start, add,
+        lambda acc: F.when(
+            acc["squares"] > 0,
+            F.zip_with(acc["dots"], norms, lambda d, n: d / (F.sqrt(acc["squares"]) * n)),
+        ),
     )
-    norms = _constant(NORMS, "array<double>")
-    scores = F.zip_with(dots, norms, lambda d, n: d / (F.sqrt(squares) * n))
-    return F.when(F.size(known) > 0, scores)
 
 
 def ranked_tasks(scores):
@@ -130,7 +148,8 @@ def exemplar_matches(queries):
     names = F.array(*[F.lit(t) for t, _ in EXAMPLES])
     texts = F.array(*[F.lit(x) for _, x in EXAMPLES])
     scores = exemplar_scores(router_tokens(strip(F.col("query"))))
-    rows = queries.select("qid", F.posexplode(scores).alias("example", "score")).where("score > 0")
+    kept = F.filter(F.transform(scores, lambda s, i: F.struct(i.alias("example"), s.alias("score"))), lambda p: p["score"] > 0)
+    rows = queries.select("qid", F.explode(kept).alias("p")).select("qid", "p.*")
     return rows.select(
         "qid", "example", F.get(names, F.col("example")).alias("task"), F.get(texts, F.col("example")).alias("text"), "score"
     )
@@ -138,8 +157,9 @@ def exemplar_matches(queries):
 
 def best_tasks(queries):
     """Tasks of each query ranked by their best example."""
-    ranked = ranked_tasks(exemplar_scores(router_tokens(strip(F.col("query")))))
-    return queries.select("qid", F.posexplode(ranked).alias("rank", "r")).select(
+    scored = queries.select("qid", exemplar_scores(router_tokens(strip(F.col("query")))).alias("scores"))
+    ranked = scored.select("qid", ranked_tasks(F.col("scores")).alias("ranked"))
+    return ranked.select("qid", F.posexplode("ranked").alias("rank", "r")).select(
         "qid", "rank", F.col("r.task").alias("task"), (-F.col("r.key")).alias("score")
     )
 

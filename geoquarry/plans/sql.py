@@ -141,12 +141,9 @@ VIEWS = {
             SELECT label, unnest(e) AS v, unnest(range(0, 64)) AS d FROM v_emb) GROUP BY label, d)
         GROUP BY label""",
     "v_score": """
-        SELECT vec_id, split, labels, label, v_class.label AS cls, name,
-               CASE WHEN nx * ny = 0 THEN 0.0 ELSE dot / (nx * ny) END AS score
-        FROM (SELECT v_emb.vec_id, split, labels, v_emb.label, v_class.label AS cls0, name,
-                     list_dot_product(e, vec) AS dot, sqrt(list_dot_product(e, e)) AS nx,
-                     sqrt(list_dot_product(vec, vec)) AS ny
-              FROM v_emb, v_class) JOIN v_class USING (name)""",
+        SELECT vec_id, split, labels, cls, name, CASE WHEN nx * ny = 0 THEN 0.0 ELSE dot / (nx * ny) END AS score
+        FROM (SELECT vec_id, split, labels, v_class.label AS cls, name, list_dot_product(e, vec) AS dot,
+                     sqrt(list_dot_product(e, e)) AS nx, sqrt(list_dot_product(vec, vec)) AS ny FROM v_emb, v_class)""",
     "v_desc": """
         WITH b AS (SELECT vec_id AS v, (vec_id * 37 % 512)::DOUBLE AS x, (vec_id * 91 % 389)::DOUBLE AS y,
             (vec_id * 40503 + 12345) * 69069 % 9007199254740881 AS d0,
