@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from geoquarry.plans import (  # noqa: F401
-    change_queries, embed_queries, pixel_queries, routing_queries, scene_queries,
+    answer_queries, change_queries, embed_queries, pixel_queries, routing_queries, scene_queries,
 )
 from geoquarry.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -85,7 +85,7 @@ VIEWS = {
         SELECT DISTINCT img_id, 'img_' || img_id || '.tif' AS path FROM v_qa WHERE img_id < 280""",
     "v_cap": """
         SELECT doc_id AS id, (doc_id // 2)::INT AS image_id, text AS ref,
-               regexp_replace(text, '\\b(the|and|of|la|de|und|der|el)\\b', 'this', 'g') AS cand, doc_id AS ord
+               regexp_replace(text, ' (the|and|of|la|de|und|der|el) ', ' this ', 'g') AS cand, doc_id AS ord
         FROM documents""",
     "v_box": """
         SELECT image_id, ord, item,

@@ -243,7 +243,7 @@ def qa_images(spark, sf):
 
 def captions(spark, sf):
     """Reference and candidate texts, whole: (id, image_id, ref, cand, ord)."""
-    swapped = F.regexp_replace("text", r"\b(the|and|of|la|de|und|der|el)\b", "this")
+    swapped = F.regexp_replace("text", " (the|and|of|la|de|und|der|el) ", " this ")
     return load(spark, sf, "documents").select(
         F.col("doc_id").alias("id"),
         _idiv(F.col("doc_id"), 2).alias("image_id"),

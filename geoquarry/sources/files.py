@@ -17,16 +17,14 @@ def list_files(spark, pattern, root=None):
     return rows.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def write_manifest(header, files, path):
-    """One JSON line per dataset with its file entries in path order.
+def write_manifests(header, files, path):
+    """Headers as JSON lines and file entries as a table beside them.
 
-    A manifest lists all its files in one document by definition.
+    A dataset of any size is written by many tasks.
     """
-    entries = files.groupBy("dataset").agg(
-        F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256"))).alias("files"),
-        F.count(F.lit(1)).alias("file_count"), F.sum("bytes").alias("total_bytes"),
-    )
-    header.join(entries, "dataset", "left").write.mode("overwrite").json(path)
+    totals = files.groupBy("dataset").agg(F.count(F.lit(1)).alias("file_count"), F.sum("bytes").alias("total_bytes"))
+    header.join(totals, "dataset", "left").write.mode("overwrite").json(f"{path}/headers")
+    files.select("dataset", "path", "bytes", "sha256").write.mode("overwrite").parquet(f"{path}/files")
 
 
 def parse_manifests(rows, text="value"):
@@ -41,12 +39,14 @@ def parse_manifests(rows, text="value"):
 
 
 def read_manifests(spark, path):
-    return parse_manifests(spark.read.text(path))
+    """Headers and file entries of :func:`write_manifests`."""
+    return parse_manifests(spark.read.text(f"{path}/headers")), spark.read.parquet(f"{path}/files")
 
 
-def manifest_files(manifests):
-    """File entries, one per row."""
-    return manifests.select("dataset", F.explode("files").alias("f")).select("dataset", "f.*")
+def read_manifest_documents(spark, path):
+    """Headers and file entries of one-document manifests, one file each."""
+    headers = parse_manifests(spark.read.text(path, wholetext=True))
+    return headers.drop("files"), headers.select("dataset", F.explode("files").alias("f")).select("dataset", "f.*")
 
 
 def write_targets(targets, path):
