@@ -163,32 +163,39 @@ def _item_problems(b, i, spec, here):
     return F.when(is_object, F.coalesce(_object_problems(b, keys, spec, prefix), none)).otherwise(none)
 
 
-def violations(payload, spec):
-    """Problems of a JSON text against a field list, empty when it conforms."""
-    v = F.try_parse_json(payload)
-    found = F.array_compact(_object_problems(v, F.json_object_keys(payload), spec, F.lit("")))
+def violations(parsed, payload, spec):
+    """Problems of a parsed JSON text against a field list, empty when it conforms."""
+    found = F.array_compact(_object_problems(parsed, F.json_object_keys(payload), spec, F.lit("")))
     whole = F.array(F.lit("not a JSON object"))
-    is_object = F.coalesce(_type(v).startswith("OBJECT"), F.lit(False))
+    is_object = F.coalesce(_type(parsed).startswith("OBJECT"), F.lit(False))
     return F.when(is_object, found).otherwise(whole)
 
 
+def _parsed(rows, column):
+    """The JSON text parsed once, as a column of its own."""
+    return rows.withColumn("_v", F.try_parse_json(column))
+
+
 def validate_results(rows):
     """Add ``violations`` to (task, payload) rows (P25)."""
     chain = None
     for task, spec in RESULT_SPECS.items():
-        found = violations(F.col("payload"), spec)
+        found = violations(F.col("_v"), F.col("payload"), spec)
         chain = F.when(F.col("task") == task, found) if chain is None else chain.when(F.col("task") == task, found)
-    return rows.withColumn("violations", chain.otherwise(F.array(F.lit("unknown task"))))
+    checked = chain.otherwise(F.array(F.lit("unknown task")))
+    return _parsed(rows, "payload").withColumn("violations", checked).drop("_v")
 
 
 def validate_traces(rows, column="trace"):
     """Add ``violations`` to trace JSON texts."""
-    return rows.withColumn("violations", violations(F.col(column), TRACE_SPEC))
+    found = violations(F.col("_v"), F.col(column), TRACE_SPEC)
+    return _parsed(rows, column).withColumn("violations", found).drop("_v")
 
 
 def validate_band_mappings(rows, column="band_mapping"):
     """Add ``violations`` to band-mapping JSON texts."""
-    return rows.withColumn("violations", violations(F.col(column), BAND_MAPPING_SPEC))
+    found = violations(F.col("_v"), F.col(column), BAND_MAPPING_SPEC)
+    return _parsed(rows, column).withColumn("violations", found).drop("_v")
 
 
 def split_valid(rows):
@@ -335,8 +342,9 @@ def build_traces(routed, checked, inspected, results, timings):
 
 def write_traces(traces, path, mode="append"):
     """Append traces by day and task."""
-    traces.withColumns({"date": F.to_date("timestamp"), "task": F.col("task_selected")}).write.mode(mode).partitionBy(
-        "date", "task").parquet(path)
+    placed = traces.withColumns({"date": F.to_date("timestamp"), "task": F.col("task_selected")})
+    # one file per small partition, several for a large one
+    placed.hint("rebalance", "date", "task").write.mode(mode).partitionBy("date", "task").parquet(path)
 
 
 def confidence_line(basis, confidence):

@@ -258,7 +258,7 @@ def l3(spark, sf):
 @query("p33_text_confidence", """
     SELECT id, CASE WHEN ref IS NULL OR ref = '' THEN 0.1 WHEN regexp_matches(lower(ref), 'cannot see|can''t see|unable|i don''t know') THEN 0.3
            WHEN n < 2 THEN 0.4 WHEN n < 6 THEN 0.65 ELSE 0.85 END AS confidence
-    FROM (SELECT id, ref, len(regexp_extract_all(ref, '\\S+')) AS n FROM v_cap)""")
+    FROM (SELECT id, ref, len(regexp_extract_all(ref, '\\S+')) AS n FROM v_cap)""", types={"confidence": "DOUBLE"})
 def p33(spark, sf):
     return V.captions(spark, sf).select("id", text.text_confidence(F.col("ref")).alias("confidence"))
 

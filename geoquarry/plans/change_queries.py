@@ -100,7 +100,7 @@ def w4(spark, sf):
 
 
 @query("a5_diff_stats", """
-    SELECT scene, round(diff_mean, 6) AS diff_mean, diff_max, threshold, total_pixels, changed_pixels, round(changed_fraction, 6) AS changed_fraction FROM v_stats""", EXTRA)
+    SELECT scene, round(diff_mean, 6) AS diff_mean, diff_max, threshold, total_pixels, changed_pixels, round(changed_fraction, 6) AS changed_fraction FROM v_stats""", EXTRA, types={"changed_pixels": "BIGINT"})
 def a5(spark, sf):
     rows = change.diff_stats(V.pair_blocks(spark, sf), size=V.BLOCK)
     return rows.withColumns({"diff_mean": F.round("diff_mean", 6), "changed_fraction": F.round("changed_fraction", 6)})
@@ -125,7 +125,7 @@ def a6_quality(spark, sf):
 
 
 @query("a7_mask_scores", """
-    SELECT scene, n, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(iou, 6) AS iou, false AS bad FROM v_conf""", EXTRA)
+    SELECT scene, n, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(iou, 6) AS iou, false AS bad FROM v_conf""", EXTRA, types={"tp": "BIGINT", "fp": "BIGINT", "fn": "BIGINT"})
 def a7_scores(spark, sf):
     pair = V.pair_blocks(spark, sf)
     rows = change.mask_scores(change.change_mask(pair, V.BLOCK), change.truth_mask(pair))
@@ -197,7 +197,7 @@ def p30(spark, sf):
 @query("p31_confidence", """
     SELECT scene, round((least(scene / 50.0, 1.0) + CASE WHEN scene % 2 = 0 THEN 0.8 ELSE 0.2 END + CASE WHEN changed_pixels > 0 THEN 1.0 ELSE 0.0 END) / 3, 6) AS change_confidence,
            CASE WHEN k >= 3 THEN 0.7 WHEN k >= 2 THEN 0.5 WHEN k >= 1 THEN 0.3 ELSE 0.1 END AS fusion_confidence
-    FROM (SELECT *, least(3, changed_pixels) AS k FROM v_stats)""", EXTRA)
+    FROM (SELECT *, least(3, changed_pixels) AS k FROM v_stats)""", EXTRA, types={"fusion_confidence": "DOUBLE"})
 def p31(spark, sf):
     stats = change.diff_stats(V.pair_blocks(spark, sf), size=V.BLOCK)
     s = F.col("scene")

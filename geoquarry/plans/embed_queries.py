@@ -102,17 +102,17 @@ def w2(spark, sf):
     return embed.top_labels(scores(spark, sf)).select("vec_id", "label", "rank", six("score"))
 
 
-@query("j18_pair_scores", "SELECT id, round(own, 6) + 0.0 AS own, rank, n, best, round(best_score, 6) + 0.0 AS best_score FROM v_rank", EXTRA)
+@query("j18_pair_scores", "SELECT id, round(own, 6) + 0.0 AS own, rank, n, best, round(best_score, 6) + 0.0 AS best_score FROM v_rank", EXTRA, types={"rank": "BIGINT"})
 def j18(spark, sf):
     return ranks(spark, sf).select("id", six("own"), "rank", "n", "best", six("best_score"))
 
 
-@query("w5_true_pair_rank", "SELECT id, rank FROM v_rank", EXTRA)
+@query("w5_true_pair_rank", "SELECT id, rank FROM v_rank", EXTRA, types={"rank": "BIGINT"})
 def w5(spark, sf):
     return ranks(spark, sf).select("id", "rank")
 
 
-@query("d2_block_similarity", "SELECT id, rank FROM v_rank", EXTRA)
+@query("d2_block_similarity", "SELECT id, rank FROM v_rank", EXTRA, types={"rank": "BIGINT"})
 def d2(spark, sf):
     images = V.embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("e").alias("v"))
     texts = V.text_vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("t").alias("v"))

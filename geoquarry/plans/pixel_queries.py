@@ -267,7 +267,7 @@ def p13(spark, sf):
     return B.to_pixels(rows, keep=("scene", "slot")).withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query("j9_align_px", "SELECT scene, count(*) AS pixels, sum((g0 - g1)::BIGINT) AS difference, sum((g0 > g1)::INT) AS darker, 0 AS errors FROM v_pair GROUP BY scene")
+@query("j9_align_px", "SELECT scene, count(*) AS pixels, sum((g0 - g1)::BIGINT) AS difference, sum((g0 > g1)::INT) AS darker, 0 AS errors FROM v_pair GROUP BY scene", types={"difference": "BIGINT", "darker": "BIGINT"})
 def j9(spark, sf):
     pair = V.pair_blocks(spark, sf)
     px, errors = grid.align_px(pair.withColumn("data", F.col("g0")), pair.withColumn("data", F.col("g1")))
@@ -359,7 +359,7 @@ def d3(spark, sf):
     return B.to_pixels(grid.morph(mask, ("min",), size=V.BLOCK), keep=("scene",))
 
 
-@query("d6_explode_pixels", "SELECT scene, band, count(*) AS pixels, sum(y) AS sy, sum(x) AS sx FROM v_px GROUP BY ALL")
+@query("d6_explode_pixels", "SELECT scene, band, count(*) AS pixels, sum(y) AS sy, sum(x) AS sx FROM v_px GROUP BY ALL", types={"sy": "BIGINT", "sx": "BIGINT"})
 def d6(spark, sf):
     return V.band_pixels(spark, sf).groupBy("scene", "band").agg(
         F.count(F.lit(1)).alias("pixels"), F.sum("y").alias("sy"), F.sum("x").alias("sx"))

@@ -127,7 +127,7 @@ def a22(spark, sf):
 
 @query("a8_routing_accuracy", """
     SELECT coalesce(gold_task, 'all') AS gold_task, count(*) AS n, sum((task = gold_task)::INT) AS correct, round(avg((task = gold_task)::INT), 6) AS accuracy
-    FROM v_routed GROUP BY ROLLUP (gold_task)""", EXTRA)
+    FROM v_routed GROUP BY ROLLUP (gold_task)""", EXTRA, types={"correct": "BIGINT"})
 def a8(spark, sf):
     return routing.routing_accuracy(routing.route(V.queries(spark, sf))).select("gold_task", "n", "correct", six("accuracy"))
 

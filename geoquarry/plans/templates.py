@@ -84,3 +84,26 @@ PAYLOADS = [
     ("fusion", '{"text_response": "f", "agreement_map_path": "a{id}.png", "overlay_path": "o{id}.png", "evidence": {}, "confidence": 0.7, "confidence_basis": "heuristic"}'),
     ("fusion", '{"text_response": "f", "agreement_map_path": null, "evidence": {}, "confidence": -0.1, "confidence_basis": "heuristic", "extra": 1}'),
 ]
+
+#: Trace JSON, right and with one thing wrong.
+_TRACE = (
+    '{"run_id": "r{id}", "timestamp": "2026-01-01T00:00:00+00:00", "query": "q", "task_selected": "vqa", '
+    '"routing": {"mechanism": "rule", "matched": "m", "score": 1.0, "alternatives_considered": []}, "inpu'
+    'ts": [{"path": "a.tif", "modality": "sar", "bands": 1, "shape": [8, 8], "format": "GeoTIFF", "crs": '
+    'null, "checks_passed": true}], "validation": {"passed": true, "warnings": [], "errors": []}, "models'
+    '_used": [{"role": "vqa", "name": "n", "revision": "r", "precision": "p", "adapter": null, "device": '
+    '"cpu"}], "parameters": {}, "result": {}, "artifacts": {"mask": null, "overlay": null, "report": null'
+    '}, "timings_ms": {"routing": 1, "validation": 2, "inference": {v}, "total": 4}}'
+)
+TRACES = [_TRACE] + [_TRACE.replace(old, new) for old, new in [
+    ('"task_selected": "vqa"', '"task_selected": "talk"'),
+    ('"mechanism": "rule"', '"mechanism": "guess"'),
+    ('"score": 1.0, "alternatives_considered": []', '"score": "1", "alternatives_considered": ["a", 2]'),
+    ('"bands": 1, "shape": [8, 8]', '"bands": 1.5, "shape": [8]'),
+    ('"crs": null, "checks_passed": true', '"crs": 4326, "checks_passed": "yes"'),
+    ('"models_used": [{', '"models_used": [7, {"extra": 1, '),
+    ('"parameters": {}, ', ''),
+    ('"artifacts": {"mask": null, "overlay": null, "report": null}', '"artifacts": []'),
+    ('"validation": {"passed": true, "warnings": [], "errors": []}', '"validation": {"passed": 1, "errors": [null]}'),
+    ('"timings_ms": {"routing": 1', '"note": "x", "timings_ms": {"routing": true'),
+]]

@@ -170,10 +170,15 @@ def scene_pairs(spark, sf):
 
 def queries(spark, sf):
     """English queries: (qid, ts, user_id, query, n_inputs, gold_task)."""
+    return queries_of(load(spark, sf, "events"))
+
+
+def queries_of(events):
+    """The query view over any event rows, batch or stream."""
     e = F.col("event_id")
     table = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(q).alias("text")) for t, q in TEMPLATES])
     return (
-        load(spark, sf, "events")
+        events
         .select("event_id", "ts", "user_id", "event_type", F.element_at(table, (e % len(TEMPLATES) + 1).cast("int")).alias("t"))
         .select(
             e.alias("qid"),
@@ -189,9 +194,13 @@ def queries(spark, sf):
 def request_inputs(spark, sf):
     """Inputs of each request: (run_id, ord, scene); scenes 125..127 do not exist
     at the small scale, so some inputs cannot be read."""
+    return inputs_of(queries(spark, sf))
+
+
+def inputs_of(requests):
     e = F.col("qid")
     ids = F.array(e % 128, (e * 7 + 3) % 128, (e * 5 + 1) % 128)
-    return queries(spark, sf).select(
+    return requests.select(
         e.alias("run_id"),
         F.posexplode(F.slice(ids, 1, F.col("n_inputs"))).alias("ord", "scene"),
     ).select("run_id", "ord", F.col("scene").cast("int").alias("scene"))

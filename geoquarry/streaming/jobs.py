@@ -16,12 +16,12 @@ LATE = "10 minutes"
 
 
 def read_events(spark, folder, name="events.parquet", schema=None, files_per_batch=None):
-    """Stream of the files called ``name`` in a folder."""
+    """Stream of the files called ``name`` in a folder, with ``ts`` as event time."""
     schema = schema or spark.read.parquet(f"{folder}/{name}").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def route_stream(queries):
