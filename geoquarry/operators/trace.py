@@ -74,8 +74,14 @@ TRACE_SPEC = {
 }
 
 
-def _part(v, path, kind="variant"):
-    return F.try_variant_get(v, path, kind)
+def _object(v):
+    """Fields of a variant object as a map; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _list(v):
+    """Items of a variant array; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def _type(v):
@@ -98,40 +104,39 @@ def key_sets(present, required):
 
 def _value_problem(v, kind):
     """Null when a variant value is of the kind, else a short reason."""
+    if kind in ("dict", "strs", "ints2", "box"):
+        items = _list(v)
+        if kind == "dict":
+            return F.when(_object(v).isNull(), "must be dict")
+        if kind == "strs":
+            bad = items.isNull() | F.exists(items, lambda i: F.coalesce(_type(i), F.lit("VOID")) != "STRING")
+            return F.when(bad, "must be strs")
+        if kind == "ints2":
+            bad = items.isNull() | (F.size(items) != 2) | F.exists(items, lambda i: _type(i) != "BIGINT")
+            return F.when(bad, "must be ints2")
+        wrong = items.isNull() | (F.size(items) != 4) | F.exists(items, lambda i: ~_is_number(_type(i)))
+        at = lambda i: F.try_variant_get(v, f"$[{i}]", "double")
+        return F.when(wrong, "must be 4 numbers").when(at(0) > at(2), "ymin > ymax").when(at(1) > at(3), "xmin > xmax")
     t = _type(v)
-    as_list = lambda: F.try_variant_get(v, "$", "array<variant>")
     if isinstance(kind, list):
         bad = (t != "STRING") | ~F.try_variant_get(v, "$", "string").isin(kind)
         return F.when(bad, "not in domain")
-    number = F.try_variant_get(v, "$", "double")
     tests = {
         "str": t != "STRING",
         "str?": ~t.isin("STRING", "VOID"),
         "bool": t != "BOOLEAN",
         "number": ~_is_number(t),
         "int": t != "BIGINT",
-        "dict": ~t.startswith("OBJECT"),
-        "unit": ~_is_number(t) | ~number.between(0.0, 1.0),
+        "unit": ~_is_number(t) | ~F.try_variant_get(v, "$", "double").between(0.0, 1.0),
     }
-    if kind in tests:
-        return F.when(tests[kind], f"must be {kind}")
-    items = as_list()
-    if kind == "strs":
-        bad = ~t.startswith("ARRAY") | F.exists(items, lambda i: F.coalesce(_type(i), F.lit("VOID")) != "STRING")
-        return F.when(bad, "must be strs")
-    if kind == "ints2":
-        bad = ~t.startswith("ARRAY") | (F.size(items) != 2) | F.exists(items, lambda i: _type(i) != "BIGINT")
-        return F.when(bad, "must be ints2")
-    if kind == "box":
-        wrong = ~t.startswith("ARRAY") | (F.size(items) != 4) | F.exists(items, lambda i: ~_is_number(_type(i)))
-        at = lambda i: F.try_variant_get(v, f"$[{i}]", "double")
-        return F.when(wrong, "must be 4 numbers").when(at(0) > at(2), "ymin > ymax").when(at(1) > at(3), "xmin > xmax")
-    raise ValueError(kind)
+    return F.when(tests[kind], f"must be {kind}")
 
 
-def _object_problems(v, keys, spec, prefix):
-    """Array of problems of one object value whose key list is ``keys``."""
+def _object_problems(fields, spec, prefix):
+    """Array of problems of one object given as a map of its fields."""
+    keys = F.map_keys(fields)
     missing, extra = key_sets(keys, spec)
+    none = F.array().cast("array<string>")
     out = [
         F.array(
             F.when(F.size(missing) > 0, F.concat(prefix, F.lit("missing "), F.array_join(missing, ","))),
@@ -139,48 +144,45 @@ def _object_problems(v, keys, spec, prefix):
         )
     ]
     for name, kind in spec.items():
-        value = _part(v, f"$.{name}")
+        value = F.try_element_at(fields, F.lit(name))
         here = F.concat(prefix, F.lit(name))
         if isinstance(kind, dict):
-            inner = _object_problems(value, F.json_object_keys(F.to_json(value)), kind, F.concat(here, F.lit(".")))
-            found = F.when(~_type(value).startswith("OBJECT"), F.array(F.concat(here, F.lit(": must be dict")))).otherwise(inner)
+            inner = _object(value)
+            found = F.when(inner.isNull(), F.array(F.concat(here, F.lit(": must be dict")))).otherwise(
+                _object_problems(inner, kind, F.concat(here, F.lit("."))))
         elif isinstance(kind, tuple):
-            items = F.try_variant_get(value, "$", "array<variant>")
+            items = _list(value)
             each = F.flatten(F.transform(items, lambda b, i: _item_problems(b, i, kind[0], here)))
-            found = F.when(~_type(value).startswith("ARRAY"), F.array(F.concat(here, F.lit(": must be list")))).otherwise(each)
+            found = F.when(items.isNull(), F.array(F.concat(here, F.lit(": must be list")))).otherwise(each)
         else:
             found = F.array(F.concat(here, F.lit(": "), _value_problem(value, kind)))
-        none = F.array().cast("array<string>")
-        out.append(F.when(F.array_contains(keys, name), F.coalesce(found, none)).otherwise(none))
+        out.append(F.when(F.map_contains_key(fields, name), found).otherwise(none))
     return F.concat(*out)
 
 
 def _item_problems(b, i, spec, here):
     prefix = F.concat(here, F.lit("["), i.cast("string"), F.lit("]."))
-    is_object = _type(b).startswith("OBJECT")
-    keys = F.json_object_keys(F.to_json(b))
-    none = F.array(F.concat(prefix, F.lit("must be dict")))
-    return F.when(is_object, F.coalesce(_object_problems(b, keys, spec, prefix), none)).otherwise(none)
+    inner = _object(b)
+    return F.when(inner.isNull(), F.array(F.concat(prefix, F.lit("must be dict")))).otherwise(
+        _object_problems(inner, spec, prefix))
 
 
-def violations(parsed, payload, spec):
-    """Problems of a parsed JSON text against a field list, empty when it conforms."""
-    found = F.array_compact(_object_problems(parsed, F.json_object_keys(payload), spec, F.lit("")))
-    whole = F.array(F.lit("not a JSON object"))
-    is_object = F.coalesce(_type(parsed).startswith("OBJECT"), F.lit(False))
-    return F.when(is_object, found).otherwise(whole)
+def violations(fields, spec):
+    """Problems of an object's fields against a field list, empty when it conforms."""
+    found = F.array_compact(_object_problems(fields, spec, F.lit("")))
+    return F.when(fields.isNull(), F.array(F.lit("not a JSON object"))).otherwise(found)
 
 
 def _parsed(rows, column):
-    """The JSON text parsed once, as a column of its own."""
-    return rows.withColumn("_v", F.try_parse_json(column))
+    """The fields of the JSON text, parsed once as a column of its own."""
+    return rows.withColumn("_v", _object(F.try_parse_json(column)))
 
 
 def validate_results(rows):
     """Add ``violations`` to (task, payload) rows (P25)."""
     chain = None
     for task, spec in RESULT_SPECS.items():
-        found = violations(F.col("_v"), F.col("payload"), spec)
+        found = violations(F.col("_v"), spec)
         chain = F.when(F.col("task") == task, found) if chain is None else chain.when(F.col("task") == task, found)
     checked = chain.otherwise(F.array(F.lit("unknown task")))
     return _parsed(rows, "payload").withColumn("violations", checked).drop("_v")
@@ -188,13 +190,13 @@ def validate_results(rows):
 
 def validate_traces(rows, column="trace"):
     """Add ``violations`` to trace JSON texts."""
-    found = violations(F.col("_v"), F.col(column), TRACE_SPEC)
+    found = violations(F.col("_v"), TRACE_SPEC)
     return _parsed(rows, column).withColumn("violations", found).drop("_v")
 
 
 def validate_band_mappings(rows, column="band_mapping"):
     """Add ``violations`` to band-mapping JSON texts."""
-    found = violations(F.col("_v"), F.col(column), BAND_MAPPING_SPEC)
+    found = violations(F.col("_v"), BAND_MAPPING_SPEC)
     return _parsed(rows, column).withColumn("violations", found).drop("_v")
 
 
