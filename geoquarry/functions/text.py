@@ -45,9 +45,8 @@ def brevity(n_cand, n_ref):
     return F.when(n_cand > n_ref, F.lit(1.0)).otherwise(power)
 
 
-def bleu1(ref, cand):
-    """Unigram overlap with brevity penalty for short answers."""
-    r, c = tokens(ref), tokens(cand)
+def bleu1(r, c):
+    """Unigram overlap of two token columns with brevity penalty, for short answers."""
     hits = F.size(F.filter(c, lambda t: F.array_contains(r, t)))
     share = hits / F.size(c)
     score = F.least(F.lit(1.0), brevity(F.size(c), F.size(r)) * share)
@@ -55,30 +54,32 @@ def bleu1(ref, cand):
     return F.when(empty | (hits == 0), F.lit(0.0)).otherwise(score)
 
 
-def required_tokens(gold, kind):
-    """Words a right answer must contain."""
-    norm = normalise(gold)
+def required_tokens(norm, words, kind):
+    """Words a right answer must contain, from the normalised gold answer and its tokens."""
     closed = F.lit(False)
-    for name, words in ANSWER_WORDS.items():
-        closed = closed | ((kind == name) & norm.isin(words))
-    return F.when(closed, F.array(norm)).otherwise(tokens(gold))
-
-
-def answer_match(prediction, gold, kind):
-    """All required gold words occur in the prediction."""
-    need = required_tokens(gold, kind)
-    have = tokens(prediction)
-    return (F.size(need) > 0) & F.forall(need, lambda t: F.array_contains(have, t))
-
-
-def score_answer(prediction, gold, kind):
-    """raw, normalised and containment matches, and BLEU-1, as named columns (F8)."""
-    return [
-        (prediction == gold).alias("raw_match"),
-        (normalise(prediction) == normalise(gold)).alias("norm_match"),
-        answer_match(prediction, gold, kind).alias("answer_match"),
-        bleu1(gold, prediction).alias("bleu1"),
-    ]
+    for name, known in ANSWER_WORDS.items():
+        closed = closed | ((kind == name) & norm.isin(known))
+    return F.when(closed, F.array(norm)).otherwise(words)
+
+
+def score_answers(rows):
+    """Add raw, normalised and containment matches and BLEU-1 to answered rows (F8).
+
+    ``rows`` has ``prediction, gold, type``.  Normal forms and tokens are columns
+    of their own, so each text is read once.
+    """
+    ready = rows.withColumns({
+        "_p": normalise(F.col("prediction")), "_g": normalise(F.col("gold")),
+        "_pt": tokens(F.col("prediction")), "_gt": tokens(F.col("gold")),
+    })
+    ready = ready.withColumn("_need", required_tokens(F.col("_g"), F.col("_gt"), F.col("type")))
+    have = F.col("_pt")
+    return ready.withColumns({
+        "raw_match": F.col("prediction") == F.col("gold"),
+        "norm_match": F.col("_p") == F.col("_g"),
+        "answer_match": (F.size("_need") > 0) & F.forall("_need", lambda t: F.array_contains(have, t)),
+        "bleu1": bleu1(F.col("_gt"), have),
+    }).drop("_p", "_g", "_pt", "_gt", "_need")
 
 
 def contains_answer(gold, response):

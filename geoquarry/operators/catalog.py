@@ -177,11 +177,12 @@ def inspect_inputs(inputs, scenes):
     return inspect(salted_join(inputs, facts, ["scene"], ["run_id", "ord"], "left"))
 
 
-def check_pairs(requests, inputs, scenes):
+def check_pairs(requests, inputs, scenes, extra=()):
     """Task-level compatibility of each request.
 
-    ``requests`` has run_id, task, image_index.  Only the first two inputs and
-    counts are kept per run, so a run of any length fits one row.
+    ``requests`` has run_id, task, image_index and whatever else should be kept.
+    Only the first two inputs and counts are kept per run, so a run of any length
+    fits one row; ``extra`` adds aggregates over a run's inspected inputs.
     """
     seen = inspect_inputs(inputs, scenes)
     info = F.struct(
@@ -194,7 +195,9 @@ def check_pairs(requests, inputs, scenes):
         F.max(F.when(F.col("ord") == 1, info)).alias("b"),
         F.sum(F.size("warnings")).cast("int").alias("input_warnings"),
         F.sum(F.size("errors")).cast("int").alias("input_errors"),
+        *extra,
     )
+    more = [c for c in per_run.columns if c not in ("run_id", "n", "a", "b", "input_warnings", "input_errors")]
     rows = requests.join(per_run, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     task, n, idx = F.col("task"), F.col("n"), F.col("image_index")
     a, b = F.col("a"), F.col("b")
@@ -238,7 +241,7 @@ def check_pairs(requests, inputs, scenes):
     ])
     none = F.lit(0)
     checked = rows.select(
-        "run_id", "task", "n", "a", "b",
+        *requests.columns, "n", "a", "b", *more,
         F.coalesce("input_warnings", none).alias("input_warnings"),
         F.coalesce("input_errors", none).alias("input_errors"),
         warnings.alias("warnings"), errors.alias("errors"),

@@ -5,8 +5,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from geoquarry.functions.text import brevity, contains_answer, ngrams, score_answer, tokens
-from geoquarry.operators.kernels import lcs_length
+from geoquarry.functions.text import brevity, contains_answer, score_answers, tokens
+from geoquarry.operators.kernels import gram_stats, lcs_length
 from geoquarry.operators.scale import salted_join
 
 # Fixed values.
@@ -60,88 +60,97 @@ def with_caption(patches, annotations):
     return patches.join(first_per_key(notes, ["key"], "id").select("key", F.col("output").alias("caption")), "key")
 
 
-def _gram_counts(pairs, sizes):
-    """Occurrences of each n-gram in both texts per pair.
+STATS = "hits array<long>, clipped array<long>, total array<long>, dot long, rr long, cc long"
 
-    Texts move once, by pair; every later grouping keeps that partitioning.
+
+def overlap(pairs, max_n=4):
+    """N-gram overlap of each pair in one pass over whole texts, without a shuffle.
+
+    Tokens are cut by Spark; counting the grams of one pair is a small kernel,
+    which spares exchanging every n-gram of the corpus.
     """
-    side = lambda name, words: F.array(*[
-        F.struct(F.lit(name).alias("side"), F.lit(n).alias("n"), ngrams(words, n).alias("grams")) for n in sizes])
-    placed = pairs.select("id", "ref", "cand").repartition("id")
-    words = placed.select("id", tokens(F.col("ref")).alias("r"), tokens(F.col("cand")).alias("c"))
-    lists = words.select("id", F.explode(F.concat(side("r", F.col("r")), side("c", F.col("c")))).alias("s"))
-    grams = lists.select("id", "s.side", "s.n", F.explode("s.grams").alias("gram"))
-    count = lambda s: F.sum(F.when(F.col("side") == s, 1).otherwise(0))
-    return grams.groupBy("id", "n", "gram").agg(count("r").alias("in_ref"), count("c").alias("in_cand"))
 
+    @F.pandas_udf(STATS)
+    def stats(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
+        rows = []
+        for r, c in zip(ref, cand):
+            hits, clipped, total, products = gram_stats(r.split(), c.split(), max_n)
+            rows.append((hits, clipped, total, *products))
+        return pd.DataFrame(rows, columns=["hits", "clipped", "total", "dot", "rr", "cc"])
+
+    words = pairs.select("id", tokens(F.col("ref")).alias("r"), tokens(F.col("cand")).alias("c"))
+    joined = lambda name: F.array_join(name, " ")
+    return words.select(
+        "id", F.size("r").alias("n_ref"), F.size("c").alias("n_cand"), stats(joined("r"), joined("c")).alias("s")
+    ).select("id", "n_ref", "n_cand", "s.*")
+
+
+def _share(counts):
+    """Per level the counted share of the candidate's grams, 1 where it has none."""
+    return F.zip_with(counts, "total", lambda h, t: F.when(t > 0, h / t).otherwise(1.0))
 
-def bleu_ref(pairs, max_n=4):
-    """The reference's BLEU per pair (F5): unclipped hits, mean of roots.
+
+def bleu_score(max_n=4):
+    """The reference's BLEU from overlap columns (F5): unclipped hits, mean of roots.
 
     A level without candidate n-grams counts as 1; a level without hits gives 0.
     """
-    levels = _gram_counts(pairs, range(1, max_n + 1)).groupBy("id", "n").agg(
-        F.sum(F.when(F.col("in_ref") > 0, F.col("in_cand")).otherwise(0)).alias("hits"),
-        F.sum("in_cand").alias("total"), F.sum("in_ref").alias("ref_total"),
-    )
-    share = F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(1.0)
-    one = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
-    seen = levels.groupBy("id").agg(
-        F.sum(F.pow(share, F.lit(1.0 / max_n))).alias("roots"),
-        F.count(F.lit(1)).alias("levels"), F.min(share).alias("least"), one("total").alias("n_cand"), one("ref_total").alias("n_ref"),
-    )
-    # a level with no n-gram on either side has no row and counts as 1
-    mean = (F.col("roots") + (max_n - F.col("levels"))) / max_n
-    empty = (F.col("n_cand") == 0) | (F.col("n_ref") == 0) | F.col("n_cand").isNull()
-    score = F.when(empty | (F.col("least") == 0), 0.0).otherwise(
-        F.least(F.lit(1.0), brevity(F.col("n_cand"), F.col("n_ref")) * mean)
-    )
-    return pairs.select("id").join(seen.select("id", score.alias("bleu")), "id", "left").na.fill(0.0, ["bleu"])
+    share = _share("hits")
+    roots = F.aggregate(share, F.lit(0.0), lambda s, p: s + F.pow(p, F.lit(1.0 / max_n)))
+    dead = (F.col("n_ref") == 0) | (F.col("n_cand") == 0) | F.exists(share, lambda p: p == 0)
+    value = F.least(F.lit(1.0), brevity(F.col("n_cand"), F.col("n_ref")) * roots / max_n)
+    return F.when(dead, 0.0).otherwise(value)
+
+
+def clipped_score():
+    """Textbook BLEU from overlap columns: clipped hits, geometric mean of the
+    levels that have candidate grams (F5)."""
+    levels = F.filter(F.arrays_zip("clipped", "total"), lambda p: p["total"] > 0)
+    logs = F.aggregate(levels, F.lit(0.0), lambda s, p: s + F.log(p["clipped"] / p["total"]))
+    dead = (F.col("n_ref") == 0) | (F.col("n_cand") == 0) | F.exists(levels, lambda p: p["clipped"] == 0)
+    value = brevity(F.col("n_cand"), F.col("n_ref")) * F.exp(logs / F.size(levels))
+    return F.when(dead, 0.0).otherwise(value)
+
+
+def cosine_score():
+    """Cosine of unigram frequencies from overlap columns."""
+    length = F.sqrt(F.col("rr").cast("double")) * F.sqrt(F.col("cc").cast("double"))
+    return F.coalesce(F.try_divide("dot", length), F.lit(0.0))
+
+
+def bleu_ref(pairs, max_n=4):
+    """BLEU as the reference computes it, per pair."""
+    return overlap(pairs, max_n).select("id", bleu_score(max_n).alias("bleu"))
 
 
 def bleu_clipped(pairs, max_n=4):
-    """Textbook BLEU: clipped hits, geometric mean, same penalty; zero without hits."""
-    levels = _gram_counts(pairs, range(1, max_n + 1)).groupBy("id", "n").agg(
-        F.sum(F.least("in_ref", "in_cand")).alias("hits"), F.sum("in_cand").alias("total"), F.sum("in_ref").alias("ref_total"),
-    )
-    one = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
-    seen = levels.where("total > 0").groupBy("id").agg(
-        F.avg(F.when(F.col("hits") > 0, F.log(F.col("hits") / F.col("total")))).alias("logs"),
-        F.min("hits").alias("least"), one("total").alias("n_cand"), one("ref_total").alias("n_ref"),
-    )
-    score = F.when((F.col("least") == 0) | (F.col("n_ref") == 0), 0.0).otherwise(
-        brevity(F.col("n_cand"), F.col("n_ref")) * F.exp("logs"))
-    return pairs.select("id").join(seen.select("id", score.alias("bleu_clipped")), "id", "left").na.fill(0.0, ["bleu_clipped"])
+    """BLEU with clipped counts and a geometric mean, per pair."""
+    return overlap(pairs, max_n).select("id", clipped_score().alias("bleu_clipped"))
 
 
 def cider_proxy(pairs):
-    """Cosine of unigram frequencies per pair."""
-    r, c = F.col("in_ref"), F.col("in_cand")
-    sums = _gram_counts(pairs, [1]).groupBy("id").agg(
-        F.sum(r * c).alias("dot"), F.sum(r * r).alias("rr"), F.sum(c * c).alias("cc")
-    )
-    length = F.sqrt(F.col("rr").cast("double")) * F.sqrt(F.col("cc").cast("double"))
-    score = F.coalesce(F.try_divide(F.col("dot"), length), F.lit(0.0))
-    return pairs.select("id").join(sums.select("id", score.alias("cider_proxy")), "id", "left").na.fill(0.0, ["cider_proxy"])
+    """Cosine of unigram frequencies, per pair."""
+    return overlap(pairs, 1).select("id", cosine_score().alias("cider_proxy"))
 
 
 @F.pandas_udf(LongType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence of two token arrays, whole texts."""
-    return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)])
+    """Longest common subsequence of two texts of space-separated tokens."""
+    return pd.Series([lcs_length(x.split(), y.split()) for x, y in zip(a, b)])
 
 
 def rouge_l(pairs):
     """F1 over the longest common subsequence per pair."""
     rows = pairs.select("id", tokens(F.col("ref")).alias("r"), tokens(F.col("cand")).alias("c"))
-    rows = rows.withColumn("lcs", lcs("r", "c"))
+    rows = rows.withColumn("lcs", lcs(F.array_join("r", " "), F.array_join("c", " ")))
     p, q = F.try_divide("lcs", F.size("c")), F.try_divide("lcs", F.size("r"))
     return rows.select("id", F.coalesce(F.try_divide(2.0 * p * q, p + q), F.lit(0.0)).alias("rouge_l"))
 
 
 def caption_metrics(pairs, ious=None):
     """Corpus means of the text metrics, and of IoU over items with a box."""
-    rows = bleu_ref(pairs).join(rouge_l(pairs), "id").join(cider_proxy(pairs), "id")
+    words = overlap(pairs).select("id", bleu_score().alias("bleu"), cosine_score().alias("cider_proxy"))
+    rows = words.join(rouge_l(pairs), "id")
     text = rows.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in ("bleu", "rouge_l", "cider_proxy")],
@@ -157,7 +166,7 @@ def caption_metrics(pairs, ious=None):
 
 def score_pairs(items):
     """F8 columns for each answered item."""
-    return items.select("*", *score_answer(F.col("prediction"), F.col("gold"), F.col("type")))
+    return score_answers(items)
 
 
 def vqa_metrics(items):

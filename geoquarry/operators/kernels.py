@@ -1,5 +1,7 @@
 """Small numpy kernels over one block and its neighbours."""
 
+from collections import Counter
+
 import numpy as np
 
 
@@ -81,3 +83,21 @@ def lcs_length(a, b):
         hit = row & where.get(token, 0)
         row = ((row + hit) | (row - hit)) & full
     return len(a) - bin(row).count("1")
+
+
+def gram_stats(ref, cand, max_n):
+    """N-gram overlap of two token lists: per level the candidate grams that occur
+    in the reference, the same clipped by the reference count, and the candidate
+    grams; then the unigram products ref.cand, ref.ref and cand.cand."""
+    hits, clipped, total, products = [], [], [], (0, 0, 0)
+    for n in range(1, max_n + 1):
+        r = Counter(zip(*(ref[i:] for i in range(n))))
+        c = Counter(zip(*(cand[i:] for i in range(n))))
+        shared = [(k, r[g]) for g, k in c.items() if g in r]
+        hits.append(sum(k for k, _ in shared))
+        clipped.append(sum(min(k, m) for k, m in shared))
+        total.append(max(len(cand) - n + 1, 0))
+        if n == 1:
+            squares = lambda counts: sum(k * k for k in counts.values())
+            products = (sum(k * m for k, m in shared), squares(r), squares(c))
+    return hits, clipped, total, products

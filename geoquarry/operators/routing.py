@@ -131,14 +131,21 @@ def image_reference(query):
     return chain.otherwise("unspecified")
 
 
+def _cleaned(queries):
+    """qid and stripped text as a column, so that no pattern strips it again."""
+    return queries.select("qid", strip(F.col("query")).alias("q"))
+
+
 def rule_matches(queries):
     """One row per query and matching rule."""
-    return queries.select("qid", F.explode(rule_hits(strip(F.col("query")))).alias("h")).select("qid", "h.*")
+    found = _cleaned(queries).select("qid", rule_hits(F.col("q")).alias("hits"))
+    # the outer form keeps the optimiser from testing the array, and so the rules, twice
+    return found.select("qid", F.explode_outer("hits").alias("h")).where("h is not null").select("qid", "h.*")
 
 
 def first_rule(queries):
     """First rule of each query, null when none matches."""
-    return queries.select("qid", F.get(rule_hits(strip(F.col("query"))), F.lit(0)).alias("h")).select(
+    return _cleaned(queries).select("qid", F.get(rule_hits(F.col("q")), F.lit(0)).alias("h")).select(
         "qid", F.col("h.ordinal").alias("ordinal"), F.col("h.task").alias("task"), F.col("h.name").alias("name")
     )
 
@@ -147,9 +154,8 @@ def exemplar_matches(queries):
     """One row per query and example with a positive score."""
     names = F.array(*[F.lit(t) for t, _ in EXAMPLES])
     texts = F.array(*[F.lit(x) for _, x in EXAMPLES])
-    scores = exemplar_scores(router_tokens(strip(F.col("query"))))
-    kept = F.filter(F.transform(scores, lambda s, i: F.struct(i.alias("example"), s.alias("score"))), lambda p: p["score"] > 0)
-    rows = queries.select("qid", F.explode(kept).alias("p")).select("qid", "p.*")
+    scored = _cleaned(queries).select("qid", exemplar_scores(router_tokens(F.col("q"))).alias("scores"))
+    rows = scored.select("qid", F.posexplode_outer("scores").alias("example", "score")).where("score > 0")
     return rows.select(
         "qid", "example", F.get(names, F.col("example")).alias("task"), F.get(texts, F.col("example")).alias("text"), "score"
     )
@@ -157,9 +163,9 @@ def exemplar_matches(queries):
 
 def best_tasks(queries):
     """Tasks of each query ranked by their best example."""
-    scored = queries.select("qid", exemplar_scores(router_tokens(strip(F.col("query")))).alias("scores"))
+    scored = _cleaned(queries).select("qid", exemplar_scores(router_tokens(F.col("q"))).alias("scores"))
     ranked = scored.select("qid", ranked_tasks(F.col("scores")).alias("ranked"))
-    return ranked.select("qid", F.posexplode("ranked").alias("rank", "r")).select(
+    return ranked.select("qid", F.posexplode_outer("ranked").alias("rank", "r")).where("r is not null").select(
         "qid", "rank", F.col("r.task").alias("task"), (-F.col("r.key")).alias("score")
     )
 

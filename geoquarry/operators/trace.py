@@ -309,12 +309,8 @@ def merge_models(traces, loads, registry):
     return rows.where(chosen.isNotNull()).select("run_id", "ord", "role", chosen.alias("m")).select("run_id", "ord", "role", "m.*")
 
 
-def build_traces(routed, checked, inspected, results, timings):
-    """One nested record per run: success, refusal or crash.
-
-    ``results``: run_id, payload (null for a crash); ``timings``: run_id and the
-    four durations.  A run's own inputs are part of its record.
-    """
+def input_list():
+    """Aggregate of a run's inspected inputs, in order, as its trace lists them."""
     info = F.struct(
         "ord",
         F.coalesce("path", F.lit("")).alias("path"), F.coalesce("modality", F.lit("unknown")).alias("modality"),
@@ -322,12 +318,19 @@ def build_traces(routed, checked, inspected, results, timings):
         F.array(F.coalesce("h", F.lit(0)), F.coalesce("w", F.lit(0))).alias("shape"),
         F.coalesce("format", F.lit("unknown")).alias("format"), "crs", F.col("path").isNotNull().alias("checks_passed"),
     )
-    inputs = inspected.groupBy("run_id").agg(F.array_sort(F.collect_list(info)).alias("inputs"))
+    return F.array_sort(F.collect_list(info)).alias("inputs")
+
+
+def build_traces(checked, results, timings):
+    """One nested record per run: success, refusal or crash.
+
+    ``checked`` holds the routed and checked requests with their ``inputs``;
+    ``results``: run_id, payload (null for a crash); ``timings``: run_id and the
+    four durations.
+    """
     payload = F.when(~F.col("passed"), F.to_json(F.struct(F.lit("validation_failed").alias("status"), "errors"))).when(
         F.col("payload").isNull(), F.lit('{"status":"error"}')).otherwise(F.col("payload"))
-    rows = routed.withColumnRenamed("qid", "run_id").join(
-        checked.select("run_id", "passed", "warnings", "errors"), "run_id", "left"
-    ).join(inputs, "run_id", "left").join(results, "run_id", "left").join(timings, "run_id", "left")
+    rows = checked.join(results, "run_id", "left").join(timings, "run_id", "left")
     task = F.col("task")
     return rows.select(
         F.concat(F.lit("run-"), F.col("run_id").cast("string")).alias("run_id"),

@@ -185,8 +185,8 @@ def f6(spark, sf):
 
 @query("d4_lcs_kernel")
 def d4(spark, sf):
-    rows = V.captions(spark, sf).select("id", text.tokens(F.col("ref")).alias("r"), text.tokens(F.col("cand")).alias("c"))
-    return rows.select("id", evaluate.lcs("r", "c").alias("lcs"))
+    words = lambda c: F.array_join(text.tokens(F.col(c)), " ")
+    return V.captions(spark, sf).select("id", evaluate.lcs(words("ref"), words("cand")).alias("lcs"))
 
 
 @query("f7_cider_proxy", "SELECT id, round(cider, 6) AS cider_proxy FROM v_cider", EXTRA)

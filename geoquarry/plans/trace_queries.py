@@ -85,17 +85,15 @@ EXTRA = {
 def traces(spark, sf):
     """Trace rows of all requests; every thirteenth run crashes."""
     q = V.queries(spark, sf)
-    routed = routing.route(q)
-    inputs, scenes = V.request_inputs(spark, sf), guarded(spark, sf)
-    requests = routed.select(F.col("qid").alias("run_id"), "task", "image_index")
-    checked = catalog.check_pairs(requests, inputs, scenes)
+    requests = routing.route(q).withColumnRenamed("qid", "run_id")
+    checked = catalog.check_pairs(requests, V.request_inputs(spark, sf), guarded(spark, sf), extra=[trace.input_list()])
     e = F.col("qid")
     payload = F.concat(F.lit('{"text_response":"answer '), e.cast("string"), F.lit('","confidence":0.5,"confidence_basis":"heuristic"}'))
     results = q.select(e.alias("run_id"), F.when(e % 13 != 0, payload).alias("payload"))
     parts = (e % 7, e % 11, 100 + e % 900, 100 + e % 900 + e % 7 + e % 11)
     names = ("routing_ms", "validation_ms", "inference_ms", "total_ms")
     timings = q.select(e.alias("run_id"), *[p.cast("int").alias(n) for p, n in zip(parts, names)])
-    return trace.build_traces(routed, checked, catalog.inspect_inputs(inputs, scenes), results, timings)
+    return trace.build_traces(checked, results, timings)
 
 
 @query("p25_validate_results", "SELECT rid, task, violations FROM v_bad", EXTRA)
@@ -114,7 +112,7 @@ def trace_texts(spark, sf):
     e = F.col("event_id")
     table = F.array(*[F.lit(t) for t in TRACES])
     shown = F.element_at(table, (e % len(TRACES) + 1).cast("int"))
-    return V.load(spark, sf, "events").select(
+    return V.spread(V.load(spark, sf, "events"), "event_id").select(
         e.alias("rid"), F.replace(F.replace(shown, F.lit("{id}"), e.cast("string")), F.lit("{v}"), V.fixed("value", "0.00")).alias("trace"))
 
 

@@ -9,7 +9,7 @@ from geoquarry.functions.text import fixed
 from geoquarry.operators.slots import SLOTS
 from geoquarry.plans.templates import PAYLOADS, TEMPLATES
 from geoquarry.sources.blocks import to_pixels
-from geoquarry.sources.tables import load
+from geoquarry.sources.tables import load, spread
 
 SIDE = 8
 BLOCK = 4
@@ -170,7 +170,7 @@ def scene_pairs(spark, sf):
 
 def queries(spark, sf):
     """English queries: (qid, ts, user_id, query, n_inputs, gold_task)."""
-    return queries_of(load(spark, sf, "events"))
+    return queries_of(spread(load(spark, sf, "events"), "event_id"))
 
 
 def queries_of(events):
@@ -253,7 +253,7 @@ def qa_images(spark, sf):
 def captions(spark, sf):
     """Reference and candidate texts, whole: (id, image_id, ref, cand, ord)."""
     swapped = F.regexp_replace("text", " (the|and|of|la|de|und|der|el) ", " this ")
-    return load(spark, sf, "documents").select(
+    return spread(load(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
         _idiv(F.col("doc_id"), 2).alias("image_id"),
         F.col("text").alias("ref"),
@@ -274,7 +274,7 @@ def boxes(spark, sf):
     key = F.col("l_orderkey") + F.col("l_partkey")
     raw = F.when(key % 13 == 0, F.lit("{<5><7>}")).otherwise(F.concat(F.lit("{"), text, F.lit("}")))
     label = F.when(n % 3 == 0, F.lit(" ")).when(n % 3 == 1, F.lit("17")).otherwise(F.col("l_returnflag"))
-    return load(spark, sf, "lineitem").select(
+    return spread(load(spark, sf, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("image_id"),
         n.alias("ord"),
         F.col("l_partkey").alias("item"),
@@ -426,7 +426,7 @@ def payloads(spark, sf):
     e = F.col("event_id")
     table = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(p).alias("text")) for t, p in PAYLOADS])
     return (
-        load(spark, sf, "events")
+        spread(load(spark, sf, "events"), "event_id")
         .select("event_id", "value", F.element_at(table, (e % len(PAYLOADS) + 1).cast("int")).alias("t"))
         .select(
             e.alias("rid"),
