@@ -9,6 +9,14 @@ ANSWER_WORDS = {"presence": ["yes", "no"], "comp": ["yes", "no"], "rural_urban":
 PENALTY_BASE = 2.718281828
 
 
+def literal(value):
+    """A text as a raw SQL literal, for long constant tables written as one expression."""
+    mark = '"' if "'" in value else "'"
+    if mark in value:
+        raise ValueError("text holds both kinds of quotes")
+    return f"r{mark}{value}{mark}"
+
+
 def fixed(number, pattern):
     """A number as text with a fixed number of digits, such as ``0.00``."""
     return F.call_function("format_number", number, F.lit(pattern))

@@ -37,13 +37,13 @@ def present(messages):
 
 
 def keyword_hit(words):
-    """First (modality, keyword) found in lower-case text, or null."""
-    tests = [
-        F.when(words.contains(k), F.struct(F.lit(m).alias("modality"), F.lit(k).alias("keyword")))
+    """First (modality, keyword) found in the lower-case text of an SQL expression, or null."""
+    tests = " ".join(
+        f"WHEN contains({words}, '{k}') THEN named_struct('modality', '{m}', 'keyword', '{k}')"
         for m, keys in KEYWORDS
         for k in keys
-    ]
-    return F.coalesce(*tests)
+    )
+    return F.expr(f"CASE {tests} END")
 
 
 def resolve_modality(scenes):
@@ -53,8 +53,8 @@ def resolve_modality(scenes):
     """
     base = F.element_at(F.split("path", "/"), -1)
     blob = F.lower(F.array_join(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " "))
-    marked = scenes.withColumn("_base", base).select(
-        "*", keyword_hit(F.lower("_base")).alias("_name"), keyword_hit(blob).alias("_meta")
+    marked = scenes.withColumns({"_base": base, "_low": F.lower(base), "_tags": blob}).select(
+        "*", keyword_hit("_low").alias("_name"), keyword_hit("_tags").alias("_meta")
     )
     name, meta, bands = F.col("_name"), F.col("_meta"), F.col("band_count")
     user = F.lower(F.trim("user_modality"))
@@ -107,7 +107,7 @@ def resolve_modality(scenes):
             "band count ", bands, " is ambiguous and no filename/metadata hint was available; "
             "resolving to unknown rather than guess")))
     )
-    return marked.withColumn("decision", decision).drop("_base", "_name", "_meta")
+    return marked.withColumn("decision", decision).drop("_base", "_low", "_tags", "_name", "_meta")
 
 
 def guard_modality(resolved):

@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from geoquarry.functions.text import fixed, strip
+from geoquarry.functions.text import fixed, literal, strip
 from geoquarry.operators.rules import (
     EXEMPLAR_FLOOR, EXEMPLARS, REFERENCES, RULE_STRENGTH, RULES, SINGLE_IMAGE, STOP_WORDS, TARGET_ARTICLE,
     TARGET_EDGE, TARGET_LEAD, TARGET_TRAIL, TARGET_WHERE, TASKS, WHOLE_EDGE,
@@ -23,10 +23,13 @@ def pattern(text):
     return F.lit(FLAGS + text)
 
 
+STOP_LIST = "array(" + ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS))) + ")"
+
+
 def router_tokens(text):
     """ASCII words of two letters or more that are not stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
+    stop = F.expr(STOP_LIST)
     return F.filter(words, lambda w: ~F.array_contains(stop, w) & (F.length(w) > 1))
 
 
@@ -35,6 +38,8 @@ def _tokens(text):
 
 
 EXAMPLES = [(task, text) for task in TASKS for text in EXEMPLARS[task]]
+EXAMPLE_TASKS = "array(" + ", ".join(literal(t) for t, _ in EXAMPLES) + ")"
+EXAMPLE_TEXTS = "array(" + ", ".join(literal(x) for _, x in EXAMPLES) + ")"
 
 
 def _weights():
@@ -50,16 +55,14 @@ def _weights():
 IDF, WEIGHTS, NORMS = _weights()
 
 
-def rule_hits(query):
-    """All rules a query matches, in order: array of (ordinal, task, name)."""
-    tests = [
-        F.when(
-            F.regexp_like(query, pattern(p)),
-            F.struct(F.lit(i).alias("ordinal"), F.lit(task).alias("task"), F.lit(name).alias("name")),
-        )
+def rule_hits(column):
+    """All rules the text in ``column`` matches, in order: array of (ordinal, task, name)."""
+    tests = ", ".join(
+        f"CASE WHEN regexp_like({column}, {literal(FLAGS + p)}) "
+        f"THEN named_struct('ordinal', {i}, 'task', '{task}', 'name', '{name}') END"
         for i, (task, name, p) in enumerate(RULES)
-    ]
-    return F.filter(F.array(*tests), lambda h: h.isNotNull())
+    )
+    return F.expr(f"filter(array({tests}), h -> h IS NOT NULL)")
 
 
 def _numbers(values):
@@ -138,22 +141,21 @@ def _cleaned(queries):
 
 def rule_matches(queries):
     """One row per query and matching rule."""
-    found = _cleaned(queries).select("qid", rule_hits(F.col("q")).alias("hits"))
+    found = _cleaned(queries).select("qid", rule_hits("q").alias("hits"))
     # the outer form keeps the optimiser from testing the array, and so the rules, twice
     return found.select("qid", F.explode_outer("hits").alias("h")).where("h is not null").select("qid", "h.*")
 
 
 def first_rule(queries):
     """First rule of each query, null when none matches."""
-    return _cleaned(queries).select("qid", F.get(rule_hits(F.col("q")), F.lit(0)).alias("h")).select(
+    return _cleaned(queries).select("qid", F.get(rule_hits("q"), F.lit(0)).alias("h")).select(
         "qid", F.col("h.ordinal").alias("ordinal"), F.col("h.task").alias("task"), F.col("h.name").alias("name")
     )
 
 
 def exemplar_matches(queries):
     """One row per query and example with a positive score."""
-    names = F.array(*[F.lit(t) for t, _ in EXAMPLES])
-    texts = F.array(*[F.lit(x) for _, x in EXAMPLES])
+    names, texts = F.expr(EXAMPLE_TASKS), F.expr(EXAMPLE_TEXTS)
     scored = _cleaned(queries).select("qid", exemplar_scores(router_tokens(F.col("q"))).alias("scores"))
     rows = scored.select("qid", F.posexplode_outer("scores").alias("example", "score")).where("score > 0")
     return rows.select(
@@ -176,7 +178,7 @@ def route(queries):
     Columns added: task, mechanism, matched, score, alternatives, exemplar,
     reference, image_index, image_note, note.
     """
-    base = queries.withColumn("_q", strip(F.coalesce("query", F.lit("")))).withColumn("_hits", rule_hits(F.col("_q")))
+    base = queries.withColumn("_q", strip(F.coalesce("query", F.lit("")))).withColumn("_hits", rule_hits("_q"))
     hit = F.get("_hits", F.lit(0))
     # words are empty for a query a rule has decided, so it costs nothing here
     words = F.when(F.size("_hits") == 0, router_tokens(F.col("_q")))
@@ -192,7 +194,7 @@ def route(queries):
         F.slice("_ranked", 2, 3),
         lambda r: F.concat(r["task"], F.lit("(score="), fixed(-r["key"], "0.000"), F.lit(")")),
     )
-    texts = F.array(*[F.lit(x) for _, x in EXAMPLES])
+    texts = F.expr(EXAMPLE_TEXTS)
     none = F.array().cast("array<string>")
     decided = scored.select(
         *queries.columns,

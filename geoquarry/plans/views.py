@@ -5,7 +5,7 @@ Nothing here is sampled: every view covers every row of the tables it reads.
 
 from pyspark.sql import functions as F
 
-from geoquarry.functions.text import fixed
+from geoquarry.functions.text import fixed, literal
 from geoquarry.operators.slots import SLOTS
 from geoquarry.plans.templates import PAYLOADS, TEMPLATES
 from geoquarry.sources.blocks import to_pixels
@@ -173,10 +173,16 @@ def queries(spark, sf):
     return queries_of(spread(load(spark, sf, "events"), "event_id"))
 
 
+def _texts(rows):
+    """A constant table of (task, text) as one array."""
+    parts = ", ".join(f"named_struct('task', '{t}', 'text', {literal(x)})" for t, x in rows)
+    return F.expr(f"array({parts})")
+
+
 def queries_of(events):
     """The query view over any event rows, batch or stream."""
     e = F.col("event_id")
-    table = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(q).alias("text")) for t, q in TEMPLATES])
+    table = _texts(TEMPLATES)
     return (
         events
         .select("event_id", "ts", "user_id", "event_type", F.element_at(table, (e % len(TEMPLATES) + 1).cast("int")).alias("t"))
@@ -424,7 +430,7 @@ def tokens(spark, sf):
 def payloads(spark, sf):
     """Result payloads as JSON text, right and wrong: (rid, task, payload)."""
     e = F.col("event_id")
-    table = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(p).alias("text")) for t, p in PAYLOADS])
+    table = _texts(PAYLOADS)
     return (
         spread(load(spark, sf, "events"), "event_id")
         .select("event_id", "value", F.element_at(table, (e % len(PAYLOADS) + 1).cast("int")).alias("t"))
