@@ -14,7 +14,7 @@ from geoquarry.operators.scale import running_sums, tiled_pairs
 #: Largest class table shipped to the tasks as one matrix; larger ones are tiled.
 MAX_CLASSES = 4096
 #: Vectors per tile of an all-pairs comparison.
-VECTOR_TILE = 4096
+VECTOR_TILE = 2048
 #: Scores closer than this are ties.
 SCORE_DIGITS = 9
 TOP_LABELS = 5
@@ -156,22 +156,19 @@ def precision_points(scored):
 
 
 def multilabel_metrics(scored):
-    """Average precision and F1 (at score > 0) per class."""
-    points = precision_points(scored)
-    ap = points.groupBy("cls").agg(
-        F.try_divide(F.sum(F.col("precision") * F.col("hit")), F.sum("hit")).alias("ap")
-    )
+    """Average precision and F1 (at score > 0) per class.
+
+    Everything follows from the precision points, so the scores are read once.
+    """
     said = F.col("score") > 0
-    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    counts = scored.groupBy("cls").agg(
-        F.sum("truth").alias("positives"),
-        count(said & (F.col("truth") == 1)).alias("tp"),
-        count(said & (F.col("truth") == 0)).alias("fp"),
-        count(~said & (F.col("truth") == 1)).alias("fn"),
+    total = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0))
+    sums = precision_points(scored).groupBy("cls").agg(
+        F.sum(F.col("precision") * F.col("hit")).alias("_p"), F.sum("hit").alias("positives"),
+        total(said, "hit").alias("tp"), total(said, "one").alias("said"),
     )
-    tp = F.col("tp")
-    f1 = F.coalesce(F.try_divide(2.0 * tp, 2 * tp + F.col("fp") + F.col("fn")), F.lit(0.0))
-    return ap.join(counts, "cls").select("cls", "positives", "ap", f1.alias("f1"))
+    # 2tp / (2tp + fp + fn), where tp + fp were said and tp + fn are positive
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("said") + F.col("positives")), F.lit(0.0))
+    return sums.select("cls", "positives", F.try_divide("_p", "positives").alias("ap"), f1.alias("f1"))
 
 
 def macro(metrics):

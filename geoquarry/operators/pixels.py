@@ -14,6 +14,7 @@ LOW, HIGH = 0.02, 0.98
 DB_SHARE, DB_FLOOR = 1e-3, 1e-12
 DENOMINATOR = 1e-8
 LUMA = (0.299, 0.587, 0.114)
+FLAT_DISPLAY, FLAT_ENCODER = 128, 127
 
 
 def band_stats(blocks, keys=("scene", "band")):
@@ -64,11 +65,16 @@ def _workspace(v, lo, hi):
     return F.when(usable, scaled).otherwise(0.0)
 
 
-def stretch(blocks, keys=("scene", "band")):
-    """2-98 percentile stretch to 0..255, halves to even, flat bands mid-grey."""
+def stretch(blocks, keys=("scene", "band"), flat=FLAT_DISPLAY):
+    """2-98 percentile stretch to 0..255, halves to even, flat bands at level ``flat``.
+
+    The display uses 128 (half of 255 rounded to even), the encoder input 127.
+    """
     keys = list(keys)
     rows = to_pixels(_limited(blocks, keys), keep=(*keys, "q", "n", "vmin", "vmax"))
-    return rows.select(*keys, "y", "x", F.bround(_display(F.col("v")) * 255).cast("int").alias("u8"))
+    level = F.bround(_display(F.col("v")) * 255).cast("int")
+    is_flat = (F.col("vmax") <= F.col("vmin")) & finite(F.col("v"))
+    return rows.select(*keys, "y", "x", F.when(is_flat, flat).otherwise(level).alias("u8"))
 
 
 def stretch_trunc(blocks, keys=("scene", "band")):

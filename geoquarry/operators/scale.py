@@ -38,8 +38,11 @@ def running_sums(df, keys, order, sums, descending=False, ranges=RANGES):
     quantiles of ``order``; totals per cut are added up first, and only the rows
     of one cut meet in a task, so the result is exact for any group size.
     Output: keys, order, the sums, and ``run_<sum>``.
+
+    The merged rows are read three times, so they are checkpointed rather than
+    computed again from ``df`` each time.
     """
-    merged = df.groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums])
+    merged = reliable_checkpoint(df.groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums]))
     cuts = merged.groupBy(*keys).agg(
         F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10000).alias("_cuts")
     )

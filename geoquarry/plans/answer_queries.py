@@ -98,6 +98,12 @@ def reference(spark, sf):
     return V.boxes(spark, sf).select("image_id", "ord", "item", box.alias("box")).where("box is not null")
 
 
+def referring(spark, sf):
+    """Referring rows, with a null box where the text cannot be read."""
+    box = boxes.parse_ref_box(F.col("raw"), F.col("w"), F.col("h"))
+    return V.boxes(spark, sf).select("image_id", "ord", "item", box.alias("box"))
+
+
 @query("s5_read_split", "SELECT qid, type, question FROM v_qa WHERE active")
 def s5(spark, sf):
     rows = V.answers(spark, sf).select("qid", "type", "question", "active")
@@ -201,7 +207,7 @@ def a12_text(spark, sf):
 
 @query("a12_caption_metrics")
 def a12(spark, sf):
-    ious = boxes.box_iou(predicted(spark, sf), reference(spark, sf))
+    ious = boxes.first_iou(predicted(spark, sf), referring(spark, sf))
     rows = evaluate.caption_metrics(V.captions(spark, sf), ious)
     return rows.select("n", "n_iou", *[six(c) for c in ("bleu", "rouge_l", "cider_proxy", "grounding_iou")])
 
@@ -320,6 +326,17 @@ def j19(spark, sf):
     return boxes.box_iou(predicted(spark, sf), reference(spark, sf)).select("image_id", "ord", "item", six("iou"))
 
 
+@query("j19_first_iou", """
+    SELECT image_id, round(CASE WHEN u > 0 THEN i / u ELSE 0.0 END, 6) AS iou FROM (
+      SELECT *, (ymax - ymin) * (xmax - xmin) + (rymax - rymin) * (rxmax - rxmin) - i AS u FROM (
+        SELECT *, greatest(0.0, least(xmax, rxmax) - greatest(xmin, rxmin)) * greatest(0.0, least(ymax, rymax) - greatest(ymin, rymin)) AS i
+        FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ord, item, label, confidence) AS k FROM v_nbox) JOIN (
+          SELECT * EXCLUDE (ord, item), row_number() OVER (PARTITION BY image_id ORDER BY ord, item) AS k2 FROM v_ref) USING (image_id)
+        WHERE k = 1 AND k2 = 1 AND ok))""", EXTRA)
+def j19_first(spark, sf):
+    return boxes.first_iou(predicted(spark, sf), referring(spark, sf)).select("image_id", six("iou"))
+
+
 @query("l2_best_box", "SELECT image_id, n, confidence, label, round(ymin, 4) AS ymin FROM v_bestbox", EXTRA)
 def l2(spark, sf):
     return boxes.best_box(predicted(spark, sf)).select("image_id", "n", "confidence", "label", F.round("box.ymin", 4).alias("ymin"))

@@ -100,6 +100,13 @@ def p4(spark, sf):
     return pixels.stretch(V.band_blocks(spark, sf))
 
 
+@query("p4_stretch_encoder", """
+    SELECT scene, band, y, x, CASE WHEN vmax <= vmin AND isfinite(v) THEN 127 ELSE round_even(CASE WHEN NOT isfinite(v) THEN 0.0
+           ELSE greatest(0.0, least(1.0, (v - lo) / (hi - lo))) END * 255, 0)::INT END AS u8 FROM v_px LEFT JOIN v_lim USING (scene, band)""", EXTRA)
+def p4_encoder(spark, sf):
+    return pixels.stretch(V.band_blocks(spark, sf), flat=pixels.FLAT_ENCODER)
+
+
 @query("p5_stretch_trunc", "SELECT * FROM v_trunc", EXTRA)
 def p5(spark, sf):
     return pixels.stretch_trunc(V.band_blocks(spark, sf))
