@@ -150,7 +150,7 @@ def inspect(scenes):
         odd.append(F.when(
             (modality == name) & ~bands.isin(counts),
             text(path, ": ", bands, f"-band input is unusual for modality '{name}' (expected one of "
-                 f"{counts}); benclip will fall back to band-count mapping for embedding"),
+                 f"{counts}); encoder will fall back to band-count mapping for embedding"),
         ))
     warnings = present([
         F.when(~supported(path), text(path, ": extension '.", extension(path),

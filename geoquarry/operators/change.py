@@ -320,7 +320,7 @@ def change_text(mechanism, good, confidence, reason, changed_fraction, movers, s
         F.concat(F.lit("Bi-temporal change analysis, t0 "), side0, F.lit(" vs t1 "), side1, F.lit(". "), registered, F.lit(".")),
         F.concat(F.lit("Differencing + morphological cleanup flags "),
                  fixed(changed_fraction * 100, "0.0"), F.lit("% of pixels as changed.")),
-        F.concat(F.lit("Largest benclip class-confidence shifts between the two dates: "), movers, F.lit(".")),
+        F.concat(F.lit("Largest encoder class-confidence shifts between the two dates: "), movers, F.lit(".")),
     )
 
 

@@ -13,7 +13,7 @@ MECHANISMS = ["exemplar_nn", "rule"]
 MODALITIES = ["msi", "optical", "sar", "unknown"]
 TASK_ROLES = {
     "vqa": ["vqa"], "caption": ["vqa"], "grounding": ["grounding"],
-    "change": ["benclip", "vqa"], "fusion": ["benclip", "vqa"],
+    "change": ["encoder", "vqa"], "fusion": ["encoder", "vqa"],
 }
 BASIS_LABELS = {
     "stub": "Placeholder — specialist not yet implemented",

@@ -126,7 +126,7 @@ def p17(spark, sf):
 
 _PLAUSIBLE = " ".join(
     f"WHEN modality = '{m}' AND band_count NOT IN ({', '.join(map(str, b))}) THEN path || ': ' || band_count || "
-    + quote(f"-band input is unusual for modality '{m}' (expected one of {b}); benclip will fall back to band-count mapping for embedding")
+    + quote(f"-band input is unusual for modality '{m}' (expected one of {b}); encoder will fall back to band-count mapping for embedding")
     for m, b in catalog.PLAUSIBLE_BANDS.items())
 _INSPECT = f"""
     SELECT i.run_id, i.ord, i.scene, s.modality, s.h, s.w, s.crs,

@@ -145,10 +145,10 @@ def p32(spark, sf):
 
 
 @query("j21_merge_models", """
-    SELECT run_id, ord, role, CASE WHEN run_id % 3 = 0 AND role <> 'benclip' THEN 'loaded-' || role ELSE 'planned-' || role END AS name,
-           CASE WHEN run_id % 3 = 0 AND role <> 'benclip' THEN 'cuda' ELSE 'cpu' END AS device
+    SELECT run_id, ord, role, CASE WHEN run_id % 3 = 0 AND role <> 'encoder' THEN 'loaded-' || role ELSE 'planned-' || role END AS name,
+           CASE WHEN run_id % 3 = 0 AND role <> 'encoder' THEN 'cuda' ELSE 'cpu' END AS device
     FROM (SELECT qid AS run_id, unnest(r) AS role, unnest(range(0, len(r)))::INT AS ord FROM (
-      SELECT qid, CASE WHEN gold_task = 'grounding' THEN ['grounding'] WHEN gold_task IN ('vqa', 'caption') THEN ['vqa'] ELSE ['benclip', 'vqa'] END AS r FROM v_query))""")
+      SELECT qid, CASE WHEN gold_task = 'grounding' THEN ['grounding'] WHEN gold_task IN ('vqa', 'caption') THEN ['vqa'] ELSE ['encoder', 'vqa'] END AS r FROM v_query))""")
 def j21(spark, sf):
     q = V.queries(spark, sf)
     runs = q.select(F.col("qid").alias("run_id"), F.col("gold_task").alias("task"))
@@ -156,7 +156,7 @@ def j21(spark, sf):
     loads = q.where("qid % 3 = 0").select(F.col("qid").alias("run_id"), role.alias("role")).select(
         "run_id", "role", F.concat(F.lit("loaded-"), "role").alias("name"), F.lit("r1").alias("revision"), F.lit("fp16").alias("precision"),
         F.lit(None).cast("string").alias("adapter"), F.lit("cuda").alias("device"))
-    roles = F.explode(F.array(*[F.lit(r) for r in ("vqa", "grounding", "benclip")]))
+    roles = F.explode(F.array(*[F.lit(r) for r in ("vqa", "grounding", "encoder")]))
     registry = spark.range(1).select(roles.alias("role")).select(
         "role", F.concat(F.lit("planned-"), "role").alias("name"), F.lit("r0").alias("revision"), F.lit("fp32").alias("precision"), F.lit("cpu").alias("device"))
     return trace.merge_models(runs, loads, registry).select("run_id", "ord", "role", "name", "device")
