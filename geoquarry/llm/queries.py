@@ -1,6 +1,6 @@
 """The registered queries of the text operators, and the SQL of those that have one."""
 
-from geoquarry.llm import mixing
+from geoquarry.llm import mixing, packing
 
-QUERIES = {"op1_mixing": mixing.op1_mixing}
+QUERIES = {"op1_mixing": mixing.op1_mixing, "op6_packing": packing.op6_packing}
 ORACLE = {"op1_mixing": mixing.SQL}
