@@ -1,6 +1,11 @@
 """The registered queries of the text operators, and the SQL of those that have one."""
 
-from geoquarry.llm import mixing, packing
+from geoquarry.llm import language, mixing, packing, quality_rules
 
-QUERIES = {"op1_mixing": mixing.op1_mixing, "op6_packing": packing.op6_packing}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op6_packing": packing.op6_packing,
+    "op7_language_id": language.op7_language_id,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
+}
 ORACLE = {"op1_mixing": mixing.SQL}
