@@ -78,11 +78,12 @@ def slices(text):
 
 
 def labelled_sample(docs, labels, label, fold, per_class, id_col="doc_id", text_col="text"):
-    """A bounded, repeatable sample of labelled texts: pandas columns ``text`` and ``label``.
+    """A bounded, repeatable sample of labelled texts: pandas columns ``text``, ``label``, ``weight``.
 
     Up to ``per_class`` rows of each of the labels 0 and 1, the first by hash of
     the id, none of them from the held-out ``fold`` (modulus, remainder).  Ids
-    labelled twice count by their largest label.  Only the chosen ids meet the
+    labelled twice count by their largest label.  ``weight`` is how many labelled
+    rows a row stands for.  Only the chosen ids meet the
     documents, so the broadcast holds at most ``2 * per_class`` rows.
     """
     known = (
@@ -104,4 +105,6 @@ def labelled_sample(docs, labels, label, fold, per_class, id_col="doc_id", text_
     )
     # repeated ids bring further rows: keep the bound, and an order that reruns share
     rows = rows.sort_values(["_id", "text"]).groupby("label").head(per_class)
-    return rows[["text", "label"]].reset_index(drop=True)
+    totals = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    rows["weight"] = rows["label"].map(lambda y: totals[y]) / rows.groupby("label")["label"].transform("count")
+    return rows[["text", "label", "weight"]].reset_index(drop=True)

@@ -1,9 +1,11 @@
 """The registered queries of the text operators, and the SQL of those that have one."""
 
-from geoquarry.llm import language, mixing, packing, quality_rules
+from geoquarry.llm import language, mixing, packing, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality_classifier": quality_model.op5_quality_classifier,
     "op6_packing": packing.op6_packing,
     "op7_language_id": language.op7_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
