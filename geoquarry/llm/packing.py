@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from geoquarry.llm.common import running_totals, table
+from geoquarry.session import reliable_checkpoint
 
 CAPACITY, END = 2048, 1
 #: Distinct chunks, and distinct words, whose ids a worker remembers at once.
@@ -200,7 +201,8 @@ def pack(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, path=None, w
     other columns of the input are not read.
     """
     cut = pieces(docs, id_col, text_col, capacity, path, with_ids).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_totals(cut, ["length"], ["doc_id", "start", "ids_crc32"], ["_one"])
+    # range partitioning reads its input twice: once for the cuts
+    ranked = running_totals(reliable_checkpoint(cut), ["length"], ["doc_id", "start", "ids_crc32"], ["_one"])
     # at most one row per possible length
     histogram = {r["length"]: r["count"] for r in ranked.groupBy("length").count().collect()}
     spark = docs.sparkSession
