@@ -1,9 +1,10 @@
 """The registered queries of the text operators, and the SQL of those that have one."""
 
-from geoquarry.llm import language, mixing, packing, pii, quality_model, quality_rules, simhash, topk, toxicity
+from geoquarry.llm import language, mixing, packing, pii, quality_model, quality_rules, repeats, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_repeats": repeats.op2_repeats,
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_classifier": quality_model.op5_quality_classifier,
