@@ -154,24 +154,35 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", words=WORDS, radius=
     repeated rows share all results; an empty table gives no rows; other columns
     are not read.
     """
+    found = _rooted(docs, id_col, text_col, words, radius)
+    return found.select("doc_id", "fp", "body", "component_id")
+
+
+def _rooted(docs, id_col, text_col, words, radius):
+    """:func:`near_duplicates` with ``root``, the fingerprint that stands for the component."""
     prints = reliable_checkpoint(fingerprints(docs, id_col, text_col, words))
     nodes = reliable_checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     stars = components(links(nodes, radius))
     rooted = nodes.join(stars, F.col("fp") == F.col("a"), "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.join(names, "root").select(F.col("fp").alias("k"), "component_id")
-    return prints.join(known, F.col("fp") == F.col("k")).select("doc_id", "fp", "body", "component_id")
+    known = rooted.join(names, "root").select(F.col("fp").alias("k"), "component_id", "root")
+    return prints.join(known, F.col("fp") == F.col("k")).select("doc_id", "fp", "body", "component_id", "root")
 
 
 def representatives(docs, id_col="doc_id", text_col="text", words=WORDS, radius=RADIUS):
-    """The rows of ``docs`` with one row of each component, the first by id, then by text."""
-    found = near_duplicates(docs, id_col, text_col, words, radius)
-    first = found.groupBy("fp", "component_id").agg(F.min(F.struct("doc_id", "body")).alias("r"))
-    # a component's smallest id, null ids last
-    order = F.struct(F.col("r.doc_id").isNull().alias("n"), F.col("r.doc_id").alias("doc_id"), F.col("r.body").alias("body"))
-    root = found.groupBy("component_id").agg(F.min("fp").alias("lowest"))
-    del first, order, root
-    return found
+    """The rows of ``docs`` with one row of each component: the smallest id (null last), then the smallest text hash.
+
+    Of rows that agree in id and text the smallest row stays.
+    """
+    found = _rooted(docs, id_col, text_col, words, radius)
+    alike = found.groupBy("root", "doc_id", "body").agg(F.count(F.lit(1)).alias("n"))
+    first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body", "n")).alias("r"))
+    chosen = first.select(F.col("r.doc_id").alias("_r_id"), F.col("r.body").alias("_r_body"), F.col("r.n").alias("_r_n"))
+    names = docs.columns
+    own = docs.withColumn("_r_own", F.xxhash64(text_col)).join(chosen, F.col(id_col).eqNullSafe(F.col("_r_id")) & (F.col("_r_own") == F.col("_r_body")))
+    single = own.where(F.col("_r_n") == 1).select(*names)
+    several = own.where(F.col("_r_n") > 1).groupBy("_r_id", "_r_body").agg(F.min(F.struct(*names)).alias("_r_row")).select("_r_row.*")
+    return single.unionByName(several)
 
 
 def op3_simhash(spark, folder):

@@ -154,6 +154,18 @@ def score_toxicity(docs, model, id_col="doc_id", text_col="text"):
     return found.select("doc_id", fold_is("doc_id", *HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs, model, text_col="text"):
+    """The rows of ``docs`` whose texts score below 0.5, unchanged."""
+    place = docs.columns.index(text_col)
+
+    def sift(batches):
+        pair = compressors(model[0])
+        for batch in batches:
+            yield batch.filter(pa.array([probability(t.as_py() or "", pair, model) < 0.5 for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def trained(docs, labels):
     return train(labelled_sample(docs, labels, "toxic", HELD_OUT, PER_CLASS))
 
