@@ -74,10 +74,11 @@ def first_box(detections, order=("ord", "item")):
 def first_iou(detections, referring):
     """IoU of each image's first detection with its first referring box.
 
+    Rows that tie in ``ord`` and ``item`` are taken by their corners, a missing box first.
     ``referring`` has ``image_id, ord, item, box``; an image whose first referring
     row has no usable box, or that has no detection, is left out.
     """
-    first = referring.groupBy("image_id").agg(F.min_by("box", F.struct("ord", "item")).alias("ref"))
+    first = referring.groupBy("image_id").agg(F.min(F.struct("ord", "item", "box")).alias("r")).select("image_id", F.col("r.box").alias("ref"))
     rows = first_box(detections).join(first.where("ref is not null"), "image_id")
     return rows.select("image_id", iou(F.col("box"), F.col("ref")).alias("iou"))
 

@@ -33,14 +33,27 @@ def _cdf(hist):
     )
 
 
+def joint_histogram(pairs):
+    """Pixels per pair of levels of the two dates: at most 65,536 rows per scene."""
+    return (
+        pairs.select("scene", F.explode(F.arrays_zip("g0", "g1")).alias("g"))
+        .groupBy("scene", F.col("g.g0").alias("g0"), F.col("g.g1").alias("g1")).count()
+    )
+
+
 def match_table(pairs):
     """Level of date 1 -> matched level of date 0 (W3): (scene, level, matched).
 
     The quantile of each source level is placed between the two nearest
     quantiles of date 0 and interpolated, clamped at both ends, truncated.
     """
-    target = _cdf(histogram(pairs, "g0")).select("scene", "q", F.col("level").alias("known"), F.lit(None).cast("int").alias("level"))
-    source = _cdf(histogram(pairs, "g1")).select("scene", "q", F.lit(None).cast("int").alias("known"), "level")
+    return _match(joint_histogram(pairs))
+
+
+def _match(joint):
+    side = lambda name: joint.groupBy("scene", F.col(name).alias("level")).agg(F.sum("count").alias("count"))
+    target = _cdf(side("g0")).select("scene", "q", F.col("level").alias("known"), F.lit(None).cast("int").alias("level"))
+    source = _cdf(side("g1")).select("scene", "q", F.lit(None).cast("int").alias("known"), "level")
     both = target.unionByName(source)
     order = Window.partitionBy("scene").orderBy("q", F.col("known").isNull().cast("int"))
     up = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -62,20 +75,40 @@ def match_table(pairs):
     return placed.select("scene", "level", clipped.cast("int").alias("matched"))
 
 
-def difference(pairs):
-    """Blocks of |date 0 - matched date 1|."""
-    table = match_table(pairs).groupBy("scene").agg(
+def _lookup(matches):
+    """Per scene, the matched level of each of the 256 levels."""
+    return matches.groupBy("scene").agg(
         F.map_from_entries(F.collect_list(F.struct("level", "matched"))).alias("_map")
     ).select("scene", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.col("_map")[i]).alias("_lut"))
-    rows = salted_join(pairs, table, ["scene"], ["by", "bx"])
-    return rows.withColumn(
-        "data", F.zip_with("g0", "g1", lambda p, q: F.abs(p - F.get(F.col("_lut"), q)))
-    ).drop("_lut")
+
+
+def _distance(p, q):
+    return F.abs(p - F.get(F.col("_lut"), q))
+
+
+def difference(pairs):
+    """Blocks of |date 0 - matched date 1|."""
+    rows = pairs.join(_lookup(match_table(pairs)), "scene")
+    return rows.withColumn("data", F.zip_with("g0", "g1", _distance)).drop("_lut")
+
+
+def difference_levels(pairs):
+    """Matched levels and the histogram of the difference, per scene, from one pass over the pixels.
+
+    Both follow from the joint histogram of the two dates: no difference block is built.
+    """
+    joint = joint_histogram(pairs)
+    lookup = _lookup(_match(joint))
+    levels = joint.join(lookup, "scene").groupBy("scene", _distance(F.col("g0"), F.col("g1")).alias("level")).agg(F.sum("count").alias("count"))
+    return lookup, levels
 
 
 def class_variance(diff):
     """Between-class variance of a split after each level (W4); null after the last."""
-    hist = histogram(diff, "data")
+    return _variance(histogram(diff, "data"))
+
+
+def _variance(hist):
     run = Window.partitionBy("scene").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("scene")
     moment = F.col("count") * F.col("level")
@@ -94,38 +127,42 @@ def otsu(diff):
 
     The first level wins a tie; a scene with one level gets 0.
     """
+    return _threshold(histogram(diff, "data"))
+
+
+def _threshold(hist):
     best = F.max(F.struct(F.coalesce("variance", F.lit(-1.0)).alias("v"), (-F.col("level")).alias("l")))
-    return class_variance(diff).groupBy("scene").agg(best.alias("b")).select(
+    return _variance(hist).groupBy("scene").agg(best.alias("b")).select(
         "scene", F.when(F.col("b.v") > 0, -F.col("b.l")).otherwise(0).alias("threshold"),
         F.greatest(F.col("b.v"), F.lit(0.0)).alias("variance"),
     )
 
 
-def change_mask(pairs, size=512):
-    """Difference, threshold and cleaned mask: blocks with ``diff``, ``threshold``
-    and ``data`` (0 or 255)."""
-    diff = difference(pairs)
-    raw = salted_join(diff, otsu(diff).select("scene", "threshold"), ["scene"], ["by", "bx"])
-    marks = raw.withColumn(
-        "data", F.transform("data", lambda v: F.when(v > F.col("threshold"), 255).otherwise(0))
-    )
-    return morph(marks.select("scene", "by", "bx", "h", "w", "data"), size=size)
+def change_mask(pairs, size=512, levels=None):
+    """Difference, threshold and cleaned mask: blocks with ``data`` (0 or 255).
+
+    ``levels`` is the result of :func:`difference_levels` where it is at hand.
+    """
+    lookup, hist = levels or difference_levels(pairs)
+    limits = lookup.join(_threshold(hist).select("scene", "threshold"), "scene")
+    over = lambda p, q: F.when(_distance(p, q) > F.col("threshold"), 255).otherwise(0)
+    marks = pairs.join(limits, "scene").select("scene", "by", "bx", "h", "w", F.zip_with("g0", "g1", over).alias("data"))
+    return morph(marks, size=size)
 
 
 def diff_stats(pairs, size=512):
-    """Difference and mask statistics per scene (A5)."""
-    diff = difference(pairs)
-    levels = histogram(diff, "data")
+    """Difference and mask statistics per scene (A5): one pass for the levels, one for the mask."""
+    lookup, hist = difference_levels(pairs)
     n = F.sum("count")
-    facts = levels.groupBy("scene").agg(
+    facts = hist.groupBy("scene").agg(
         (F.sum(F.col("level") * F.col("count")) / n).alias("diff_mean"),
         F.max("level").alias("diff_max"),
         n.alias("total_pixels"),
     )
-    changed = change_mask(pairs, size).groupBy("scene").agg(
+    changed = change_mask(pairs, size, (lookup, hist)).groupBy("scene").agg(
         F.sum(F.size(F.filter("data", lambda v: v > 0))).alias("changed_pixels")
     )
-    return facts.join(otsu(diff).select("scene", "threshold"), "scene").join(changed, "scene").withColumn(
+    return facts.join(_threshold(hist).select("scene", "threshold"), "scene").join(changed, "scene").withColumn(
         "changed_fraction", F.col("changed_pixels") / F.col("total_pixels")
     )
 

@@ -96,7 +96,8 @@ def pair_scores(images, texts, tile=VECTOR_TILE):
 
     ``images`` and ``texts`` have ``id`` and ``v``.  Per image: its own text's
     score, how many texts rank above it, and the best text.  Tile pairs run as
-    matrix products and only their per-image summaries are shuffled.
+    matrix products and only their per-image summaries are shuffled.  An image
+    without a text has no own score and no rank, which counts as a miss.
     """
     own = images.join(texts.select("id", F.col("v").alias("t")), "id", "left")
     a, b = _tile(own, texts.select("id", "v"), tile)
@@ -125,12 +126,13 @@ def pair_scores(images, texts, tile=VECTOR_TILE):
     best = F.max(F.struct("best_score", (-F.col("best")).alias("best")))
     return parts.groupBy("id").agg(
         F.first("own").alias("own"), F.sum("above").alias("above"), best.alias("b"), F.sum("n").alias("n")
-    ).select("id", "own", (F.col("above") + 1).alias("rank"), (-F.col("b.best")).alias("best"),
-             F.col("b.best_score").alias("best_score"), "n")
+    ).withColumn("own", F.nanvl("own", F.lit(None).cast("double"))).select(
+        "id", "own", F.when(F.col("own").isNotNull(), F.col("above") + 1).alias("rank"), (-F.col("b.best")).alias("best"),
+        F.col("b.best_score").alias("best_score"), "n")
 
 
 def recall_at_k(ranks, ks=(1, 5)):
-    """Share of images whose own text ranks within k."""
+    """Share of images whose own text ranks within k; no rank is a miss."""
     return ranks.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"r{k}") for k in ks],

@@ -48,9 +48,16 @@ def _piece(dy, dx, halo):
     )
 
 
+def in_step(blocks, size):
+    """``blocks``, failing where they do not lie on a grid of ``size``: neighbours are addressed by it."""
+    off = (F.col("by") % size != 0) | (F.col("bx") % size != 0) | (F.col("h") > size) | (F.col("w") > size)
+    wrong = F.raise_error(F.concat(F.lit(f"blocks are not on a grid of {size}: "), F.to_json(F.struct("by", "bx", "h", "w"))))
+    return blocks.withColumn("by", F.when(off, wrong.cast("int")).otherwise(F.col("by")))
+
+
 def with_halo(blocks, keys, size, halo):
     """Each block with the edges of its eight neighbours: ``parts`` (at most nine)."""
-    keys = list(keys)
+    keys, blocks = list(keys), in_step(blocks, size)
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     sent = blocks.select(*keys, "by", "bx", "h", "w", F.col("data").cast("array<double>").alias("data"), F.explode(steps).alias("_dy"))
     sent = sent.select("*", F.explode(steps).alias("_dx"))
@@ -136,7 +143,7 @@ def resample(blocks, geometry, keys=("scene", "band"), mode="bilinear", size=512
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
     wanted = targets.select("*", cells("y0", "y1").alias("_i")).select("*", cells("x0", "x1").alias("_j"))
     wanted = wanted.withColumns({"by": (F.col("_i") * size).cast("int"), "bx": (F.col("_j") * size).cast("int")}).drop("_i", "_j")
-    source = blocks.select(*keys, "by", "bx", "h", "w", F.col("data").cast("array<double>").alias("data"))
+    source = in_step(blocks, size).select(*keys, "by", "bx", "h", "w", F.col("data").cast("array<double>").alias("data"))
     spec = [*keys, "ty", "tx", "th", "tw", "y0", "y1", "x0", "x1", "src_h", "src_w", "ay", "cy", "ax", "cx"]
     gathered = (
         wanted.join(source, [*keys, "by", "bx"], "left")
@@ -202,17 +209,18 @@ def align_to_grid(blocks, grids, keys=("scene", "band"), size=512):
     """Read bands on a reference grid in the same CRS.
 
     ``grids`` per key: ``src_transform, src_crs, dst_transform, dst_crs, out_h,
-    out_w``.  A missing or different CRS is an error row.
+    out_w``.  A missing or different CRS is an error row, and so is a rotated grid.
     """
     keys = list(keys)
     s, d = F.col("src_transform"), F.col("dst_transform")
-    usable = F.coalesce(F.col("src_crs") == F.col("dst_crs"), F.lit(False))
+    straight = (s[1] == 0) & (s[3] == 0) & (d[1] == 0) & (d[3] == 0)
+    usable = F.coalesce((F.col("src_crs") == F.col("dst_crs")) & straight, F.lit(False))
     errors = grids.where(~usable).select(
         *keys,
         F.when(
             F.col("src_crs").isNull() | F.col("dst_crs").isNull(),
             "Automatic spatial alignment requires georeferencing.",
-        ).otherwise("CRS differs").alias("error"),
+        ).when(F.col("src_crs") != F.col("dst_crs"), "CRS differs").otherwise("Grid is rotated.").alias("error"),
     )
     g = grids.where(usable).join(raster_size(blocks, keys), keys).withColumns({
         "ax": d[0] / s[0], "cx": (0.5 * d[0] + d[2] - s[2]) / s[0] - 0.5,

@@ -311,15 +311,15 @@ def j11(spark, sf):
     SELECT scene, band, y, x, v, NULL::VARCHAR AS error FROM (""" + _bilinear("""
       SELECT s.scene, band, y, x, (-ta / -ta) * y + ((0.5 * -ta + (tf - ta * 1.5::DOUBLE) - tf) / -ta - 0.5) AS sy, (ta / ta) * x + ((0.5 * ta + (tc + ta * 0.25::DOUBLE) - tc) / ta - 0.5) AS sx
       FROM v_scene s, (SELECT unnest([1, 2, 3, 4])::INT AS band), (SELECT unnest(range(0, 8))::INT AS y), (SELECT unnest(range(0, 8))::INT AS x)
-      WHERE crs IS NOT NULL""", "CASE WHEN sy > 7.5 OR sx > 7.5 THEN NULL ELSE") + """)
-    UNION ALL SELECT scene, band, NULL, NULL, NULL, 'Automatic spatial alignment requires georeferencing.'
-    FROM v_scene, (SELECT unnest([1, 2, 3, 4])::INT AS band) WHERE crs IS NULL""")
+      WHERE crs IS NOT NULL AND s.scene % 10 <> 7""", "CASE WHEN sy > 7.5 OR sx > 7.5 THEN NULL ELSE") + """)
+    UNION ALL SELECT scene, band, NULL, NULL, NULL, CASE WHEN crs IS NULL THEN 'Automatic spatial alignment requires georeferencing.' ELSE 'Grid is rotated.' END
+    FROM v_scene, (SELECT unnest([1, 2, 3, 4])::INT AS band) WHERE crs IS NULL OR scene % 10 = 7""")
 def j10(spark, sf):
     t = F.col("transform")
     grids = V.scenes(spark, sf).select(
         "scene", F.explode(F.array(*[F.lit(b) for b in (1, 2, 3, 4)])).alias("band"),
         t.alias("src_transform"), F.col("crs").alias("src_crs"), F.col("crs").alias("dst_crs"),
-        F.array(t[0], t[1], t[2] + t[0] * 0.25, t[3], t[4], t[5] + t[4] * 1.5).alias("dst_transform"),
+        F.array(t[0], F.when(F.col("scene") % 10 == 7, 0.5).otherwise(t[1]), t[2] + t[0] * 0.25, t[3], t[4], t[5] + t[4] * 1.5).alias("dst_transform"),
         F.lit(8).alias("out_h"), F.lit(8).alias("out_w"))
     out, errors = grid.align_to_grid(V.band_blocks(spark, sf), grids, size=V.BLOCK)
     px = B.to_pixels(out).withColumns({

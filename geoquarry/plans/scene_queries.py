@@ -243,7 +243,7 @@ def j20(spark, sf):
 
 EXTRA["v_point"] = """
     SELECT s.scene, s.crs, i.x, i.y, s.h, s.w, ta * (i.x + 0.5) + tc AS mx, -ta * (i.y + 0.5) + tf AS my
-    FROM (SELECT event_id, (event_id % 125)::INT AS scene, (event_id % 18 - 1)::INT AS x, (event_id % 7)::INT AS y FROM events) i
+    FROM (SELECT event_id, (event_id % n)::INT AS scene, (event_id % 18 - 1)::INT AS x, (event_id % 7)::INT AS y FROM events, (SELECT max(vec_id) // 4 + 1 AS n FROM embeddings)) i
     JOIN v_scene s USING (scene)"""
 EXTRA["v_point_geo"] = utm_sql("v_point")
 
@@ -257,7 +257,7 @@ EXTRA["v_point_geo"] = utm_sql("v_point")
 def f17(spark, sf):
     e = F.col("event_id")
     points = V.load(spark, sf, "events").select(
-        (e % 125).cast("int").alias("scene"), (e % 18 - 1).cast("int").alias("x"), (e % 7).cast("int").alias("y"))
+        (e % V.scene_count(spark, sf)).cast("int").alias("scene"), (e % 18 - 1).cast("int").alias("x"), (e % 7).cast("int").alias("y"))
     rows = catalog.pixel_lon_lat(points, V.scenes(spark, sf))
     return rows.withColumns({"lon": F.round("lon", 6) + 0.0, "lat": F.round("lat", 6) + 0.0})
 

@@ -57,9 +57,9 @@ VIEWS = {
           CASE WHEN scene % 9 = 0 THEN 16 ELSE 8 END AS h, CASE WHEN scene % 9 = 0 THEN 16 ELSE 8 END AS w
         FROM (SELECT DISTINCT (vec_id // 4)::INT AS scene FROM embeddings)""",
     "v_scene_pair": """
-        SELECT event_id AS pair, (event_id % 125)::INT AS scene0,
-               CASE WHEN event_id % 10 = 0 THEN (event_id % 125)::INT ELSE ((event_id * 7 + 3) % 125)::INT END AS scene1
-        FROM events""",
+        SELECT event_id AS pair, (event_id % n)::INT AS scene0,
+               CASE WHEN event_id % 10 = 0 THEN (event_id % n)::INT ELSE ((event_id * 7 + 3) % n)::INT END AS scene1
+        FROM events, (SELECT max(vec_id) // 4 + 1 AS n FROM embeddings)""",
     "v_query": f"""
         SELECT event_id AS qid, ts, user_id,
                replace(({sql_list([q for _, q in TEMPLATES])})[event_id % {len(TEMPLATES)} + 1], '{{x}}', event_type) AS query,
@@ -67,8 +67,8 @@ VIEWS = {
                ({sql_list([t for t, _ in TEMPLATES])})[event_id % {len(TEMPLATES)} + 1] AS gold_task
         FROM events""",
     "v_input": """
-        SELECT qid AS run_id, ord::INT AS ord, (([qid % 128, (qid * 7 + 3) % 128, (qid * 5 + 1) % 128])[ord + 1])::INT AS scene
-        FROM (SELECT qid, unnest(range(0, n_inputs)) AS ord FROM v_query)""",
+        SELECT qid AS run_id, ord::INT AS ord, (([qid % n, (qid * 7 + 3) % n, (qid * 5 + 1) % n])[ord + 1])::INT AS scene
+        FROM (SELECT qid, unnest(range(0, n_inputs)) AS ord FROM v_query), (SELECT max(vec_id) // 4 + 4 AS n FROM embeddings)""",
     "v_qa": """
         SELECT qid, img_id, type, 'question about ' || type AS question, gold,
                CASE qid % 4 WHEN 0 THEN upper(gold) WHEN 1 THEN '  ' || gold || ' '
@@ -134,7 +134,7 @@ VIEWS = {
         FROM embeddings""",
     "v_text": """
         SELECT a.vec_id, list_transform(list_zip(a.e, coalesce(b.e, a.e)), lambda p: p[1] * 0.7::DOUBLE + p[2] * 0.3::DOUBLE) AS t
-        FROM v_emb a LEFT JOIN v_emb b ON b.vec_id = a.vec_id + 1""",
+        FROM v_emb a LEFT JOIN v_emb b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 <> 7""",
     "v_class": """
         SELECT label, 'class_' || label AS name, list(m ORDER BY d) AS vec FROM (
           SELECT label, d, avg(v) AS m FROM (

@@ -211,7 +211,7 @@ def t1(spark, sf):
 @query("t2_validate_stream", """
     SELECT run_id, ord, coalesce(modality, 'none') AS modality, CASE WHEN modality IS NULL THEN 0 ELSE len(warnings) END AS warnings, len(errors) AS errors FROM v_inspect""", EXTRA)
 def t2(spark, sf):
-    arriving = V.inputs_of(stream_queries(spark, sf))
+    arriving = V.inputs_of(stream_queries(spark, sf), V.scene_count(spark, sf))
     checked = jobs.validate_stream(arriving, guarded(spark, sf)).select(
         "run_id", "ord", F.coalesce("modality", F.lit("none")).alias("modality"), F.size("warnings").cast("long").alias("warnings"), F.size("errors").cast("long").alias("errors"))
     return jobs.run_once(checked, "checked")

@@ -158,13 +158,18 @@ def scenes(spark, sf):
     )
 
 
+def scene_count(spark, sf):
+    """How many scenes the catalogue has, as a scalar subquery."""
+    return load(spark, sf, "embeddings").agg((_idiv(F.max("vec_id"), 4) + 1).alias("n")).scalar()
+
+
 def scene_pairs(spark, sf):
     """Pairs of scenes named by events: (pair, scene0, scene1)."""
-    e = F.col("event_id")
+    e, n = F.col("event_id"), scene_count(spark, sf)
     return load(spark, sf, "events").select(
         e.alias("pair"),
-        (e % 125).cast("int").alias("scene0"),
-        F.when(e % 10 == 0, (e % 125).cast("int")).otherwise(((e * 7 + 3) % 125).cast("int")).alias("scene1"),
+        (e % n).cast("int").alias("scene0"),
+        F.when(e % 10 == 0, (e % n).cast("int")).otherwise(((e * 7 + 3) % n).cast("int")).alias("scene1"),
     )
 
 
@@ -198,14 +203,14 @@ def queries_of(events):
 
 
 def request_inputs(spark, sf):
-    """Inputs of each request: (run_id, ord, scene); scenes 125..127 do not exist
-    at the small scale, so some inputs cannot be read."""
-    return inputs_of(queries(spark, sf))
+    """Inputs of each request: (run_id, ord, scene); three ids just past the
+    catalogue do not exist, so some inputs cannot be read."""
+    return inputs_of(queries(spark, sf), scene_count(spark, sf))
 
 
-def inputs_of(requests):
-    e = F.col("qid")
-    ids = F.array(e % 128, (e * 7 + 3) % 128, (e * 5 + 1) % 128)
+def inputs_of(requests, scenes):
+    e, n = F.col("qid"), scenes + 3
+    ids = F.array(e % n, (e * 7 + 3) % n, (e * 5 + 1) % n)
     return requests.select(
         e.alias("run_id"),
         F.posexplode(F.slice(ids, 1, F.col("n_inputs"))).alias("ord", "scene"),
@@ -375,10 +380,13 @@ def embeddings(spark, sf):
 
 
 def text_vectors(spark, sf):
-    """The paired text vector of each scene: 0.7 of its own plus 0.3 of the next."""
+    """The paired text vector of each scene: 0.7 of its own plus 0.3 of the next.
+
+    Every fiftieth scene has no text.
+    """
     rows = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     following = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("n"))
-    return rows.join(following, "vec_id", "left").select(
+    return rows.where("vec_id % 50 <> 7").join(following, "vec_id", "left").select(
         "vec_id",
         F.zip_with("e", F.coalesce("n", "e"), lambda a, b: a * 0.7 + b * 0.3).alias("t"),
     )
