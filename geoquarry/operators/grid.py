@@ -137,6 +137,10 @@ def resample(blocks, geometry, keys=("scene", "band"), mode="bilinear", size=512
     ``geometry`` has, per key, ``out_h, out_w, src_h, src_w`` and the linear map
     from output to source index: ``src = ay*out + cy`` (and ``ax, cx``).
     ``outside='edge'`` repeats the border, ``'missing'`` gives null.
+
+    A source block is cut to the lines and columns that the output tile samples
+    before it is sent, so what meets in a tile is bounded by the tile, however
+    strong the reduction.
     """
     keys, tile = list(keys), tile or size
     targets = _targets(geometry, keys, tile)
@@ -145,26 +149,57 @@ def resample(blocks, geometry, keys=("scene", "band"), mode="bilinear", size=512
     wanted = wanted.withColumns({"by": (F.col("_i") * size).cast("int"), "bx": (F.col("_j") * size).cast("int")}).drop("_i", "_j")
     source = in_step(blocks, size).select(*keys, "by", "bx", "h", "w", F.col("data").cast("array<double>").alias("data"))
     spec = [*keys, "ty", "tx", "th", "tw", "y0", "y1", "x0", "x1", "src_h", "src_w", "ay", "cy", "ax", "cx"]
-    gathered = (
-        wanted.join(source, [*keys, "by", "bx"], "left")
-        .groupBy(*spec)
-        .agg(F.collect_list(F.struct("by", "bx", "h", "w", "data")).alias("parts"))
-    )
+    types = dict(blocks.dtypes)
+    fields = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def samples(r):
+        """Source positions of the tile's rows and columns, and the lines and columns they need."""
+        places = []
+        for scale, shift, start, length, limit in ((r.ay, r.cy, r.ty, r.th, r.src_h), (r.ax, r.cx, r.tx, r.tw, r.src_w)):
+            at = scale * np.arange(start, start + length) + shift
+            inside = np.clip(np.floor(at) if mode == "nearest" else at, 0, limit - 1)
+            low = np.floor(inside).astype(int)
+            needed = np.unique(low if mode == "nearest" else np.concatenate([low, np.minimum(low + 1, limit - 1)]))
+            places.append((at, needed, np.searchsorted(needed, low) + inside - low))
+        return places
+
+    def within(needed, start, length):
+        return needed[(needed >= start) & (needed < start + length)]
+
+    def cut(batches):
+        for batch in batches:
+            results = []
+            for r in batch.itertuples(index=False):
+                if r.data is None:
+                    results.append(None)
+                    continue
+                (_, rows, _), (_, cols, _) = samples(r)
+                h, w = int(r.h), int(r.w)
+                block = np.asarray(r.data, dtype=float).reshape(h, w)
+                results.append(block[np.ix_(within(rows, r.by, h) - r.by, within(cols, r.bx, w) - r.bx)].ravel().tolist())
+            out = batch.copy()
+            out["data"] = results
+            yield out
+
+    sent = wanted.join(source, [*keys, "by", "bx"], "left").select(*spec, "by", "bx", "h", "w", "data")
+    schema = ", ".join(f"{name} {kind}" for name, kind in sent.dtypes)
+    gathered = sent.mapInPandas(cut, schema).groupBy(*spec).agg(F.collect_list(F.struct("by", "bx", "h", "w", "data")).alias("parts"))
 
     def run(batches):
         for batch in batches:
             results = []
             for r in batch.itertuples(index=False):
-                window, _ = kernels.assemble(r.parts, r.y0, r.x0, r.y1 - r.y0 + 1, r.x1 - r.x0 + 1)
-                ys = r.ay * np.arange(r.ty, r.ty + r.th) + r.cy
-                xs = r.ax * np.arange(r.tx, r.tx + r.tw) + r.cx
+                (ys, rows, iy), (xs, cols, ix) = samples(r)
+                window = np.full((len(rows), len(cols)), np.nan)
+                for part in r.parts:
+                    if part is None or part["data"] is None:
+                        continue
+                    y, x = within(rows, part["by"], part["h"]), within(cols, part["bx"], part["w"])
+                    window[np.ix_(np.searchsorted(rows, y), np.searchsorted(cols, x))] = np.asarray(part["data"], dtype=float).reshape(len(y), len(x))
                 if mode == "nearest":
-                    iy = np.clip(np.floor(ys).astype(int), 0, r.src_h - 1) - r.y0
-                    ix = np.clip(np.floor(xs).astype(int), 0, r.src_w - 1) - r.x0
-                    values = window[np.ix_(iy, ix)]
+                    values = window[np.ix_(iy.astype(int), ix.astype(int))]
                 else:
-                    cy, cx = np.clip(ys, 0, r.src_h - 1), np.clip(xs, 0, r.src_w - 1)
-                    values = kernels.sample(window, cy - r.y0, cx - r.x0)
+                    values = kernels.sample(window, iy, ix)
                 if outside == "missing":
                     off_y = (ys < -0.5) | (ys > r.src_h - 0.5)
                     off_x = (xs < -0.5) | (xs > r.src_w - 0.5)
@@ -176,8 +211,6 @@ def resample(blocks, geometry, keys=("scene", "band"), mode="bilinear", size=512
             out["data"] = results
             yield out
 
-    types = dict(blocks.dtypes)
-    fields = ", ".join(f"{k} {types[k]}" for k in keys)
     return gathered.mapInPandas(run, f"{fields}, by int, bx int, h int, w int, data array<double>")
 
 

@@ -1,5 +1,7 @@
 """Trace, contract and streaming queries."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from geoquarry.operators import catalog, routing, trace
@@ -196,12 +198,18 @@ def p30_fusion(spark, sf):
         F.lit("msi, 4-band"), F.lit("sar, 2-band"), e % 6, (e % 6) * 20.0, e % 3, e % 4, e % 2 == 0, e % 5 == 0).alias("text"))
 
 
-def stream_queries(spark, sf):
+def stream_queries(spark, sf, closing=None):
     """Events arriving as a stream, turned into queries by the batch view."""
-    events = jobs.read_events(spark, sf)
+    events = jobs.read_events(spark, sf, closing=closing)
     return V.queries_of(events)
 
 
+def end_mark(spark, sf):
+    """An end mark a day after the last event."""
+    last = V.load(spark, sf, "events").agg(F.max("ts").alias("ts")).first()["ts"]
+    return jobs.Closing(spark, last + datetime.timedelta(days=1))
+
+
 @query("t1_route_stream", "SELECT qid, task, mechanism, matched FROM v_routed", EXTRA)
 def t1(spark, sf):
     routed = jobs.route_stream(stream_queries(spark, sf)).select("qid", "task", "mechanism", "matched")
@@ -227,21 +235,22 @@ def t3(spark, sf):
 
 
 @query("t4_counts_per_window", f"""
-    SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, task, {_STATUS} AS status, count(*) AS runs FROM v_routed GROUP BY ALL
-    HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""", EXTRA)
+    SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, task, {_STATUS} AS status, count(*) AS runs FROM v_routed GROUP BY ALL""", EXTRA)
 def t4(spark, sf):
-    rows = jobs.with_status(jobs.route_stream(stream_queries(spark, sf)))
-    return jobs.run_once(jobs.counts_per_window(rows), "windows").select(F.col("start").cast("timestamp_ntz").alias("start"), "task", "status", "runs")
+    end = end_mark(spark, sf)
+    rows = jobs.with_status(jobs.route_stream(stream_queries(spark, sf, end)))
+    return jobs.run_once(jobs.counts_per_window(rows), "windows", closing=end).select(F.col("start").cast("timestamp_ntz").alias("start"), "task", "status", "runs")
 
 
 @query("t5_sessions", """
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS runs FROM (
       SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
         SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events))
-    GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+    GROUP BY user_id, s""")
 def t5(spark, sf):
     plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return jobs.run_once(jobs.sessions(stream_queries(spark, sf)), "sessions").select("user_id", plain("start"), plain("end"), "runs")
+    end = end_mark(spark, sf)
+    return jobs.run_once(jobs.sessions(stream_queries(spark, sf, end)), "sessions", closing=end).select("user_id", plain("start"), plain("end"), "runs")
 
 
 @query("t6_drop_repeats", "SELECT event_id AS qid FROM events")

@@ -15,13 +15,40 @@ from geoquarry.session import scratch_path
 LATE = "10 minutes"
 
 
-def read_events(spark, folder, name="events.parquet", schema=None, files_per_batch=None):
-    """Stream of the files called ``name`` in a folder, with ``ts`` as event time."""
+def read_events(spark, folder, name="events.parquet", schema=None, files_per_batch=None, closing=None):
+    """Stream of the files called ``name`` in a folder, with ``ts`` as event time.
+
+    ``closing`` is a :class:`Closing` whose row follows when the input has ended.
+    """
     schema = schema or spark.read.parquet(f"{folder}/{name}").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = reader.parquet(folder)
+    if closing:
+        rows = rows.unionByName(spark.readStream.schema(schema).parquet(closing.prepare(schema)))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+class Closing:
+    """An end mark for an input that has ended: one row, null but for a late enough time.
+
+    It arrives after everything else and moves the watermark past every window
+    that is still open, so that windows and sessions come out whole.
+    """
+
+    def __init__(self, spark, time):
+        self.spark, self.time, self.folder = spark, time, scratch_path(spark, "closing")
+
+    def prepare(self, schema):
+        self.schema = schema
+        self.spark.createDataFrame([], schema).write.parquet(self.folder)
+        return self.folder
+
+    def arrive(self):
+        time = F.lit(self.time).cast(self.schema["ts"].dataType)
+        columns = [time.alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
+        self.spark.range(1).select(*columns).write.mode("append").parquet(self.folder)
 
 
 def route_stream(queries):
@@ -92,13 +119,18 @@ def change_state(masks):
     )
 
 
-def run_once(stream, label, partition_by=(), mode="append"):
-    """Process what has arrived into Parquet and return it as a batch frame."""
+def run_once(stream, label, partition_by=(), mode="append", closing=None):
+    """Process what has arrived into Parquet and return it as a batch frame.
+
+    With ``closing`` the job goes on from its checkpoint after the end mark.
+    """
     spark = stream.sparkSession
     target, marks = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", marks)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    query = writer.trigger(availableNow=True).start(target)
-    query.awaitTermination()
+    for last in (False, True) if closing else (True,):
+        if last and closing:
+            closing.arrive()
+        writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", marks)
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.trigger(availableNow=True).start(target).awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
