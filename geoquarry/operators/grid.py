@@ -335,6 +335,11 @@ def legacy_mask(diff_blocks, threshold=LEGACY_THRESHOLD):
     return diff_blocks.withColumn("data", F.transform("data", lambda v: F.when(v > threshold, 255).otherwise(0)))
 
 
+def opened_mask(masks, keys=("scene",), size=512):
+    """The legacy mask after a 5x5 opening, as it is saved."""
+    return morph(masks, ("min", "max"), keys, size, radius=2)
+
+
 def mask_quality(masks, registration, keys=("scene",)):
     """Signal, noise, coherence, trust and verdict of each mask.
 

@@ -65,6 +65,15 @@ def rule_hits(column):
     return F.expr(f"filter(array({tests}), h -> h IS NOT NULL)")
 
 
+def first_hit(column):
+    """The first rule the text in ``column`` matches (W6): later patterns are not tried."""
+    chain = " ".join(
+        f"WHEN regexp_like({column}, {literal(FLAGS + p)}) THEN named_struct('ordinal', {i}, 'task', '{task}', 'name', '{name}')"
+        for i, (task, name, p) in enumerate(RULES)
+    )
+    return F.expr(f"CASE {chain} END")
+
+
 def _numbers(values):
     return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
 
@@ -148,7 +157,7 @@ def rule_matches(queries):
 
 def first_rule(queries):
     """First rule of each query, null when none matches."""
-    return _cleaned(queries).select("qid", F.get(rule_hits("q"), F.lit(0)).alias("h")).select(
+    return _cleaned(queries).select("qid", first_hit("q").alias("h")).select(
         "qid", F.col("h.ordinal").alias("ordinal"), F.col("h.task").alias("task"), F.col("h.name").alias("name")
     )
 

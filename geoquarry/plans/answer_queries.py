@@ -190,6 +190,25 @@ def f6(spark, sf):
     return evaluate.rouge_l(V.captions(spark, sf)).select("id", six("rouge_l"))
 
 
+def dropped(spark, sf):
+    """Whole texts, and the same without every fifth token: their longest common subsequence is what is left."""
+    words = text.tokens(F.col("ref"))
+    fewer = F.filter(words, lambda w, i: (i + 1) % 5 != 0)
+    return V.captions(spark, sf).select("id", "ref", F.array_join(fewer, " ").alias("cand"))
+
+
+@query("f6_rouge_dropped", """
+    SELECT id, round(CASE WHEN n = 0 THEN 0.0 ELSE 2.0 * (n - n // 5) / (n - n // 5 + n) END, 6) AS rouge_l FROM (SELECT id, len(r) AS n FROM v_side)""", EXTRA)
+def f6_dropped(spark, sf):
+    return evaluate.rouge_l(dropped(spark, sf)).select("id", six("rouge_l"))
+
+
+@query("d4_lcs_dropped", "SELECT id, len(r) - len(r) // 5 AS lcs FROM v_side", EXTRA)
+def d4_dropped(spark, sf):
+    words = lambda c: F.array_join(text.tokens(F.col(c)), " ")
+    return dropped(spark, sf).select("id", evaluate.lcs(words("ref"), words("cand")).alias("lcs"))
+
+
 @query("d4_lcs_kernel")
 def d4(spark, sf):
     words = lambda c: F.array_join(text.tokens(F.col(c)), " ")

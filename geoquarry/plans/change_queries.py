@@ -43,14 +43,14 @@ EXTRA = {
     "v_ham": """
         SELECT a.kp AS kp0, b.kp AS kp1, a.x AS u, a.y AS v, b.x, b.y,
                bit_count(xor(a.d0, b.d0))::INT + bit_count(xor(a.d1, b.d1))::INT + bit_count(xor(a.d2, b.d2))::INT + bit_count(xor(a.d3, b.d3))::INT AS distance
-        FROM v_desc a, v_desc b WHERE a.image = 0 AND b.image = 1""",
+        FROM v_desc a, v_desc b WHERE a.image = 0 AND b.image = 1 AND a.kp // 50 = b.kp // 50""",
     "v_match": """
         SELECT kp0, kp1, u, v, x, y, distance FROM (
           SELECT *, row_number() OVER (PARTITION BY kp0 ORDER BY distance, kp1) AS r0, row_number() OVER (PARTITION BY kp1 ORDER BY distance, kp0) AS r1 FROM v_ham)
         WHERE r0 = 1 AND r1 = 1""",
     "v_moment": """
-        SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(u) AS su, sum(v) AS sv, sum(x * x + y * y) AS sq,
-               sum(x * u + y * v) AS along, sum(x * v - y * u) AS across FROM v_match WHERE distance < 50""",
+        SELECT (kp0 // 50)::INT AS pair, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(u) AS su, sum(v) AS sv, sum(x * x + y * y) AS sq,
+               sum(x * u + y * v) AS along, sum(x * v - y * u) AS across FROM v_match WHERE distance < 50 GROUP BY ALL""",
     "v_l0": "SELECT scene, y, x, CASE WHEN abs(g0 - g1) > 45 THEN 255 ELSE 0 END AS v FROM v_pair",
 }
 COMPONENTS = """
@@ -67,8 +67,8 @@ def simple_mask(spark, sf):
 
 
 def keypoints(spark, sf):
-    """Keypoints of the two images of one pair."""
-    rows = V.descriptors(spark, sf).withColumn("pair", F.lit(0))
+    """Keypoints of the two images of each pair, fifty a pair."""
+    rows = V.descriptors(spark, sf).withColumn("pair", F.floor(F.col("kp") / 50).cast("int"))
     return rows.where("image = 0").drop("image"), rows.where("image = 1").drop("image")
 
 
@@ -147,23 +147,24 @@ def j14(spark, sf):
 
 
 @query("j14_registration", """
-    SELECT 0 AS pair, (SELECT count(*) FROM embeddings) AS keypoints_t0, (SELECT count(*) FROM embeddings) AS keypoints_t1, good,
+    SELECT pair, keypoints AS keypoints_t0, keypoints AS keypoints_t1, good,
            CASE WHEN good < 3 THEN least(good / 25.0, 0.15) ELSE least(good / 25.0, 1.0) END AS confidence,
            CASE WHEN good < 3 THEN 'no_warp_fallback' ELSE 'orb_affine' END AS mechanism
-    FROM (SELECT count(*) AS good FROM v_match WHERE distance < 50)""", EXTRA)
+    FROM (SELECT (vec_id // 50)::INT AS pair, count(*) AS keypoints FROM embeddings GROUP BY ALL)
+    LEFT JOIN (SELECT (kp0 // 50)::INT AS pair, count(*) AS good FROM v_match WHERE distance < 50 GROUP BY ALL) USING (pair)""", EXTRA)
 def j14_registration(spark, sf):
     first, second = keypoints(spark, sf)
     return change.registration(matched(spark, sf), first, second)
 
 
-@query("l6_sorted_matches", "SELECT kp0, distance, row_number() OVER (ORDER BY distance, kp0) - 1 AS position FROM v_match WHERE distance < 50", EXTRA)
+@query("l6_sorted_matches", "SELECT kp0, distance, row_number() OVER (PARTITION BY kp0 // 50 ORDER BY distance, kp0) - 1 AS position FROM v_match WHERE distance < 50", EXTRA)
 def l6(spark, sf):
     good = change.good_matches(matched(spark, sf))
     return change.ordered_matches(good)
 
 
 @query("a26_fit_similarity", """
-    SELECT n, round(a, 6) AS a, round(b, 6) AS b, round((su - a * sx + b * sy) / n, 4) AS tx, round((sv - b * sx - a * sy) / n, 4) AS ty,
+    SELECT pair, n, round(a, 6) AS a, round(b, 6) AS b, round((su - a * sx + b * sy) / n, 4) AS tx, round((sv - b * sx - a * sy) / n, 4) AS ty,
            round(sqrt(a * a + b * b), 6) AS scale, round(degrees(atan2(b, a)), 5) AS rotation
     FROM (SELECT *, (along - (sx * su + sy * sv) / n) / (sq - (sx * sx + sy * sy) / n) AS a,
                  (across - (sx * sv - sy * su) / n) / (sq - (sx * sx + sy * sy) / n) AS b FROM v_moment)""", EXTRA)
@@ -174,7 +175,7 @@ def a26(spark, sf):
         second.select("pair", F.col("kp").alias("kp1"), "x", "y"), ["pair", "kp1"])
     rows = change.fit_similarity(points)
     digits = {"a": 6, "b": 6, "tx": 4, "ty": 4, "scale": 6, "rotation": 5}
-    return rows.select("n", *[F.round(c, d).alias(c) for c, d in digits.items()])
+    return rows.select("pair", "n", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
 @query("p30_change_text", """

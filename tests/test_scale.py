@@ -161,3 +161,62 @@ def test_large_class_table_is_tiled(spark, monkeypatch):
     small = flat(embed.label_scores(emb, classes))
     monkeypatch.setattr(embed, "MAX_CLASSES", 4)
     assert flat(embed.label_scores(emb, classes)) == small
+
+
+def test_every_scene_takes_part(spark):
+    from geoquarry.plans import views
+
+    for folder in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        known = {r["scene"] for r in views.scenes(spark, folder).select("scene").collect()}
+        pairs = views.scene_pairs(spark, folder)
+        named = {r["s"] for r in pairs.selectExpr("explode(array(scene0, scene1)) AS s").distinct().collect()}
+        assert named == known
+        asked = {r["scene"] for r in views.request_inputs(spark, folder).select("scene").distinct().collect()}
+        assert known < asked and len(asked - known) == 3
+
+
+def test_unpaired_image_is_a_miss(spark):
+    from geoquarry.operators import embed
+
+    images = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "id long, v array<double>")
+    ranks = embed.pair_scores(images, images.where("id < 2"))
+    assert {r["id"]: r["rank"] for r in ranks.collect()} == {0: 1, 1: 1, 2: None}
+    assert embed.recall_at_k(ranks).first()["r1"] == pytest.approx(2 / 3)
+
+
+def test_blocks_off_the_grid_fail(spark):
+    from geoquarry.operators import grid
+
+    blocks = spark.createDataFrame([(0, 0, 16, 16, 16, [1.0] * 256)], "scene int, by int, bx int, h int, w int, data array<double>")
+    with pytest.raises(Exception, match="not on a grid"):
+        grid.resample_nearest(blocks, 4, 4).collect()
+    with pytest.raises(Exception, match="not on a grid"):
+        grid.morph(blocks).collect()
+
+
+def test_reduction_sends_only_sampled_lines(spark):
+    import numpy as np
+
+    from geoquarry.operators import grid
+    from geoquarry.sources.blocks import to_pixels
+
+    def raster(side, size):
+        values = np.arange(side * side, dtype=float).reshape(side, side) % 251
+        rows = [
+            (0, y, x, size, size, values[y : y + size, x : x + size].ravel().tolist())
+            for y in range(0, side, size) for x in range(0, side, size)
+        ]
+        return values, spark.createDataFrame(rows, "scene int, by int, bx int, h int, w int, data array<double>")
+
+    for side in (64, 320):
+        values, blocks = raster(side, 16)
+        got = {(r["y"], r["x"]): r["v"] for r in to_pixels(grid.resample_nearest(blocks, 8, 8, size=16), keep=("scene",)).collect()}
+        at = [int(i * side / 8) for i in range(8)]
+        assert got == {(y, x): values[at[y], at[x]] for y in range(8) for x in range(8)}
+        smooth = {(r["y"], r["x"]): r["v"] for r in to_pixels(grid.resample_bilinear(blocks, 8, 8, ("scene",), 16), keep=("scene",)).collect()}
+        place = [(i + 0.5) * side / 8 - 0.5 for i in range(8)]
+        low, share = [int(p) for p in place], [p - int(p) for p in place]
+        want = lambda y, x: sum(
+            values[low[y] + a, low[x] + b] * (share[y] if a else 1 - share[y]) * (share[x] if b else 1 - share[x]) for a in (0, 1) for b in (0, 1)
+        )
+        assert all(smooth[y, x] == pytest.approx(want(y, x)) for y in range(8) for x in range(8))
