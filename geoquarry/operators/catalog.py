@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from geoquarry.functions.geo import pixel_to_map, with_lon_lat
-from geoquarry.operators.scale import salted_join
+from geoquarry.operators.scale import join_facts
 
 # Keywords, domains and plausible band counts.
 KEYWORDS = [
@@ -174,7 +174,7 @@ def inspect(scenes):
 def inspect_inputs(inputs, scenes):
     """Inspection of every input of every request; unknown scenes are errors."""
     facts = scenes.select("scene", "path", "band_count", "modality", "crs", "h", "w")
-    return inspect(salted_join(inputs, facts, ["scene"], ["run_id", "ord"], "left"))
+    return inspect(join_facts(inputs, facts, ["scene"], "left"))
 
 
 def check_pairs(requests, inputs, scenes, extra=()):
@@ -270,8 +270,8 @@ def with_sides(pairs, scenes):
     """Both catalogue rows of each pair as structs ``a`` and ``b``."""
     names = [c for c in scenes.columns if c != "scene"]
     side = lambda s, key: scenes.select(F.col("scene").alias(key), F.struct(*names).alias(s))
-    first = salted_join(pairs, side("a", "scene0"), ["scene0"], ["pair"], "left")
-    return salted_join(first, side("b", "scene1"), ["scene1"], ["pair"], "left")
+    first = join_facts(pairs, side("a", "scene0"), ["scene0"], "left")
+    return join_facts(first, side("b", "scene1"), ["scene1"], "left")
 
 
 def coregistered(pairs, scenes):
@@ -350,7 +350,7 @@ def validate_pair(pairs, scenes):
 def pixel_lon_lat(points, scenes):
     """Longitude and latitude of pixels (scene, x, y); errors as text."""
     facts = scenes.select("scene", "crs", "transform", "h", "w")
-    rows = salted_join(points, facts, ["scene"], ["x", "y"])
+    rows = join_facts(points, facts, ["scene"])
     x, y = F.col("x"), F.col("y")
     error = F.when(F.col("crs").isNull(), "This TIFF contains no geographic CRS.").when(
         (x < 0) | (x >= F.col("w")) | (y < 0) | (y >= F.col("h")), "Pixel is outside the image."

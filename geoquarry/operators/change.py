@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geoquarry.functions.text import fixed
 from geoquarry.operators.grid import morph
-from geoquarry.operators.scale import salted_join, tiled_pairs
+from geoquarry.operators.scale import join_facts, tiled_pairs
 from geoquarry.sources.blocks import to_pixels
 
 # Fixed values of matching and confidence.
@@ -227,7 +227,7 @@ def match_descriptors(first, second, keys=("pair",), tile=KEYPOINT_TILE):
         count = other.groupBy(*keys).agg(F.max("kp").alias("_m")).select(
             *keys, (F.floor(F.col("_m") / tile) + 1).cast("int").alias("tiles"))
         rows = df.select(*keys, "kp", *words, F.floor(F.col("kp") / tile).cast("int").alias("tile"))
-        return salted_join(rows, count, keys, ["kp"])
+        return join_facts(rows, count, keys)
 
     def nearest(a, b):
         empty = pd.DataFrame(columns=[*keys, "side", "kp", "other", "distance"])

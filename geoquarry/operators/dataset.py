@@ -97,13 +97,33 @@ def expected_files(targets):
     )
 
 
+def _band_sets(listing):
+    """Bands found in each folder of files called like the folder: (dir, bands)."""
+    name = F.substring_index("dir", "/", -1)
+    file = F.substring_index("path", "/", -1)
+    rows = listing.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"))
+    found = rows.where(file.startswith(F.concat(name, F.lit("_"))) & file.endswith(".tif"))
+    band = F.expr("substring(substring_index(path, '/', -1), length(substring_index(dir, '/', -1)) + 2)")
+    return found.select("dir", F.regexp_replace(band, r"\.tif$", "").alias("band")).groupBy("dir").agg(F.collect_set("band").alias("bands"))
+
+
 def verify_pairs(targets, listing):
-    """Missing files per side of each patch; kept when nothing is missing."""
-    have = listing.select("path").distinct().withColumn("_there", F.lit(1))
-    rows = expected_files(targets).join(have, "path", "left")
-    gone = lambda side: F.count(F.when((F.col("side") == side) & F.col("_there").isNull(), 1))
-    return rows.groupBy("key", "patch_id", "s1_name").agg(
-        gone("S2").alias("missing_s2_bands"), gone("S1").alias("missing_s1_bands")
+    """Missing files per side of each patch; kept when nothing is missing.
+
+    The listing becomes one band set per folder; a patch meets its two sets, and
+    no path of a file is made or shuffled for it.
+    """
+    sets = _band_sets(listing)
+    place = lambda side, folder, name: F.concat_ws("/", F.lit(f"BigEarthNet-{side}"), folder, name)
+    rows = targets.select(
+        "key", "patch_id", "s1_name",
+        place("S2", F.col("s2_folder"), F.col("patch_id")).alias("_d2"), place("S1", F.col("s1_folder"), F.col("s1_name")).alias("_d1"),
+    )
+    for side in "21":
+        rows = rows.join(sets.select(F.col("dir").alias(f"_d{side}"), F.col("bands").alias(f"_b{side}")), f"_d{side}", "left")
+    gone = lambda bands, have: F.size(F.array_except(F.array(*[F.lit(b) for b in bands]), F.coalesce(have, F.array().cast("array<string>")))).cast("long")
+    return rows.select(
+        "key", "patch_id", "s1_name", gone(S2_BANDS, F.col("_b2")).alias("missing_s2_bands"), gone(S1_BANDS, F.col("_b1")).alias("missing_s1_bands")
     ).withColumn("kept", (F.col("missing_s2_bands") + F.col("missing_s1_bands")) == 0)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.types import LongType
 
 from geoquarry.functions.text import brevity, contains_answer, score_answers, tokens
 from geoquarry.operators.kernels import gram_stats, lcs_length
-from geoquarry.operators.scale import salted_join
+from geoquarry.operators.scale import join_facts
 
 # Fixed values.
 PLACEHOLDER = "PLACEHOLDER"
@@ -20,7 +20,7 @@ HASH_FACTOR, HASH_RANGE = 2654435761, 4294967296
 def vqa_items(questions, answers, images):
     """Active questions with their answer and image, unmatched ones kept."""
     rows = questions.where(F.coalesce("active", F.lit(True))).join(answers, "qid", "left")
-    return salted_join(rows, images, ["img_id"], ["qid"], "left")
+    return join_facts(rows, images, ["img_id"], "left")
 
 
 def change_items(images, questions, answers):
@@ -32,7 +32,7 @@ def change_items(images, questions, answers):
     known = live(answers).where(F.col("gold").isNotNull())
     asked = live(questions).join(known, "qid")
     both = live(images).where(F.col("has_t0") & F.col("has_t1")).select("img_id", "file_name")
-    return salted_join(asked, both, ["img_id"], ["qid"])
+    return join_facts(asked, both, ["img_id"])
 
 
 def change_pairs(items, max_names=None):
@@ -50,7 +50,7 @@ def first_per_key(rows, keys, order):
 def caption_items(captions, referring):
     """Captions with the first referring row of their image."""
     first = first_per_key(referring, ["image_id"], "ord").select("image_id", "target", "box")
-    rows = salted_join(captions, first, ["image_id"], ["id"], "left")
+    rows = join_facts(captions, first, ["image_id"], "left")
     return rows.withColumn("target", F.coalesce("target", F.lit(DEFAULT_TARGET)))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from geoquarry.operators import kernels
-from geoquarry.operators.scale import salted_join
+from geoquarry.operators.scale import join_facts
 from geoquarry.session import reliable_checkpoint
 from geoquarry.sources.blocks import to_pixels
 
@@ -321,7 +321,7 @@ def components(masks, keys=("scene",)):
             *keys, "comp", "area", F.least("label", F.coalesce("offer", "label")).alias("new"), F.col("label").alias("old")
         )
         jump = lowered.select(*keys, F.col("comp").alias("new"), F.col("new").alias("next"))
-        moved = salted_join(lowered, jump, [*keys, "new"], ["comp"]).select(
+        moved = join_facts(lowered, jump, [*keys, "new"]).select(
             *keys, "comp", "area", F.least("new", "next").alias("label"), "old"
         )
         moved = reliable_checkpoint(moved)

@@ -6,7 +6,7 @@ pixels are unfolded last and never shuffled one by one.
 
 from pyspark.sql import functions as F
 
-from geoquarry.operators.scale import block_quantiles, finite, salted_join
+from geoquarry.operators.scale import block_quantiles, finite, join_facts
 from geoquarry.sources.blocks import to_pixels
 
 # Fixed values of the two stretches, the dB floor and the indices.
@@ -41,13 +41,13 @@ def to_db_blocks(blocks, keys=("scene", "band")):
     """Replace ``data`` by 10*log10 with a floor below the least positive value."""
     keys = list(keys)
     least = blocks.groupBy(*keys).agg(F.min(F.array_min(_positive("data"))).alias("_least"))
-    rows = salted_join(blocks, least, keys, ["by", "bx"])
+    rows = join_facts(blocks, least, keys)
     return rows.withColumn("data", _decibel("data", F.col("_least"))).drop("_least")
 
 
 def _limited(blocks, keys):
     limits = block_quantiles(blocks, keys, [LOW, HIGH])
-    return salted_join(blocks, limits, keys, ["by", "bx"], "left")
+    return join_facts(blocks, limits, keys, "left")
 
 
 def _display(v):
@@ -102,7 +102,7 @@ def display_rgb(blocks, scenes):
     wide = bands_wide(blocks, (1, 2, 3, 4), names)
     least = wide.groupBy("scene").agg(*[F.min(F.array_min(_positive(n))).alias(f"least_{n}") for n in names])
     facts = scenes.select("scene", "band_count", F.coalesce("is_sar", F.lit(False)).alias("is_sar")).join(least, "scene")
-    rows = salted_join(wide, facts, ["scene"], ["by", "bx"])
+    rows = join_facts(wide, facts, ["scene"])
     rows = rows.withColumns({
         n: F.when(F.col("is_sar"), _decibel(n, F.col(f"least_{n}"))).otherwise(F.col(n)) for n in names})
     d1, d2, d3, d4 = (F.col(n) for n in names)
@@ -127,7 +127,7 @@ def natural_colour(blocks, red=3, green=2, blue=1):
     wide = limits.groupBy("scene").agg(*[
         F.max(F.when(F.col("band") == b, F.col("q"))).alias(f"q_{n}") for b, n in zip(bands, names)
     ])
-    rows = salted_join(bands_wide(blocks, bands, names), wide, ["scene"], ["by", "bx"], "left")
+    rows = join_facts(bands_wide(blocks, bands, names), wide, ["scene"], "left")
     px = to_pixels(rows, names, names, keep=("scene", "q_r", "q_g", "q_b"))
     level = lambda n: (_workspace(F.col(n), F.col(f"q_{n}")[0], F.col(f"q_{n}")[1]) * 255).cast("int").alias(n)
     return px.select("scene", "y", "x", *[level(n) for n in names])

@@ -10,25 +10,19 @@ from pyspark.sql import functions as F
 
 from geoquarry.session import reliable_checkpoint
 
-#: Pieces a join key is split into.
-SALTS = 16
 #: A group of up to this many values may be held by one exact percentile buffer.
 PERCENTILE_ROWS = 2_000_000
 #: Pieces of the value range of one group in distributed running sums.
 RANGES = 64
 
 
-def salted_join(left, right, keys, spread, how="inner", salts=SALTS):
+def join_facts(left, right, keys, how="inner"):
     """Join many ``left`` rows per key to one ``right`` row per key.
 
-    Each key is cut into ``salts`` pieces by the ``spread`` columns of the left
-    row; the right side, one short row per key, is repeated for each piece.
+    A hot key is cut by Spark's adaptive skew join, which needs no copies of the
+    right side; the session switches it on.
     """
-    cut = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    copies = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    return cut.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right, list(keys), how)
 
 
 def running_sums(df, keys, order, sums, descending=False, ranges=RANGES):
@@ -46,7 +40,7 @@ def running_sums(df, keys, order, sums, descending=False, ranges=RANGES):
     cuts = merged.groupBy(*keys).agg(
         F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10000).alias("_cuts")
     )
-    placed = salted_join(merged, cuts, keys, [order]).withColumn(
+    placed = join_facts(merged, cuts, keys).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     ).drop("_cuts")
     direction = F.desc if descending else F.asc
@@ -104,14 +98,14 @@ def block_quantiles(blocks, keys, qs, data="data", big=PERCENTILE_ROWS):
     sizes = blocks.groupBy(*keys).agg(F.sum(F.col("h") * F.col("w")).alias("_size")).where(F.col("_size") > big)
     if sizes.isEmpty():
         return buffered(unfold(blocks))
-    tagged = salted_join(blocks, sizes, keys, ["by", "bx"], "left")
+    tagged = join_facts(blocks, sizes, keys, "left")
     small = buffered(unfold(tagged.where(F.col("_size").isNull())))
     large = unfold(tagged.where(F.col("_size").isNotNull()))
     totals = large.groupBy(*keys).agg(
         F.count("v").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax")
     )
     runs = running_sums(large.withColumn("c", F.lit(1)), keys, "v", ["c"])
-    ranked = salted_join(runs, totals, keys, ["v"])
+    ranked = join_facts(runs, totals, keys)
 
     def at(rank):
         inside = (F.col("run_c") - F.col("c") <= rank) & (rank < F.col("run_c"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from geoquarry.operators.scale import finite, salted_join
+from geoquarry.operators.scale import finite, join_facts
 
 # Slot order, resolutions, default statistics, fill strategy.
 SLOTS = ["B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B09", "B11", "B12", "B8A", "VV", "VH"]
@@ -35,7 +35,7 @@ def stack_patch(slot_blocks):
     status = slot_status(slot_blocks)
     good = status.where("error is null").select("scene")
     order = F.array_position(_strings(SLOTS), F.col("slot")).cast("int") - 1
-    stacked = salted_join(slot_blocks.drop("slot_ordinal"), good, ["scene"], ["slot", "by", "bx"])
+    stacked = join_facts(slot_blocks.drop("slot_ordinal"), good, ["scene"])
     return stacked.withColumn("slot_ordinal", order), status.where("error is not null")
 
 
@@ -79,7 +79,7 @@ def map_slots(scenes):
 def to_slots(blocks, mapping):
     """Band blocks renamed to the slots their scene assigns."""
     rules = mapping.select("scene", F.explode("assignment").alias("a")).select("scene", "a.band", "a.slot")
-    return salted_join(blocks, rules, ["scene", "band"], ["by", "bx"]).drop("band")
+    return join_facts(blocks, rules, ["scene", "band"]).drop("band")
 
 
 def channel_stats(slot_blocks):

@@ -26,10 +26,10 @@ def as_images(blocks, shape):
     return out
 
 
-def test_salted_join_keeps_every_row(spark):
+def test_join_facts_keeps_every_row(spark):
     left = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("k"), "id")
     right = left.select("k").distinct().withColumn("v", F.col("k") * 2)
-    got = scale.salted_join(left, right, ["k"], ["id"])
+    got = scale.join_facts(left, right, ["k"])
     assert got.count() == 1000 and got.where("v <> k * 2").count() == 0
 
 
