@@ -207,6 +207,7 @@ def linear_probe(train, test, classes, strength=1.0, rounds=2000):
         else:
             rows = score_on.select("id", F.lit(c).alias("cls"), F.lit(0.0).alias("score"), truth.alias("truth"))
         results = rows if results is None else results.unionByName(rows)
+    fit_on.unpersist()
     return results
 
 

@@ -200,7 +200,7 @@ def p30_fusion(spark, sf):
 
 def stream_queries(spark, sf, closing=None):
     """Events arriving as a stream, turned into queries by the batch view."""
-    events = jobs.read_events(spark, sf, closing=closing)
+    events = jobs.read_events(spark, sf, closing=closing, pieces=spark.sparkContext.defaultParallelism)
     return V.queries_of(events)
 
 

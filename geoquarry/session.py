@@ -11,12 +11,14 @@ def build_session(app="geoquarry", cpus=None, shuffle_partitions=None, memory=No
     """A session with the settings the operators are planned for."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{cpus}]"))
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # adaptive execution merges partitions but never adds any
+        .config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(4 * int(shuffle_partitions or cpus)))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory or os.environ.get("BENCH_MEMORY", "8g"))

@@ -9,8 +9,7 @@ def spread(table, key):
     """Split a scan that arrives in fewer pieces than there are cores.
 
     Row-by-row work such as pattern matching would otherwise run in one task on
-    a small file.  A scan of many pieces is returned as it is, without a shuffle.
+    a small file.  A scan of many files is returned as it is, without a shuffle.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    pieces = table._jdf.queryExecution().toRdd().getNumPartitions()
-    return table.repartition(cores, key) if pieces < cores else table
+    return table.repartition(cores, key) if len(table.inputFiles()) < cores else table

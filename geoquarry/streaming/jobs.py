@@ -15,10 +15,12 @@ from geoquarry.session import scratch_path
 LATE = "10 minutes"
 
 
-def read_events(spark, folder, name="events.parquet", schema=None, files_per_batch=None, closing=None):
+def read_events(spark, folder, name="events.parquet", schema=None, files_per_batch=None, closing=None, pieces=None):
     """Stream of the files called ``name`` in a folder, with ``ts`` as event time.
 
     ``closing`` is a :class:`Closing` whose row follows when the input has ended.
+    ``pieces`` deals the rows of a trigger out to so many tasks, for inputs of few
+    files; without it a file is read and worked on where it is split.
     """
     schema = schema or spark.read.parquet(f"{folder}/{name}").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
@@ -27,6 +29,8 @@ def read_events(spark, folder, name="events.parquet", schema=None, files_per_bat
     rows = reader.parquet(folder)
     if closing:
         rows = rows.unionByName(spark.readStream.schema(schema).parquet(closing.prepare(schema)))
+    if pieces:
+        rows = rows.repartition(pieces)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
