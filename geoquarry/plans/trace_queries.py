@@ -84,11 +84,11 @@ EXTRA = {
 }
 
 
-def traces(spark, sf):
-    """Trace rows of all requests; every thirteenth run crashes."""
-    q = V.queries(spark, sf)
+def traces(spark, sf, q=None):
+    """Trace rows of all requests, or of those given; every thirteenth run crashes."""
+    q = V.queries(spark, sf) if q is None else q
     requests = routing.route(q).withColumnRenamed("qid", "run_id")
-    checked = catalog.check_pairs(requests, V.request_inputs(spark, sf), guarded(spark, sf), extra=[trace.input_list()])
+    checked = catalog.check_pairs(requests, V.inputs_of(q, V.scene_count(spark, sf)), guarded(spark, sf), extra=[trace.input_list()])
     e = F.col("qid")
     payload = F.concat(F.lit('{"text_response":"answer '), e.cast("string"), F.lit('","confidence":0.5,"confidence_basis":"heuristic"}'))
     results = q.select(e.alias("run_id"), F.when(e % 13 != 0, payload).alias("payload"))
@@ -228,10 +228,10 @@ def t2(spark, sf):
 _STATUS = "CASE WHEN (task IN ('change', 'fusion') AND n_inputs <> 2) OR n_inputs > 2 THEN 'validation_failed' ELSE 'success' END"
 
 
-@query("t3_trace_sink", f"SELECT ts::DATE AS date, task, {_STATUS} AS status, count(*) AS runs FROM v_routed GROUP BY ALL", EXTRA)
+@query("t3_trace_sink", "SELECT ts::DATE AS date, task, status, count(*) AS runs, sum(n_inputs)::BIGINT AS inputs FROM v_state GROUP BY ALL", EXTRA)
 def t3(spark, sf):
-    rows = jobs.with_status(jobs.route_stream(stream_queries(spark, sf))).select("qid", "ts", "query", "task", "matched", "status", "date")
-    return jobs.run_once(rows, "trace-sink", ("date", "task")).groupBy("date", "task", "status").agg(F.count(F.lit(1)).alias("runs"))
+    rows = jobs.trace_sink(stream_queries(spark, sf), lambda q: traces(q.sparkSession, sf, q), "trace-sink")
+    return rows.groupBy("date", "task", "status").agg(F.count(F.lit(1)).alias("runs"), F.sum(F.size("inputs")).alias("inputs"))
 
 
 @query("t4_counts_per_window", f"""

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from geoquarry.operators.catalog import inspect
 from geoquarry.operators.routing import route
+from geoquarry.operators.trace import write_traces
 from geoquarry.session import scratch_path
 
 LATE = "10 minutes"
@@ -75,6 +76,24 @@ def with_status(routed):
     ).withColumn("date", F.to_date("ts"))
 
 
+def trace_sink(requests, build, label):
+    """Append-only trace table of arriving requests (T3), read back as a batch frame.
+
+    ``build`` turns the requests of a trigger into trace rows: routed, their
+    inputs and pairs checked, refusals and crashes as records of their own.  A
+    trigger writes a folder of its own, so one that is repeated replaces itself.
+    """
+    spark = requests.sparkSession
+    target, marks = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+
+    def append(rows, number):
+        write_traces(build(rows), f"{target}/trigger={number}", mode="overwrite")
+
+    writer = requests.writeStream.foreachBatch(append).option("checkpointLocation", marks)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target)
+
+
 def counts_per_window(traces, width="1 hour", slide=None):
     """Runs per time window, task and status; late rows are dropped (T4)."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
