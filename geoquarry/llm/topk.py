@@ -42,42 +42,38 @@ def best_of(queries, query_ids, candidates, candidate_ids, top=TOP, levels=LEVEL
     kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     exact = np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0) * max(1, queries.shape[1]) < 2.0**52
     for at in range(0, len(candidates), TILE):
-        tile, ids = candidates[at : at + TILE], candidate_ids[at : at + TILE]
-        norm = np.linalg.norm(tile, axis=1).max(initial=0)
-        rows = np.arange(len(queries))
-        # the coarsest bound for all pairs at once, the finer ones only where it leaves the pair open
-        open_pairs = mine[0] @ segments(tile, levels[0]).T >= (floor - slack * (norm + 1))[:, None]
-        q, c = np.nonzero(open_pairs)
-        for own, level in zip(mine[1:], levels[1:]):
-            if not len(q):
+        tile = candidates[at : at + TILE]
+        limit = floor - slack * (np.linalg.norm(tile, axis=1).max(initial=0) + 1)
+        rows, cols = np.arange(len(queries)), np.arange(len(tile))
+        for own, level in zip(mine, levels):
+            # queries and candidates with no open pair left drop out before the next, finer bound
+            maybe = own[rows] @ segments(tile[cols], level).T >= limit[rows, None]
+            r, c = maybe.any(1), maybe.any(0)
+            rows, cols, maybe = rows[r], cols[c], maybe[np.ix_(r, c)]
+            if not len(rows):
                 break
-            theirs, keep = segments(tile, level), np.empty(len(q), bool)
-            for lo in range(0, len(q), 65536):
-                a, b = q[lo : lo + 65536], c[lo : lo + 65536]
-                keep[lo : lo + 65536] = np.einsum("ij,ij->i", own[a], theirs[b]) >= floor[a] - slack[a] * (norm + 1)
-            q, c = q[keep], c[keep]
-        if not len(q):
+        if not len(rows):
             continue
-        score = np.empty(len(q), np.int64)
-        for lo in range(0, len(q), 65536):
-            a, b = q[lo : lo + 65536], c[lo : lo + 65536]
-            if exact:
-                score[lo : lo + 65536] = np.einsum("ij,ij->i", queries[a], tile[b]).astype(np.int64)
-            else:
-                score[lo : lo + 65536] = np.einsum("ij,ij->i", queries[a].astype(np.int64), tile[b].astype(np.int64))
-        q, c, score = (np.concatenate(x) for x in zip(kept, (q, c + at, score)))
-        other = query_ids[q] != candidate_ids[c]
-        q, c, score = q[other], c[other], score[other]
+        x, y = queries[rows], tile[cols]
+        score = x @ y.T if exact else x.astype(np.int64) @ y.astype(np.int64).T
+        maybe &= query_ids[rows][:, None] != candidate_ids[at + cols][None, :]
+        least = floor[rows].copy()
+        fresh = np.isneginf(least)
+        if fresh.any() and len(cols) > top:
+            # without a list yet, only this tile's own best can enter
+            part = np.where(maybe[fresh], score[fresh], -np.inf)
+            least[fresh] = np.partition(part, len(cols) - top, axis=1)[:, len(cols) - top]
+        q, c = np.nonzero(maybe & (score >= least[:, None]))
+        new = rows[q], at + cols[c], score[q, c].astype(np.int64)
+        q, c, score = (np.concatenate(pair) for pair in zip(kept, new))
         rank = np.lexsort((candidate_ids[c], -score, q))
         q, c, score = q[rank], c[rank], score[rank]
-        first = np.searchsorted(q, rows)
+        first = np.searchsorted(q, np.arange(len(queries)))
         within = (np.arange(len(q)) - first[q]) < top
         kept = q, c, score = q[within], c[within], score[within]
-        full = np.bincount(q, minlength=len(queries)) >= top
-        worst = np.full(len(queries), -np.inf)
-        np.minimum.at(low := np.full(len(queries), np.inf), q, score.astype(np.float64))
-        worst[full] = low[full]
-        floor = worst
+        low = np.full(len(queries), np.inf)
+        np.minimum.at(low, q, score.astype(np.float64))
+        floor = np.where(np.bincount(q, minlength=len(queries)) >= top, low, -np.inf)
     return kept[0], order[kept[1]], kept[2]
 
 
