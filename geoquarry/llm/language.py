@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoquarry.llm.common import fold_is, slices, table
@@ -96,26 +97,26 @@ def distances(text, model, kept=KEPT):
     return out.sum(1) / (kept * len(own))
 
 
-def language_sample(docs, per_language=PER_LANGUAGE, id_col="doc_id", text_col="text", lang_col="lang"):
-    """At most ``per_language`` texts of each non-null language outside the held-out fold, the first by hash of the id."""
-    from pyspark.sql import Window
-
+def language_sample(docs, per_language=PER_LANGUAGE, id_col="doc_id", lang_col="lang"):
+    """At most ``per_language`` ids of each non-null language outside the held-out fold, the first by hash of the id."""
     ids = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).where(
         F.col(lang_col).isNotNull() & ~fold_is(id_col, *HELD_OUT)
     )
-    # first by hash within small slices of a language, then over the slices: no task ranks a whole language
-    near = ids.withColumn("_h", F.xxhash64("_id")).withColumn("_slice", F.pmod(F.shiftright("_h", 7), F.lit(4096)))
-    few = near.withColumn("_n", F.row_number().over(Window.partitionBy("_lang", "_slice").orderBy("_h", "_id"))).where(F.col("_n") <= per_language)
-    chosen = few.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))).where(F.col("_n") <= per_language)
+    # a hash threshold leaves about twice as many as wanted, so that the ranking of a language is small
+    counts = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_lang", "_g")
+    near = ids.withColumn("_h", F.xxhash64("_id")).join(F.broadcast(counts), F.col("_lang") == F.col("_g"))
+    few = near.where(F.pmod("_h", F.lit(1 << 31)).cast("double") * F.col("_n") <= F.lit((2 * per_language + 100) * (1 << 31)).cast("double"))
+    first = Window.partitionBy("_lang").orderBy("_h", "_id")
+    chosen = few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_language)
     return chosen.select("_id", "_lang")
 
 
 def sampled_texts(docs, per_language=PER_LANGUAGE, id_col="doc_id", text_col="text", lang_col="lang"):
     """The sample's texts on the driver: columns ``text`` and ``lang``.
 
-    Broadcast and result hold ``per_language`` rows for each language that ``lang`` names.
+    Broadcasts and result hold at most ``per_language`` rows for each language that ``lang`` names.
     """
-    chosen = language_sample(docs, per_language, id_col, text_col, lang_col)
+    chosen = language_sample(docs, per_language, id_col, lang_col)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(lang_col).alias("lang"), slices(F.col(text_col)).alias("text"))
     rows = (
         texts.join(F.broadcast(chosen), (F.col("_doc") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
