@@ -84,12 +84,15 @@ def parsed(text):
 def train(sample, rounds=6, rate=0.5, decay=1e-5, folds=3, seed=7):
     """Logistic regression on the hashed shares, then a calibration of its held-out scores.
 
-    ``sample`` has ``text`` and ``label``.  Each class weighs the same in the fit;
-    the calibration (a slope and a shift on the scores of rows left out in turn)
-    brings back the classes' real shares.  Returns (weights, bias, slope, shift).
-    With one class only, the model gives that class's share.
+    ``sample`` has ``text``, ``label`` and, if known, ``weight`` (rows that a row
+    stands for).  Each class weighs the same in the fit; the calibration (a slope
+    and a shift on the weighted scores of rows left out in turn) brings back the
+    classes' real shares, also where the sample holds them in others.  Returns
+    (weights, bias, slope, shift).  With one class only, the model gives that
+    class's share.
     """
     labels = sample["label"].to_numpy()
+    stands = sample["weight"].to_numpy(np.float64) if "weight" in sample else np.ones(len(labels))
     if len(labels) == 0 or labels.min() == labels.max():
         share = 0.5 if len(labels) == 0 else 0.98 if labels[0] else 0.02
         return np.zeros(3 * BUCKETS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share)))
@@ -120,19 +123,20 @@ def train(sample, rounds=6, rate=0.5, decay=1e-5, folds=3, seed=7):
         w, b = fit(inner)
         for i in np.flatnonzero(part == k):
             out[i] = w[rows[i][0]] @ rows[i][1] + b
-    slope, shift = calibrate(out, labels)
+    slope, shift = calibrate(out, labels, stands)
     w, b = fit(np.arange(len(labels)))
     return w, b, slope, shift
 
 
-def calibrate(scores, labels, steps=200):
-    """Slope and shift of a logistic curve from scores to labels, by Newton's method with a small ridge."""
+def calibrate(scores, labels, weights=None, steps=200):
+    """Slope and shift of a logistic curve from scores to labels, by Newton's method with a small ridge on the weighted loss."""
     x = np.c_[scores, np.ones(len(scores))]
+    weights = np.ones(len(scores)) if weights is None else weights
     theta = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (p - labels) + 1e-2 * theta
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        gradient = x.T @ (weights * (p - labels)) + 1e-2 * theta
+        hessian = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         theta -= step
         if np.abs(step).max() < 1e-8:

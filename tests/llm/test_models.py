@@ -179,3 +179,24 @@ def test_rule_counts_equal_brute_force(labelled, tables):
     w, b, slope, shift = model
     z = [slope * (w[at] @ v + b) + shift for at, v in (quality_rules.features(*quality_rules.parsed(t)) for t in test["text"])]
     assert np.mean((np.array(z) >= 0) == test["quality"]) > 0.85
+
+
+def test_quality_verdicts_do_not_depend_on_the_cap_of_a_class(labelled):
+    # weighted rows count as so many rows
+    scores, labels, weights = np.array([-2.0, -1, 0.5, 1, -0.5, 2]), np.array([0, 0, 0, 1, 1, 1]), np.array([1, 1, 1, 5, 5, 5])
+    assert quality_rules.calibrate(scores, labels, weights) == pytest.approx(quality_rules.calibrate(scores.repeat(weights), labels.repeat(weights)))
+    rows = labelled[~held(labelled["doc_id"], 5, 0)].rename(columns={"quality": "label"}).sort_values("doc_id")
+    rows = rows[["text", "label"]].assign(text=rows["text"].str.slice(0, 1500))
+    few = int((rows["label"] == 0).sum())
+    full = rows.groupby("label").head(5 * few)
+    capped = full.groupby("label").head(few).reset_index(drop=True)
+    counts = full["label"].value_counts()
+    capped["weight"] = capped["label"].map(counts) / capped.groupby("label")["label"].transform("count")
+    assert (capped["label"] == 1).sum() == few and counts[1] > 4 * few
+    test = [quality_rules.features(*quality_rules.parsed(t[:1500])) for t in labelled[held(labelled["doc_id"], 5, 0)]["text"].head(400)]
+    (a, b) = (
+        np.array([slope * (w[at] @ v + bias) + shift for at, v in test])
+        for w, bias, slope, shift in (quality_rules.train(full.reset_index(drop=True)), quality_rules.train(capped))
+    )
+    share = (1 / (1 + np.exp(-a))).mean() - (1 / (1 + np.exp(-b))).mean()
+    assert abs(share) < 0.02 and ((a >= 0) == (b >= 0)).mean() > 0.97
