@@ -18,24 +18,35 @@ PAIRWISE = 512
 _AT_ONCE = 1 << 16
 
 
-def fingerprint(text, words=WORDS):
-    """Majority of the XXH64 bits of the word shingles, as an unsigned number; 0 without words."""
+def shingle_hashes(text, words=WORDS):
+    """XXH64 of each word shingle of the lower-cased text, in order, as parts of bounded length."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     width = min(words, len(tokens))
     starts, ends = starts[: len(starts) - width + 1], ends[width - 1 :]
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), _AT_ONCE):
         pairs = zip(starts[at : at + _AT_ONCE].tolist(), ends[at : at + _AT_ONCE].tolist())
-        h = np.array([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
+
+
+def majority(parts):
+    """Majority of the bits of the hashes in ``parts``, as an unsigned number; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    set_bits = (2 * ones > len(starts)).astype(np.uint8)
-    return int(np.packbits(set_bits, bitorder="little").view(np.uint64)[0])
+        n += len(h)
+    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text, words=WORDS):
+    """Majority of the XXH64 bits of the word shingles, as an unsigned number; 0 without words."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs, id_col="doc_id", text_col="text", words=WORDS):
@@ -174,7 +185,11 @@ def representatives(docs, id_col="doc_id", text_col="text", words=WORDS, radius=
 
     Of rows that agree in id and text the smallest row stays.
     """
-    found = _rooted(docs, id_col, text_col, words, radius)
+    return one_of_each(docs, _rooted(docs, id_col, text_col, words, radius), id_col, text_col)
+
+
+def one_of_each(docs, found, id_col="doc_id", text_col="text"):
+    """The rows of ``docs`` that stand for the groups ``root`` of ``found`` (``doc_id``, ``body``, ``root``)."""
     alike = found.groupBy("root", "doc_id", "body").agg(F.count(F.lit(1)).alias("n"))
     first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body", "n")).alias("r"))
     chosen = first.select(F.col("r.doc_id").alias("_r_id"), F.col("r.body").alias("_r_body"), F.col("r.n").alias("_r_n"))
