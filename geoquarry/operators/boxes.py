@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from geoquarry.functions.geo import ring
+from geoquarry.operators.spatial import BOUND, CORNERS, sweep_pairs
 
 GRID = 100.0
 LABEL = "Detected Region"
@@ -55,6 +56,20 @@ def box_iou(predicted, reference, keys=("image_id", "ord", "item")):
     return a.join(b, keys).select(*keys, iou(F.col("a"), F.col("b")).alias("iou"))
 
 
+def overlapping_boxes(detections, bound=BOUND, order=("ord", "item")):
+    """All pairs of boxes of one image that share an area, with their IoU, by plane sweep.
+
+    ``a`` and ``b`` are the ``order`` columns of both boxes as structs, ``a`` the
+    lesser.  An image of more than ``bound`` boxes is swept in strips.  Boxes
+    without extent or with a missing corner overlap none.
+    """
+    rows = detections.select("image_id", F.struct(*order).alias("id"), *CORNERS, F.lit(0).alias("role"))
+    shared = (F.col("right") - F.col("left")) * (F.col("top") - F.col("bottom"))
+    return sweep_pairs(rows, ["image_id"], bound).select(
+        "image_id", "a", "b", (shared / (F.col("area_a") + F.col("area_b") - shared)).alias("iou")
+    )
+
+
 def best_box(detections, order=("ord", "item")):
     """Highest confidence per image, first one on a tie, and the box count (L2)."""
     first = F.struct((-F.col("confidence")).alias("c"), *order, "label", corners().alias("box"))

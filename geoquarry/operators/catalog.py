@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from geoquarry.functions.geo import pixel_to_map, with_lon_lat
 from geoquarry.operators.scale import join_facts
+from geoquarry.operators.spatial import BOUND, CORNERS, overlapping
 
 # Keywords, domains and plausible band counts.
 KEYWORDS = [
@@ -326,6 +327,24 @@ def footprint_overlap(pairs, scenes):
     )
 
 
+def overlapping_footprints(footprints, bound=BOUND):
+    """All pairs of footprints (``id, west, south, east, north``) that share an area.
+
+    ``overlap`` is the shared area over the smaller one, per cent.  No pairs are
+    given: footprints meet in the cells of a grid (:func:`spatial.overlapping`).
+    Footprints without bounds or without extent overlap none.
+    """
+    rows = footprints.select("id", *[F.col(c).alias(n) for c, n in zip(("west", "south", "east", "north"), CORNERS)])
+    shared = (F.col("right") - F.col("left")) * (F.col("top") - F.col("bottom"))
+    return overlapping(rows, bound).select("a", "b", (shared / F.least("area_a", "area_b") * 100).alias("overlap"))
+
+
+def overlapping_scenes(scenes, bound=BOUND):
+    """All pairs of catalogue scenes whose geographic footprints share an area."""
+    found = overlapping_footprints(wgs84_bounds(scenes).withColumnRenamed("scene", "id"), bound)
+    return found.select(F.col("a").alias("scene0"), F.col("b").alias("scene1"), "overlap")
+
+
 def validate_pair(pairs, scenes):
     """Same CRS, size and resolution, overlap and verdict of each pair."""
     facts = scenes.join(wgs84_bounds(scenes), "scene")

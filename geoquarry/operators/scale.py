@@ -153,6 +153,23 @@ def global_rank(df, column, name="rank"):
     )
 
 
+def numbered(df, keys, order, name):
+    """Add the 0-based number of each row within ``keys`` along ``order``, counted in many tasks.
+
+    Rows are range-partitioned by keys and order, so a hot key spans partitions;
+    each partition counts by itself and is shifted by the counts before it.  The
+    placement is checkpointed because partition numbers must not be drawn twice.
+    """
+    placed = reliable_checkpoint(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    # one row for each partition that a key reaches
+    shifts = counts.select(*keys, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    local = placed.withColumn(name, F.row_number().over(inside) - 1)
+    return local.join(shifts, [*keys, "_part"]).withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).select(*df.columns, name)
+
+
 def tiled_pairs(left, right, keys, kernel, schema):
     """Run ``kernel(left_tile, right_tile)`` for every tile pair of a key.
 

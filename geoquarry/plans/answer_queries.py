@@ -346,6 +346,18 @@ def j19(spark, sf):
     return boxes.box_iou(predicted(spark, sf), reference(spark, sf)).select("image_id", "ord", "item", six("iou"))
 
 
+@query("j19_overlapping_boxes", """
+    SELECT image_id, ord_a, item_a, ord_b, item_b, round(i / (area_a + area_b - i), 6) AS iou FROM (
+      SELECT a.image_id, a.ord AS ord_a, a.item AS item_a, b.ord AS ord_b, b.item AS item_b,
+             (a.xmax - a.xmin) * (a.ymax - a.ymin) AS area_a, (b.xmax - b.xmin) * (b.ymax - b.ymin) AS area_b,
+             (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS i
+      FROM v_nbox a JOIN v_nbox b ON a.image_id = b.image_id AND (a.ord, a.item) < (b.ord, b.item)
+        AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax)""", EXTRA)
+def j19_overlapping(spark, sf):
+    rows = boxes.overlapping_boxes(predicted(spark, sf))
+    return rows.select("image_id", *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("ord", "item")], six("iou"))
+
+
 @query("j19_first_iou", """
     SELECT image_id, round(CASE WHEN u > 0 THEN i / u ELSE 0.0 END, 6) AS iou FROM (
       SELECT *, (ymax - ymin) * (xmax - xmin) + (rymax - rymin) * (rxmax - rxmin) - i AS u FROM (

@@ -241,6 +241,27 @@ def j20(spark, sf):
     return rows.withColumn("overlap", F.round("overlap", 3) + 0.0)
 
 
+@query("j20_overlapping_scenes", f"""
+    SELECT a.scene AS scene0, b.scene AS scene1, round({_OVERLAP}, 3) AS overlap FROM v_lonlat a JOIN v_lonlat b
+      ON a.scene < b.scene AND a.west < b.east AND b.west < a.east AND a.south < b.north AND b.south < a.north""", EXTRA)
+def j20_scenes(spark, sf):
+    return catalog.overlapping_scenes(V.scenes(spark, sf)).withColumn("overlap", F.round("overlap", 3))
+
+
+EXTRA["v_frame"] = """
+    SELECT id, west, south, west + CASE WHEN id % 211 = 0 THEN 12.0::DOUBLE ELSE side END AS east,
+           south + CASE WHEN id % 211 = 0 THEN 0.02::DOUBLE ELSE side END AS north
+    FROM (SELECT event_id AS id, (event_id // 100) * 5.0::DOUBLE + (event_id * 37 % 400) * 0.01::DOUBLE AS west,
+                 (event_id * 53 % 300) * 0.01::DOUBLE AS south, 0.05::DOUBLE + (event_id % 7) * 0.05::DOUBLE AS side FROM events)"""
+
+
+@query("j20_overlapping_frames", f"""
+    SELECT a.id AS a, b.id AS b, round({_OVERLAP}, 3) AS overlap FROM v_frame a JOIN v_frame b
+      ON a.id < b.id AND a.west < b.east AND b.west < a.east AND a.south < b.north AND b.south < a.north""", EXTRA)
+def j20_frames(spark, sf):
+    return catalog.overlapping_footprints(V.frames(spark, sf)).withColumn("overlap", F.round("overlap", 3))
+
+
 EXTRA["v_point"] = """
     SELECT s.scene, s.crs, i.x, i.y, s.h, s.w, ta * (i.x + 0.5) + tc AS mx, -ta * (i.y + 0.5) + tf AS my
     FROM (SELECT event_id, (event_id % n)::INT AS scene, (event_id % 18 - 1)::INT AS x, (event_id % 7)::INT AS y FROM events, (SELECT max(vec_id) // 4 + 1 AS n FROM embeddings)) i

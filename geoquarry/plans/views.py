@@ -158,6 +158,22 @@ def scenes(spark, sf):
     )
 
 
+def frames(spark, sf):
+    """Footprints of single acquisitions along a track: (id, west, south, east, north).
+
+    Sizes differ by a factor of 240; every 211th is a long strip.
+    """
+    e = F.col("event_id")
+    west = F.floor(e / 100) * F.lit(5.0) + (e * 37 % 400) * F.lit(0.01)
+    south = (e * 53 % 300) * F.lit(0.01)
+    side = F.lit(0.05) + (e % 7) * F.lit(0.05)
+    strip = e % 211 == 0
+    return load(spark, sf, "events").select(
+        e.alias("id"), west.alias("west"), south.alias("south"),
+        (west + F.when(strip, 12.0).otherwise(side)).alias("east"), (south + F.when(strip, 0.02).otherwise(side)).alias("north"),
+    )
+
+
 def scene_count(spark, sf):
     """How many scenes the catalogue has, as a scalar subquery."""
     return load(spark, sf, "embeddings").agg((_idiv(F.max("vec_id"), 4) + 1).alias("n")).scalar()
