@@ -3,6 +3,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ WITH_DELTA, WITHOUT_DELTA = 0.8, 0.2
 FUSION_CONFIDENCE = {3: 0.7, 2: 0.5, 1: 0.3, 0: 0.1}
 #: Keypoints per tile; an image of the reference's detector fits one tile.
 KEYPOINT_TILE = 2500
+#: Pieces of a descriptor in multi-index hashing: fewer than GOOD_DISTANCE bits leave one piece with one bit at most.
+PIECES = 25
 
 
 def histogram(blocks, values, keys=("scene",)):
@@ -236,7 +239,8 @@ def match_descriptors(first, second, keys=("pair",), tile=KEYPOINT_TILE):
         a, b = a.sort_values("kp"), b.sort_values("kp")
         distance = np.zeros((len(a), len(b)), dtype=np.int64)
         for w in words:
-            distance += np.bitwise_count(a[w].to_numpy()[:, None] ^ b[w].to_numpy()[None, :])
+            # counted as unsigned words: a signed count is that of the absolute value
+            distance += np.bitwise_count((a[w].to_numpy()[:, None] ^ b[w].to_numpy()[None, :]).view(np.uint64))
         frames = []
         for side, own, other, d in ((0, a, b, distance), (1, b, a, distance.T)):
             at = d.argmin(axis=1)
@@ -257,6 +261,72 @@ def match_descriptors(first, second, keys=("pair",), tile=KEYPOINT_TILE):
     return ahead.join(back, [*keys, "kp0", "kp1"])
 
 
+def _pieces(words):
+    """The bits of descriptors (rows of four 64-bit words) dealt to PIECES numbers: bit i goes to piece i modulo PIECES.
+
+    Neighbouring bits go to different pieces, so bits that hardly vary spread over all of them.
+    """
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+    return np.stack([bits[:, j::PIECES] @ (1 << np.arange(len(range(j, bits.shape[1], PIECES)))) for j in range(PIECES)], axis=1)
+
+
+def _piece_keys(df, keys, probe):
+    """Keypoint rows with one ``key`` for each piece; a ``probe`` has those of all pieces one bit away as well."""
+    names = [*keys, "kp", "d0", "d1", "d2", "d3"]
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "kp long, d0 long, d1 long, d2 long, d3 long, key array<int>"])
+
+    def run(batches):
+        for batch in batches:
+            words = np.stack([batch.column(c).to_numpy() for c in names[-4:]], axis=1)
+            values = _pieces(words)
+            width = -(-64 * words.shape[1] // PIECES)
+            own = np.arange(PIECES)[None, :] << width | values
+            if probe:
+                # a piece one bit shorter has no neighbour at its last place
+                flips = np.concatenate([[0], 1 << np.arange(width)])
+                own = (own[:, :, None] ^ flips).reshape(len(words), -1)
+            ends = pa.array(np.arange(len(words) + 1) * own.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(own.ravel().astype(np.int32)))], names=[*names, "key"])
+
+    rows = df.select(*keys, F.col("kp").cast("long").alias("kp"), *[F.col(c).cast("long").alias(c) for c in names[-4:]])
+    return rows.mapInArrow(run, schema).withColumn("key", F.explode("key"))
+
+
+def near_candidates(first, second, keys=("pair",)):
+    """Keypoint pairs that agree in some piece of their descriptors up to one bit, with their ``distance``.
+
+    The 256 bits are dealt to 25 pieces: of 49 differing bits at most, some piece
+    holds one or none, so pairs nearer than ``GOOD_DISTANCE`` meet in an equi join
+    on piece values, the first side probing each value and its neighbours.  A
+    pair comes once for each value that it shares.
+    """
+    keys = list(keys)
+    a, b = _piece_keys(first, keys, True), _piece_keys(second, keys, False)
+    a = a.select(*keys, "key", F.col("kp").alias("kp0"), *[F.col(f"d{i}").alias(f"a{i}") for i in range(4)])
+    b = b.select(*keys, "key", F.col("kp").alias("kp1"), *[F.col(f"d{i}").alias(f"b{i}") for i in range(4)])
+    distance = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    return a.join(b, [*keys, "key"]).select(*keys, "kp0", "kp1", distance.cast("long").alias("distance"))
+
+
+def match_near(first, second, keys=("pair",), limit=GOOD_DISTANCE):
+    """The mutual nearest matches below ``limit`` bits by multi-index hashing.
+
+    The same rows as :func:`match_descriptors` followed by :func:`good_matches`:
+    a nearest partner below the limit is nearest among all.  For images of very many
+    keypoints, where tiles would meet all pairs; with a few thousand each,
+    tiles are cheaper.  Nearest partners are found by partial minima, so a
+    pair that shares several values does no harm.
+    """
+    if limit > GOOD_DISTANCE:
+        raise ValueError(f"pieces reach distances below {GOOD_DISTANCE} only")
+    keys = list(keys)
+    near = near_candidates(first, second, keys).where(F.col("distance") < limit)
+    side = lambda one, other: near.groupBy(*keys, one).agg(F.min(F.struct("distance", other)).alias("b"))
+    ahead = side("kp0", "kp1").select(*keys, "kp0", F.col("b.kp1").alias("kp1"), F.col("b.distance").alias("distance"))
+    return ahead.join(side("kp1", "kp0").select(*keys, "kp1", F.col("b.kp0").alias("kp0")), [*keys, "kp0", "kp1"])
+
+
 def good_matches(matches, limit=GOOD_DISTANCE):
     return matches.where(F.col("distance") < limit)
 

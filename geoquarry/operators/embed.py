@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoquarry.functions.text import fixed
-from geoquarry.operators.scale import running_sums, tiled_pairs
+from geoquarry.operators.scale import running_sums
 
 #: Largest class table shipped to the tasks as one matrix; larger ones are tiled.
 MAX_CLASSES = 4096
@@ -17,6 +17,9 @@ MAX_CLASSES = 4096
 VECTOR_TILE = 2048
 #: Scores closer than this are ties.
 SCORE_DIGITS = 9
+#: Pivots and rings of an all-pairs comparison; angles beyond a bound by less than the slack are not told apart.
+PIVOTS, RINGS = 32, 32
+RING, ANGLE_SLACK = math.pi / RINGS, 1e-6
 TOP_LABELS = 5
 TOP_MOVERS = 3
 
@@ -30,59 +33,59 @@ def _unit_rows(m):
     return m / np.where(length == 0, 1.0, length)
 
 
-def label_scores(emb, classes, id_col="vec_id", vec="e"):
+def label_scores(emb, classes, id_col="vec_id", vec="e", top=None):
     """Cosine of every scene with every class (J17): (id, label, score).
 
-    ``classes`` has ``name`` and ``vec``.  A class table within
-    ``MAX_CLASSES`` rows is checked and shipped as a matrix; a larger one is
-    compared tile by tile.
+    ``classes`` has ``name`` and ``vec``.  A class table within ``MAX_CLASSES``
+    rows is checked and shipped as a matrix; a larger one meets the vectors
+    chunk by chunk.  With ``top``, only the best labels of each vector and chunk
+    leave the kernel.
     """
-    head = classes.select("name", "vec").limit(MAX_CLASSES + 1).toPandas()
-    if len(head) > MAX_CLASSES:
-        return _tiled_label_scores(emb, classes, id_col, vec)
-    head = head.sort_values("name")
-    names = head["name"].to_numpy()
-    table = _unit_rows(_matrix(head["vec"])) if len(head) else np.zeros((0, 1))
     kind = dict(emb.dtypes)[id_col]
+    schema = f"{id_col} {kind}, label string, score double"
+    head = classes.select("name", "vec").limit(MAX_CLASSES + 1).toPandas()
+    if len(head) <= MAX_CLASSES:
+        score = _scorer(head, id_col, vec, top)
+        return emb.select(id_col, vec).mapInPandas(lambda batches: (score(b) for b in batches if len(b)), schema)
+    # the chunks of a large table, each as large as a table that is shipped
+    chunks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / MAX_CLASSES)).cast("int")
+    size = classes.agg(chunks.alias("chunks"))
+    right = classes.crossJoin(size).select("name", "vec", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int").alias("chunk"))
+    # vectors meet a chunk in groups of bounded size
+    groups = emb.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / VECTOR_TILE)).cast("int").alias("groups"))
+    left = emb.select(id_col, vec).crossJoin(size).crossJoin(groups).select(
+        id_col, vec, F.pmod(F.xxhash64(id_col), F.col("groups")).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    )
+    tiles = right.crossJoin(groups).select("name", "vec", "chunk", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("tile"))
 
-    def score(batches):
-        for batch in batches:
-            if batch.empty or not len(names):
-                continue
-            dots = _unit_rows(_matrix(batch[vec])) @ table.T
-            yield pd.DataFrame({
-                id_col: np.repeat(batch[id_col].to_numpy(), len(names)),
-                "label": np.tile(names, len(batch)),
-                "score": dots.ravel(),
-            })
+    def meet(a, b):
+        return _scorer(b[["name", "vec"]], id_col, vec, top)(a) if len(a) and len(b) else pd.DataFrame(columns=[id_col, "label", "score"])
 
-    return emb.select(id_col, vec).mapInPandas(score, f"{id_col} {kind}, label string, score double")
+    return left.groupBy("tile", "chunk").cogroup(tiles.groupBy("tile", "chunk")).applyInPandas(meet, schema)
 
 
-def _tiled_label_scores(emb, classes, id_col, vec):
-    left = emb.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
-    right = classes.select(F.col("name").alias("id"), F.col("vec").alias("v"))
-    kind = dict(emb.dtypes)[id_col]
+def _scorer(classes, id_col, vec, top):
+    """Function from a frame of vectors to their scores with ``classes``, or to the ``top`` best of each."""
+    classes = classes.sort_values("name")
+    names = classes["name"].to_numpy()
+    table = _unit_rows(_matrix(classes["vec"])) if len(classes) else np.zeros((0, 1))
+    keep = len(names) if top is None else min(top, len(names))
 
-    def score(a, b):
-        if a.empty or b.empty:
+    def score(frame):
+        if not keep:
             return pd.DataFrame(columns=[id_col, "label", "score"])
-        dots = _unit_rows(_matrix(a["v"])) @ _unit_rows(_matrix(b["v"])).T
+        dots = _unit_rows(_matrix(frame[vec])) @ table.T
+        # names are sorted, so a stable sort settles ties by name
+        at = np.argsort(-dots.round(SCORE_DIGITS), axis=1, kind="stable")[:, :keep] if keep < len(names) else np.tile(np.arange(keep), (len(frame), 1))
         return pd.DataFrame({
-            id_col: np.repeat(a["id"].to_numpy(), len(b)), "label": np.tile(b["id"].to_numpy(), len(a)),
-            "score": dots.ravel()})
+            id_col: np.repeat(frame[id_col].to_numpy(), keep), "label": names[at].ravel(), "score": np.take_along_axis(dots, at, 1).ravel()})
 
-    a, b = _tile(left, right)
-    return tiled_pairs(a, b, [], score, f"{id_col} {kind}, label string, score double")
+    return score
 
 
-def _tile(left, right, tile=VECTOR_TILE):
-    """Spread both sides over tiles of about ``tile`` rows (two row counts)."""
-    n_left = max(1, math.ceil(left.count() / tile))
-    n_right = max(1, math.ceil(right.count() / tile))
-    place = lambda df, n, other: df.withColumns({
-        "tile": F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), "tiles": F.lit(other)})
-    return place(left, n_left, n_right), place(right, n_right, n_left)
+def best_labels(emb, classes, k=TOP_LABELS, id_col="vec_id", vec="e"):
+    """The ``k`` best labels of each scene (W2), chosen where they are scored; ties go to the label name."""
+    return top_labels(label_scores(emb, classes, id_col, vec, top=k), k, id_col)
 
 
 def top_labels(scores, k=TOP_LABELS, id_col="vec_id"):
@@ -91,44 +94,117 @@ def top_labels(scores, k=TOP_LABELS, id_col="vec_id"):
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _pivots(vectors):
+    """Unit vectors that texts are grouped around: the first PIVOTS by hash of the id, a bounded choice that changes no result."""
+    rows = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+    return _unit_rows(np.array([r["v"] for r in rows], dtype=float)) if rows else np.zeros((0, 1))
+
+
+def _angles(unit, pivots):
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+def _cells(unit, pivots):
+    """Cell of each vector: its nearest pivot and the ring of its angle to it; -1 for vectors without direction."""
+    if not len(pivots) or not len(unit):
+        return np.full(len(unit), -1)
+    angle = _angles(unit, pivots)
+    near = angle.argmin(1)
+    ring = np.minimum((angle[np.arange(len(unit)), near] / RING).astype(int), RINGS - 1)
+    return np.where((unit * unit).sum(1) > 0.5, near * RINGS + ring, -1)
+
+
+def within_reach(unit, own, pivots):
+    """Cells (rows x cells, the last one -1) that may hold a text with a score of ``own`` or more.
+
+    By the triangle inequality a text of a ring is at least as far from a vector
+    as the vector is from the ring.  Without an own score every cell is within reach.
+    """
+    most = np.arccos(np.clip(own - 2 * 10.0**-SCORE_DIGITS, -1.0, 1.0)) + ANGLE_SLACK
+    edge = np.arange(RINGS) * RING
+    angle = _angles(unit, pivots)[:, :, None]
+    # the last ring reaches to the opposite pole
+    outer = np.where(np.arange(RINGS) == RINGS - 1, np.pi, edge + RING)
+    least = np.maximum(edge - angle, angle - outer).reshape(len(unit), -1)
+    free = np.isnan(own) | ((unit * unit).sum(1) <= 0.5)
+    near = (least <= most[:, None]) | free[:, None]
+    return np.hstack([near, np.ones((len(unit), 1), bool)])
+
+
 def pair_scores(images, texts, tile=VECTOR_TILE):
     """Compare every image with every text, reduced per image.
 
     ``images`` and ``texts`` have ``id`` and ``v``.  Per image: its own text's
-    score, how many texts rank above it, and the best text.  Tile pairs run as
-    matrix products and only their per-image summaries are shuffled.  An image
-    without a text has no own score and no rank, which counts as a miss.
+    score, how many texts rank above it, the best text, and how many texts it
+    was ``compared`` with.  An image without a text has no own score and no rank,
+    which counts as a miss.
+
+    Texts lie in cells, rings of angles around a few pivots, and cells are cut
+    into tiles.  An image is sent only to the tiles of cells that may
+    hold a score of at least its own; what is left runs as matrix products of
+    tiles of bounded size, and only per-image summaries are shuffled.
     """
-    own = images.join(texts.select("id", F.col("v").alias("t")), "id", "left")
-    a, b = _tile(own, texts.select("id", "v"), tile)
+    pivots = _pivots(texts)
+    kinds = dict(images.dtypes)
+    kind, arrays = kinds["id"], "array<double>"
+
+    def place_texts(batches):
+        for frame in batches:
+            if len(frame):
+                yield frame.assign(cell=_cells(_unit_rows(_matrix(frame["v"])), pivots))
+
+    def place_images(batches):
+        for frame in batches:
+            if not len(frame):
+                continue
+            unit = _unit_rows(_matrix(frame["v"]))
+            own = np.array([
+                np.nan if t is None else float(np.dot(v, _unit_rows(np.asarray(t, dtype=float)[None, :])[0])) for v, t in zip(unit, frame["t"])
+            ]).round(SCORE_DIGITS)
+            reach = within_reach(unit, own, pivots)
+            codes = np.r_[np.arange(reach.shape[1] - 1), -1]
+            yield pd.DataFrame({"id": frame["id"], "v": frame["v"], "own": own, "cell": _cells(unit, pivots), "reach": [codes[r] for r in reach]})
+
+    def tiled(df):
+        # at most PIVOTS * RINGS + 1 cells
+        blocks = F.broadcast(df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks")))
+        return blocks, df.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+
+    double = lambda c: F.col(c).cast(arrays).alias(c)
+    t_blocks, held = tiled(texts.select("id", double("v")).mapInPandas(place_texts, f"id {kind}, v {arrays}, cell int"))
+    own = images.select("id", double("v")).join(texts.select("id", F.col("v").cast(arrays).alias("t")), "id", "left")
+    _, asked = tiled(own.mapInPandas(place_images, f"id {kind}, v {arrays}, own double, cell int, reach array<int>"))
+    reached = t_blocks.select(F.col("cell").alias("t_cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t_block"))
+    keys = ["cell", "block", "t_cell", "t_block"]
+    asking = asked.withColumn("t_cell", F.explode("reach")).drop("reach").join(F.broadcast(reached), "t_cell")
+    meeting = asking.select(*keys).distinct()
+    offered = held.select(F.col("cell").alias("t_cell"), F.col("block").alias("t_block"), "id", "v").join(meeting, ["t_cell", "t_block"])
 
     def compare(x, y):
-        names = ["id", "own", "above", "best", "best_score", "n"]
+        names = ["id", "own", "above", "best", "best_score", "compared"]
         if x.empty or y.empty:
             return pd.DataFrame(columns=names)
         y = y.sort_values("id")
-        left = _unit_rows(_matrix(x["v"]))
-        mine = np.array([
-            np.nan if t is None else float(np.dot(v, _unit_rows(np.asarray(t, dtype=float)[None, :])[0]))
-            for v, t in zip(left, x["t"])
-        ]).round(SCORE_DIGITS)
-        dots = (left @ _unit_rows(_matrix(y["v"])).T).round(SCORE_DIGITS)
+        mine = x["own"].to_numpy()
+        dots = (_unit_rows(_matrix(x["v"])) @ _unit_rows(_matrix(y["v"])).T).round(SCORE_DIGITS)
         ids, texts_ids = x["id"].to_numpy(), y["id"].to_numpy()
         other = texts_ids[None, :] != ids[:, None]
         ahead = (dots > mine[:, None]) | ((dots == mine[:, None]) & (texts_ids[None, :] < ids[:, None]))
         at = dots.argmax(axis=1)
         return pd.DataFrame({
             "id": ids, "own": mine, "above": (ahead & other).sum(axis=1), "best": texts_ids[at],
-            "best_score": dots[np.arange(len(x)), at], "n": len(y)})[names]
+            "best_score": dots[np.arange(len(x)), at], "compared": len(y)})[names]
 
-    kind = dict(images.dtypes)["id"]
-    parts = tiled_pairs(a, b, [], compare, f"id {kind}, own double, above long, best {kind}, best_score double, n long")
+    left, right = asking.select(*keys, "id", "v", "own"), offered.select(*keys, "id", "v")
+    parts = left.toDF(*left.columns).groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys)).applyInPandas(
+        compare, f"id {kind}, own double, above long, best {kind}, best_score double, compared long")
     best = F.max(F.struct("best_score", (-F.col("best")).alias("best")))
+    whole = texts.agg(F.count(F.lit(1)).alias("n"))
     return parts.groupBy("id").agg(
-        F.first("own").alias("own"), F.sum("above").alias("above"), best.alias("b"), F.sum("n").alias("n")
-    ).withColumn("own", F.nanvl("own", F.lit(None).cast("double"))).select(
+        F.first("own").alias("own"), F.sum("above").alias("above"), best.alias("b"), F.sum("compared").alias("compared")
+    ).crossJoin(whole).withColumn("own", F.nanvl("own", F.lit(None).cast("double"))).select(
         "id", "own", F.when(F.col("own").isNotNull(), F.col("above") + 1).alias("rank"), (-F.col("b.best")).alias("best"),
-        F.col("b.best_score").alias("best_score"), "n")
+        F.col("b.best_score").alias("best_score"), "n", "compared")
 
 
 def recall_at_k(ranks, ks=(1, 5)):
@@ -178,37 +254,137 @@ def macro(metrics):
     return metrics.agg(F.avg("ap").alias("map"), F.avg("f1").alias("macro_f1"), F.count(F.lit(1)).alias("classes"))
 
 
-def linear_probe(train, test, classes, strength=1.0, rounds=2000):
+def linear_probe(train, test, classes, strength=1.0, rounds=200, tolerance=1e-7):
     """One L2 logistic model per class on frozen vectors (A15): (id, cls, score, truth).
 
     ``train`` and ``test`` have ``id``, ``e`` and ``labels``.  A class with one
-    kind of label in training scores 0.
+    kind of label in training scores 0.  All classes are fitted together
+    (:func:`fit_probe`) and scored in one scan.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    classes = list(classes)
+    truths = F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: F.array_contains("labels", c).cast("double"))
+    rows = lambda df: df.select("id", F.col("e").cast("array<double>").alias("e"), F.coalesce(truths, F.array_repeat(F.lit(0.0), len(classes))).alias("y"))
+    weights = fit_probe(rows(train).select("e", "y"), len(classes), strength, rounds, tolerance)
+    kind = dict(test.dtypes)["id"]
 
-    vector = lambda df: df.select("id", array_to_vector("e").alias("features"), "labels")
-    fit_on, score_on = vector(train).cache(), vector(test)
-    counts = fit_on.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.array_contains("labels", c).cast("int")).alias(str(i)) for i, c in enumerate(classes)],
-    ).first()
-    results = None
-    for i, c in enumerate(classes):
-        truth = F.array_contains("labels", c).cast("int")
-        positives = counts[str(i)] or 0
-        if 0 < positives < counts["n"]:
-            model = LogisticRegression(
-                regParam=1.0 / (strength * counts["n"]), elasticNetParam=0.0, standardization=False,
-                maxIter=rounds, labelCol="y", featuresCol="features",
-            ).fit(fit_on.withColumn("y", truth.cast("double")))
-            raw = vector_to_array(F.col("rawPrediction"))[1]
-            rows = model.transform(score_on).select("id", F.lit(c).alias("cls"), raw.alias("score"), truth.alias("truth"))
-        else:
-            rows = score_on.select("id", F.lit(c).alias("cls"), F.lit(0.0).alias("score"), truth.alias("truth"))
-        results = rows if results is None else results.unionByName(rows)
-    fit_on.unpersist()
-    return results
+    def score(batches):
+        for frame in batches:
+            if not len(frame):
+                continue
+            x = _matrix(frame["e"])
+            scores = _augmented(x) @ weights.T if weights.shape[1] > 1 else np.zeros((len(x), len(classes)))
+            yield pd.DataFrame({
+                "id": np.repeat(frame["id"].to_numpy(), len(classes)), "cls": np.tile(np.arange(len(classes)), len(frame)),
+                "score": scores.ravel(), "truth": _matrix(frame["y"]).ravel().astype(int)})
+
+    found = rows(test).mapInPandas(score, f"id {kind}, cls int, score double, truth int")
+    return found.withColumn("cls", F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("cls") + 1))
+
+
+def _augmented(x):
+    return np.hstack([x, np.ones((len(x), 1))])
+
+
+def fit_probe(rows, n_classes, strength=1.0, rounds=200, tolerance=1e-7):
+    """Weights (classes x (dimension + 1), the intercept last) of logistic models with an L2 term of 1 / ``strength``.
+
+    One L-BFGS for all classes in step: each pass over ``rows`` (``e``, ``y``) gives
+    every class its loss and gradient at its own trial point.  The first pass
+    also sums the products of the vectors, whose quarter bounds the curvature of every class;
+    its inverse starts each class's steps, and where a step does not lower the loss a
+    step by the bound alone does.  A pass sends one row of sums per task, added
+    up by position, so the driver sees ``n_classes * (dimension + 2)`` numbers.
+    """
+    spark = rows.sparkSession
+    rows = rows.where(F.col("e").isNotNull()).persist()
+    first = rows.select(F.size("e").alias("d")).head()
+    if first is None:
+        return np.zeros((n_classes, 1))
+    d = first["d"] + 1
+    products = _summed(rows, lambda x, y: np.concatenate([(x.T @ x).ravel(), y.sum(0), [len(x)]]))
+    n = products[-1]
+    positives, gram = products[-1 - n_classes : -1], products[: d * d].reshape(d, d)
+    ridge = np.r_[np.full(d - 1, 1.0 / strength), 0.0]
+    bound = np.linalg.inv(gram / 4 + np.diag(ridge + 1e-12 * n))
+    fitted = (positives > 0) & (positives < n)
+
+    def look(w):
+        held = spark.sparkContext.broadcast(w)
+
+        def part(x, y):
+            z = x @ held.value.T
+            loss = (np.logaddexp(0.0, z) - y * z).sum(0)
+            return np.concatenate([((0.5 * (1 + np.tanh(z / 2)) - y).T @ x).ravel(), loss])
+
+        sums = _summed(rows, part)
+        return sums[-n_classes:] + 0.5 * (ridge * w * w).sum(1), sums[:-n_classes].reshape(n_classes, d) + ridge * w
+
+    at = np.zeros((n_classes, d))
+    loss, slope = look(at)
+    steps = [[] for _ in range(n_classes)]
+    open_ = fitted.copy()
+    for _ in range(rounds):
+        open_ &= np.abs(slope).max(1) > tolerance * n
+        if not open_.any():
+            break
+        move = np.zeros_like(at)
+        for c in np.flatnonzero(open_):
+            move[c] = -_two_loops(slope[c], steps[c], bound)
+        new_loss, new_slope = look(at + move)
+        worse = open_ & ~(new_loss <= loss + 1e-4 * (slope * move).sum(1))
+        if worse.any():
+            move[worse] = -slope[worse] @ bound
+            new_loss, new_slope = look(at + move)
+            for c in np.flatnonzero(worse):
+                steps[c].clear()
+        for c in np.flatnonzero(open_):
+            change = new_slope[c] - slope[c]
+            if change @ move[c] > 0:
+                steps[c] = [*steps[c][-9:], (move[c].copy(), change)]
+        at, loss, slope = at + move, new_loss, new_slope
+    rows.unpersist()
+    return np.where(fitted[:, None], at, 0.0)
+
+
+def _two_loops(slope, steps, bound):
+    """The L-BFGS direction from past (move, change of slope) pairs and a first inverse curvature."""
+    q, past = slope.copy(), []
+    for s, y in reversed(steps):
+        a = (s @ q) / (s @ y)
+        q -= a * y
+        past.append(a)
+    q = bound @ q
+    for (s, y), a in zip(steps, reversed(past)):
+        q += s * (a - (y @ q) / (s @ y))
+    return q
+
+
+def _summed(rows, part):
+    """The sum of ``part(vectors with a one, truths)`` over all rows: per task first, then by position."""
+
+    def run(batches):
+        total = None
+        for frame in batches:
+            if len(frame):
+                got = part(_augmented(_matrix(frame["e"])), _matrix(frame["y"]))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pd.DataFrame({"sums": [total]})
+
+    parts = rows.mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("at", "s"))
+    # one row for each number of the result
+    out = parts.groupBy("at").agg(F.sum("s").alias("s")).toPandas().sort_values("at")
+    return out["s"].to_numpy()
+
+
+def dated_delta(scores, keys=("pair",)):
+    """Scores of two dates side by side, missing ones 0, from rows with their ``date`` 0 or 1.
+
+    One pass over rows that are scored once; they are dealt by pair, so a window
+    over the pair needs no further shuffle.
+    """
+    at = lambda d: F.coalesce(F.max(F.when(F.col("date") == d, F.col("score"))), F.lit(0.0)).alias(f"raw_t{d}")
+    return scores.repartition(*keys).groupBy(*keys, "label").agg(at(0), at(1))
 
 
 def class_delta(first, second, keys=("pair",)):

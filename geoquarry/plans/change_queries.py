@@ -66,9 +66,9 @@ def simple_mask(spark, sf):
     return grid.legacy_mask(diff)
 
 
-def keypoints(spark, sf):
-    """Keypoints of the two images of each pair, fifty a pair."""
-    rows = V.descriptors(spark, sf).withColumn("pair", F.floor(F.col("kp") / 50).cast("int"))
+def keypoints(spark, sf, size=50):
+    """Keypoints of the two images of each pair, ``size`` a pair."""
+    rows = V.descriptors(spark, sf).withColumn("pair", F.floor(F.col("kp") / size).cast("int"))
     return rows.where("image = 0").drop("image"), rows.where("image = 1").drop("image")
 
 
@@ -146,6 +146,11 @@ def j14(spark, sf):
     return matched(spark, sf).select("kp0", "kp1", "distance")
 
 
+@query("j14_near_matches", "SELECT kp0, kp1, distance FROM v_match WHERE distance < 50", EXTRA)
+def j14_near(spark, sf):
+    return change.match_near(*keypoints(spark, sf)).select("kp0", "kp1", "distance")
+
+
 @query("j14_registration", """
     SELECT pair, keypoints AS keypoints_t0, keypoints AS keypoints_t1, good,
            CASE WHEN good < 3 THEN least(good / 25.0, 0.15) ELSE least(good / 25.0, 1.0) END AS confidence,

@@ -60,6 +60,10 @@ def scores(spark, sf):
     return embed.label_scores(V.embeddings(spark, sf), V.class_vectors(spark, sf))
 
 
+def top(spark, sf):
+    return embed.best_labels(V.embeddings(spark, sf), V.class_vectors(spark, sf))
+
+
 def judged(spark, sf):
     """Test-split class scores with their truth."""
     held = V.embeddings(spark, sf).where("split = 'test'")
@@ -70,10 +74,10 @@ def judged(spark, sf):
 
 
 def two_dates(spark, sf):
-    s = scores(spark, sf)
-    first = s.select(F.col("vec_id").alias("pair"), "label", "score")
-    second = s.select((F.col("vec_id") - 1).alias("pair"), "label", "score").where("pair >= 0")
-    return embed.class_delta(first, second)
+    # each vector is scored once, as the first date of its pair and the second of the one before
+    roles = F.array(*[F.struct((F.col("vec_id") - d).alias("pair"), F.lit(d).alias("date")) for d in (0, 1)])
+    rows = scores(spark, sf).select(F.explode(roles).alias("r"), "label", "score").select("r.*", "label", "score")
+    return embed.dated_delta(rows.where("pair >= 0"))
 
 
 def ranks(spark, sf, encoder=lambda v: v):
@@ -109,7 +113,7 @@ def j17(spark, sf):
 
 @query("w2_top_labels", "SELECT vec_id, name AS label, rank, round(score, 6) + 0.0 AS score FROM v_top", EXTRA)
 def w2(spark, sf):
-    return embed.top_labels(scores(spark, sf)).select("vec_id", "label", "rank", six("score"))
+    return top(spark, sf).select("vec_id", "label", "rank", six("score"))
 
 
 @query("j18_pair_scores", "SELECT id, round(own, 6) + 0.0 AS own, rank, n, best, round(best_score, 6) + 0.0 AS best_score FROM v_rank", EXTRA, types={"rank": "BIGINT"})
@@ -191,9 +195,9 @@ def l1_text(spark, sf):
     SELECT vec_id, array_to_string(a, ',') AS agreement, array_to_string(oo, ',') AS optical_only, array_to_string(ro, ',') AS sar_only,
            round_even(len(a) / greatest(u, 1) * 100, 1) AS agreement_pct, round_even(100 - len(a) / greatest(u, 1) * 100, 1) AS disagreement_pct FROM v_agree""", EXTRA)
 def u1(spark, sf):
-    top = embed.top_labels(scores(spark, sf))
-    radar = top.select((F.col("vec_id") - 1).alias("vec_id"), "label").where("vec_id >= 0")
-    rows = embed.agreement(top.select("vec_id", "label"), radar)
+    best = top(spark, sf)
+    radar = best.select((F.col("vec_id") - 1).alias("vec_id"), "label").where("vec_id >= 0")
+    rows = embed.agreement(best.select("vec_id", "label"), radar)
     return rows.select("vec_id", *[F.array_join(c, ",").alias(c) for c in ("agreement", "optical_only", "sar_only")],
                        "agreement_pct", "disagreement_pct")
 
@@ -221,7 +225,7 @@ def p34(spark, sf):
     rows = V.embeddings(spark, sf)
     target = F.when(F.col("label") == 0, " ").when(F.col("label") == 1, " River.").otherwise(F.concat(F.lit("Ship "), F.col("label").cast("string")))
     requests = rows.select("vec_id", F.lit("How many ships?").alias("query"), target.alias("target"))
-    return trace.prompt_table(requests, embed.top_labels(scores(spark, sf)))
+    return trace.prompt_table(requests, top(spark, sf))
 
 
 @query("d1_user_encoder", "SELECT vec_id, round(list_sum(e), 5) + 0.0 AS total, 64 AS size FROM v_emb")

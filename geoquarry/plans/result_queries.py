@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from geoquarry.operators import change, embed, grid, results, sar, trace
 from geoquarry.plans import views as V
-from geoquarry.plans.change_queries import EXTRA as CHANGE_VIEWS, keypoints, matched
-from geoquarry.plans.embed_queries import EXTRA as EMBED_VIEWS, scores
+from geoquarry.plans.change_queries import EXTRA as CHANGE_VIEWS, keypoints
+from geoquarry.plans.embed_queries import EXTRA as EMBED_VIEWS, scores, top
 from geoquarry.plans.pixel_queries import _SAR, morph_sql
 from geoquarry.plans.registry import query
 from geoquarry.plans.scene_queries import guarded, six
@@ -25,8 +25,10 @@ EXTRA = {
     "v_fixed": """
         SELECT g.scene, g.crs IS NOT NULL AS skip, coalesce(good, 0) AS good, CASE WHEN good IS NULL THEN 0.05 WHEN good < 3 THEN least(good / 25.0, 0.15) ELSE least(good / 25.0, 1.0) END AS found,
                coalesce(good >= 3, false) AS warped, good IS NULL AS blank
-        FROM v_guard g LEFT JOIN (SELECT k.pair, coalesce(m.good, 0) AS good FROM (SELECT DISTINCT (vec_id // 50)::INT AS pair FROM embeddings) k
-          LEFT JOIN (SELECT kp0 // 50 AS pair, count(*) AS good FROM v_match WHERE distance < 50 GROUP BY ALL) m USING (pair)) r ON r.pair = g.scene""",
+        FROM v_guard g LEFT JOIN (SELECT k.pair, coalesce(m.good, 0) AS good FROM (SELECT DISTINCT (vec_id // 4)::INT AS pair FROM embeddings) k
+          LEFT JOIN (SELECT kp0 // 4 AS pair, count(*) AS good FROM v_own_match WHERE distance < 50 GROUP BY ALL) m USING (pair)) r ON r.pair = g.scene""",
+    "v_own_ham": CHANGE_VIEWS["v_ham"].replace("// 50", "// 4"),
+    "v_own_match": CHANGE_VIEWS["v_match"].replace("v_ham", "v_own_ham"),
     "v_set": """
         SELECT (vec_id // 4)::INT AS scene, list(DISTINCT name) FILTER (vec_id % 2 = 0) AS o, list(DISTINCT name) FILTER (vec_id % 2 = 1) AS r
         FROM (SELECT vec_id, name, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, name) AS rank FROM v_score) WHERE rank <= 5 GROUP BY ALL""",
@@ -43,18 +45,18 @@ def facts(spark, sf):
 
 
 def change_payloads(spark, sf):
-    first, second = keypoints(spark, sf)
-    found = change.registration(matched(spark, sf), first, second).withColumnRenamed("pair", "scene")
-    sided = scores(spark, sf).groupBy(F.floor(F.col("vec_id") / 4).cast("int").alias("scene"), "label", (F.col("vec_id") % 2).alias("t")).agg(F.avg("score").alias("score"))
-    date = lambda t: sided.where(F.col("t") == t).drop("t")
-    deltas = embed.softmax_delta(embed.class_delta(date(0), date(1), ("scene",)), ("scene",))
+    # a scene is registered by the keypoints of its own vectors
+    first, second = keypoints(spark, sf, 4)
+    found = change.registration(change.match_descriptors(first, second), first, second).withColumnRenamed("pair", "scene")
+    sided = scores(spark, sf).groupBy(F.floor(F.col("vec_id") / 4).cast("int").alias("scene"), "label", (F.col("vec_id") % 2).alias("date")).agg(F.avg("score").alias("score"))
+    deltas = embed.softmax_delta(embed.dated_delta(sided, ("scene",)), ("scene",))
     known = facts(spark, sf)
     return results.change_results(known, results.registered(known, found), change.diff_stats(V.pair_blocks(spark, sf), size=V.BLOCK), deltas)
 
 
 def fusion_payloads(spark, sf):
-    top = embed.top_labels(scores(spark, sf)).select(F.floor(F.col("vec_id") / 4).cast("int").alias("scene"), "label", (F.col("vec_id") % 2).alias("t"))
-    side = lambda t: top.where(F.col("t") == t).select("scene", "label").distinct()
+    best = top(spark, sf).select(F.floor(F.col("vec_id") / 4).cast("int").alias("scene"), "label", (F.col("vec_id") % 2).alias("t"))
+    side = lambda t: best.where(F.col("t") == t).select("scene", "label").distinct()
     return results.fusion_results(facts(spark, sf), embed.agreement(side(0), side(1), "scene"), sar.sar_physics(V.sar_blocks(spark, sf)))
 
 

@@ -1,5 +1,10 @@
 """File listings, manifests and target lists."""
 
+import hashlib
+import re
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 REQUIRED = ["dataset", "split", "tier", "root", "source_urls", "retrieved_utc"]
@@ -10,11 +15,64 @@ MANIFEST = (
 )
 
 
-def list_files(spark, pattern, root=None):
-    """Path, size and SHA-256 of every matching file."""
-    rows = spark.read.format("binaryFile").load(pattern)
-    path = F.col("path") if root is None else F.regexp_replace("path", f"^.*{root}/", "")
-    return rows.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Files up to this size come whole through Spark's reader; larger ones are read in pieces of CHUNK bytes.
+WHOLE, CHUNK = 256 << 20, 1 << 20
+
+
+def list_files(spark, pattern, root=None, whole=WHOLE):
+    """Path, size and SHA-256 of every matching file, of any size.
+
+    ``root`` is a folder name; what is before and in it is cut from the paths.  The
+    listing reads no content.  A file above ``whole`` bytes, which Spark's
+    reader would hold in one row, is hashed in pieces by the task it falls to
+    (:func:`digests`).
+    """
+    found = spark.read.format("binaryFile").load(pattern)
+    small = found.where(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = digests(found.where(F.col("length") > whole).select("path", F.col("length").alias("bytes")))
+    # the index of all files is with the driver in any case
+    every = spark.createDataFrame([(unquote(p),) for p in found.inputFiles()], "path string")
+    same = lambda c: F.regexp_replace(c, "^([a-z]+):/*", "$1:/")
+    seen = found.select(same("path").alias("seen"))
+    empty = every.join(seen, same("path") == F.col("seen"), "left_anti").select(same("path").alias("path"), F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256"))
+    rows = small.unionByName(large).unionByName(empty)
+    path = F.col("path") if root is None else F.regexp_replace("path", f"^.*{re.escape(root)}/", "")
+    return rows.withColumn("path", path)
+
+
+def digests(files, chunk=CHUNK):
+    """Add ``sha256`` to files (``path, bytes``), each read through one running hash in pieces of ``chunk`` bytes.
+
+    Files are dealt out by path, so large ones fall to different tasks.  Any store that Arrow's
+    file systems open will do; a file whose size changed since the listing fails.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sums = []
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist()):
+                seen, digest = 0, hashlib.sha256()
+                with opened(path) as stream:
+                    while piece := stream.read(chunk):
+                        seen += len(piece)
+                        digest.update(piece)
+                if seen != size:
+                    raise ValueError(f"{path} has {seen} bytes, {size} were listed")
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=["path", "bytes", "sha256"])
+
+    return files.select("path", "bytes").repartition("path").mapInArrow(run, "path string, bytes long, sha256 string")
+
+
+def opened(path):
+    """An input stream of a path as Spark lists it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        # listed paths are plain text, not encoded
+        return fs.LocalFileSystem().open_input_stream(re.sub("^file:/*", "/", path))
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner)
 
 
 def write_manifests(header, files, path):
