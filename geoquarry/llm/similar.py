@@ -1,6 +1,7 @@
 """Near copies by exact similarity of shingle sets.
 
-SimHash links and a prefix filter propose pairs, the whole shingle sets decide.
+SimHash links and a prefix filter propose pairs, parity signatures turn most of
+the false ones down, the whole texts decide.
 Two sets of a Jaccard similarity of 4/5 share one of the first n // 5 + 1
 shingles of each, in any order that all sets use (n is a set's size), so no such
 pair is missed; fingerprints alone would need a radius of about ten bits and
@@ -23,8 +24,10 @@ SAMPLE_ROWS, COMMON = 5_000, 100_000
 #: Buckets over this size are compared from the rows outside their largest component only.
 LARGE = 512
 _SENT = 1 << 18
-#: Bits of the filter that keeps texts without a candidate pair from being shuffled.
-_BITS = 1 << 22
+#: Bits of the filter that keeps texts without a candidate pair from being shuffled; once it is full, all are shuffled.
+_BITS = 1 << 23
+#: Least bits of a parity signature.
+_PARITY = 64
 
 
 def shingle_set(text, words=WORDS):
@@ -66,8 +69,31 @@ def prefix(hashes, common):
     return hashes[np.lexsort((hashes, rank))[: len(hashes) - -(-LEAST * len(hashes) // OF) + 1]]
 
 
+def parity(hashes):
+    """A signature of a set with a power of two of bits, 2n at least: how many hashes fall on each bit, modulo two."""
+    bits = max(_PARITY, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else _PARITY
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little")
+
+
+def folded(signature, bytes_):
+    """The signature of the same set with fewer bits."""
+    return np.bitwise_xor.reduce(signature.reshape(-1, bytes_), axis=0)
+
+
+def may_be_similar(n, one, other_n, other):
+    """Can sets of these sizes and signatures have the similarity?  A bit that differs is at least one hash that does.
+
+    With a Jaccard similarity of LEAST / OF, at most (OF - LEAST) / (OF + LEAST) of all hashes of both sets are in one only.
+    """
+    one, other = (np.frombuffer(x, np.uint8) for x in (one, other))
+    size = min(len(one), len(other))
+    differ = int(np.bitwise_count(folded(one, size) ^ folded(other, size)).sum())
+    return (OF + LEAST) * differ <= (OF - LEAST) * (n + other_n)
+
+
 def prints(docs, id_col="doc_id", text_col="text"):
-    """``doc_id``, ``body`` (a hash of the text), ``node`` (a hash of the shingle set), ``n`` (its size), ``fp``, ``sig`` (its prefix)."""
+    """Of each row ``doc_id``, ``body`` (a hash of the text), ``node`` (a hash of the shingle set), ``n`` (its size), ``fp``, ``sig`` (its prefix), ``par``."""
     common = common_shingles(docs, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -76,12 +102,12 @@ def prints(docs, id_col="doc_id", text_col="text"):
             sets = [shingle_set(t.as_py() or "") for t in batch.column(1)]
             node, fp = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: xxhash.xxh64_intdigest(s.tobytes()), lambda s: majority([s])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), _flat([prefix(s, common) for s in sets], pa.int64())],
-                names=["doc_id", "body", "node", "n", "fp", "sig"],
+                [batch.column(0), batch.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), _flat([prefix(s, common) for s in sets], pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary())],
+                names=["doc_id", "body", "node", "n", "fp", "sig", "par"],
             )
 
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col))
-    return rows.mapInArrow(run, f"doc_id {kind}, body long, node long, n long, fp long, sig array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, body long, node long, n long, fp long, sig array<long>, par binary")
 
 
 def possible(n, at, other_n, other_at):
@@ -169,29 +195,66 @@ def _ordered(pairs):
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def sets_of(pairs, plain, docs, text_col="text"):
-    """``node`` and ``hashes`` (the shingle set) of the nodes in ``pairs``; ``plain`` has each node's least ``body``."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = reliable_checkpoint(plain.join(wanted, "node", "left_semi").select("node", "body"))
-    bits = np.zeros(_BITS // 8, np.uint8)
-    some = chosen.select(F.col("body").bitwiseAND(F.lit(_BITS - 1)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
-    np.bitwise_or.at(bits, some >> 3, (1 << (some & 7)).astype(np.uint8))
+def likely(pairs, plain):
+    """The pairs (a, b) that signatures do not turn down; ``plain`` has ``node, n, par``."""
+    one, two = (plain.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("par").alias(f"par_{c}")) for c in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "par_a", "n_b", "par_b")
+
+    def run(batches):
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[2:]]
+            ok = pa.array([may_be_similar(*row) for row in zip(*columns)], pa.bool_())
+            yield batch.select([0, 1]).filter(ok)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def candidate_bits(bodies):
+    """A filter of ``bodies`` as bytes; its words are combined on the executors, so at most ``_BITS`` bits reach the driver."""
+    low = F.col("body").bitwiseAND(F.lit(_BITS - 1))
+    word = bodies.select(F.shiftright(low, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(body & 63 AS int))").alias("bit"))
+    rows = word.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = np.zeros(_BITS // 64, np.int64)
+    words[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return words.view(np.uint8)
 
-    def read(batches):
+
+def verified(pairs, plain, docs, text_col="text"):
+    """The pairs (a, b) whose whole texts have the similarity; ``plain`` has each node's least ``body``.
+
+    A text is sent once by its hash and once for each pair in which it is the
+    larger node, and its shingles are made where both texts are.
+    """
+    named = reliable_checkpoint(
+        pairs.join(plain.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a").join(plain.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
+    )
+    bits = docs.sparkSession.sparkContext.broadcast(candidate_bits(named.select(F.col("body_a").alias("body")).union(named.select("body_b"))))
+
+    def wanted(batches):
+        held = bits.value
         for batch in batches:
-            bit = batch.column(0).to_numpy() & (_BITS - 1)
-            batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _flat([shingle_set(t.as_py() or "") for t in batch.column(1)], pa.int64())], names=["body", "hashes"])
+            at = batch.column(0).to_numpy() & (_BITS - 1)
+            yield batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
-    texts = docs.select(F.xxhash64(text_col).alias("body"), F.col(text_col)).mapInArrow(read, "body long, hashes array<long>")
-    return reliable_checkpoint(texts.dropDuplicates(["body"]).join(chosen, "body").select("node", "hashes"))
+    texts = docs.select(F.xxhash64(text_col).alias("body"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(wanted, "body long, text string")
+    single = texts.dropDuplicates(["body"])
+    one, two = (single.select(F.col("body").alias(f"body_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
+    # rows of one first text come together
+    both = named.join(two, "body_b").join(one, "body_a").select("a", "b", "body_a", "text_a", "text_b")
 
+    def run(batches):
+        last, own = None, None
+        for batch in batches:
+            ok = []
+            for i, body in enumerate(batch.column(2).to_pylist()):
+                if body != last:
+                    last, own = body, shingle_set(batch.column(3)[i].as_py())
+                other = shingle_set(batch.column(4)[i].as_py())
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                ok.append(OF * shared >= LEAST * (len(own) + len(other) - shared))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-def verified(pairs, sets):
-    """The pairs (a, b) whose sets have the similarity."""
-    one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h_{c}")) for c in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("h_a", "h_b")))
-    return both.where(OF * F.col("shared") >= LEAST * (F.size("h_a") + F.size("h_b") - F.col("shared"))).select("a", "b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def similar_links(docs, found, text_col="text"):
@@ -199,8 +262,9 @@ def similar_links(docs, found, text_col="text"):
 
     First each node meets a few others: those that SimHash links, and in the
     bucket of each shingle of its prefix one neighbour in a random order.  Then
-    all pairs of a bucket that can be similar and are not connected yet are
-    verified, so that a group of many near copies has no square of pairs.
+    all pairs of a bucket that can be similar and are not connected yet follow,
+    so that a group of many near copies has no square of pairs.  Each time
+    parity signatures, a hundredth of a text, decide which pairs' texts are sent.
     """
     rows = found.select("node", "n", F.posexplode("sig").alias("pos", "key")).select("key", "node", (F.shiftleft("n", 32) + F.col("pos")).alias("place"))
     # copies of a set come next to each other, so that one of them goes on
@@ -208,7 +272,9 @@ def similar_links(docs, found, text_col="text"):
         rows.repartition("key").withColumn("turn", F.xxhash64("node", "key")).sortWithinPartitions("key", "turn", "node")
         .mapInArrow(in_company, "key long, node long, n long, pos long, prev long")
     )
-    plain = reliable_checkpoint(found.where("n > 0").groupBy("node").agg(F.min("body").alias("body"), F.min("fp").alias("fp")))
+    plain = reliable_checkpoint(
+        found.where("n > 0").groupBy("node").agg(F.min("body").alias("body"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.max("par").alias("par"))
+    )
     heads = plain.groupBy("fp").agg(F.min("node").alias("head"))
     linked = (
         links(heads.select("fp"), RADIUS)
@@ -220,12 +286,12 @@ def similar_links(docs, found, text_col="text"):
         near.where("prev is not null").select(F.col("node").alias("a"), F.col("prev").alias("b"))
         .union(plain.join(heads, "fp").select("node", "head")).union(linked)
     ))
-    sure = reliable_checkpoint(verified(pairs, sets_of(pairs, plain, docs, text_col)))
+    sure = reliable_checkpoint(verified(likely(pairs, plain), plain, docs, text_col))
     stars = components(sure).withColumnRenamed("a", "node").withColumnRenamed("b", "top")
     placed = near.join(stars, "node", "left").select("key", "n", "node", "pos", F.coalesce("top", "node").alias("root"))
     others = placed.repartition("key").sortWithinPartitions("key", "n").mapInArrow(pairs_across, "a long, b long")
-    more = reliable_checkpoint(_ordered(others))
-    return sure.union(verified(more, sets_of(more, plain, docs, text_col)))
+    more = likely(_ordered(others), plain)
+    return sure.union(verified(more, plain, docs, text_col))
 
 
 def representatives(docs, id_col="doc_id", text_col="text"):

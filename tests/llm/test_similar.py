@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from geoquarry.llm import similar
 
 
@@ -38,6 +40,24 @@ def edited(rng, n_groups=12, copies=12):
     return texts
 
 
+def test_signatures_turn_down_no_similar_pair():
+    rng = np.random.default_rng(1)
+    kept = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 400))
+        whole = rng.integers(0, 2**64, n + 200, dtype=np.uint64)
+        one = whole[:n]
+        two = whole[int(rng.integers(0, 1 + n // 4)) : n + int(rng.integers(0, 1 + n // 4))]
+        shared = len(np.intersect1d(one, two))
+        ok = similar.may_be_similar(len(one), similar.parity(one).tobytes(), len(two), similar.parity(two).tobytes())
+        if 5 * shared >= 4 * (len(one) + len(two) - shared):
+            assert ok
+        kept += ok
+    assert kept < 2500
+    strangers = [similar.parity(rng.integers(0, 2**64, 500, dtype=np.uint64)).tobytes() for _ in range(200)]
+    assert not any(similar.may_be_similar(500, a, 500, b) for a, b in zip(strangers, strangers[1:]))
+
+
 def test_groups_equal_all_pairs(spark, monkeypatch):
     rng = random.Random(3)
     texts = [*edited(rng), "one two", "ONE  two", "one two three", None, "", " \n"]
