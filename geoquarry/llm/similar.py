@@ -26,8 +26,8 @@ LARGE = 512
 _SENT = 1 << 18
 #: Bits of the filter that keeps texts without a candidate pair from being shuffled; once it is full, all are shuffled.
 _BITS = 1 << 23
-#: Least bits of a parity signature.
-_PARITY = 64
+#: Least bits of a parity signature, and of the shorter one that goes along into the buckets.
+_PARITY = 256
 
 
 def shingle_set(text, words=WORDS):
@@ -148,8 +148,20 @@ def in_company(batches):
         yield sent(held, waits, held.shape[1])
 
 
+def short_signature(column):
+    """The four words of a parity signature folded to _PARITY bits, as long columns ``p0`` to ``p3``."""
+
+    def run(batches):
+        for batch in batches:
+            words = [folded(np.frombuffer(x, np.uint8), _PARITY // 8).view(np.int64) for x in batch.column(1).to_pylist()]
+            words = np.array(words, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, words.T)], names=["node", "p0", "p1", "p2", "p3"])
+
+    return column.mapInArrow(run, "node long, p0 long, p1 long, p2 long, p3 long")
+
+
 def pairs_across(batches):
-    """Of rows (key, n, node, pos, root) sorted by key and n the pairs of one key and two roots that can be similar."""
+    """Of rows (key, n, node, pos, root, p0, p1, p2, p3) sorted by key and n the pairs of one key and two roots that can be similar."""
     rest = None
     for batch in batches:
         part = _columns(batch)
@@ -166,13 +178,17 @@ def pairs_across(batches):
 def _across(part):
     if not part.shape[1]:
         return
-    key, n, node, pos, root = part
+    key, n, node, pos, root = part[:5]
+    words = part[5:].view(np.uint64)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
 
     def rows(i, j):
         ok = (root[i] != root[j]) & possible(n[i], pos[i], n[j], pos[j])
+        i, j = i[ok], j[ok]
+        differ = np.bitwise_count(words[:, i] ^ words[:, j]).sum(0, dtype=np.int64)
+        ok = (OF + LEAST) * differ <= (OF - LEAST) * (n[i] + n[j])
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])[ok]), pa.array(np.maximum(node[i], node[j])[ok])], names=["a", "b"])
 
     for a, m in zip(first[mixed & (size > LARGE)], size[mixed & (size > LARGE)]):
@@ -288,7 +304,9 @@ def similar_links(docs, found, text_col="text"):
     ))
     sure = reliable_checkpoint(verified(likely(pairs, plain), plain, docs, text_col))
     stars = components(sure).withColumnRenamed("a", "node").withColumnRenamed("b", "top")
-    placed = near.join(stars, "node", "left").select("key", "n", "node", "pos", F.coalesce("top", "node").alias("root"))
+    words = ["p0", "p1", "p2", "p3"]
+    known = short_signature(plain.select("node", "par")).join(stars, "node", "left").select("node", F.coalesce("top", "node").alias("root"), *words)
+    placed = near.join(known, "node").select("key", "n", "node", "pos", "root", *words)
     others = placed.repartition("key").sortWithinPartitions("key", "n").mapInArrow(pairs_across, "a long, b long")
     more = likely(_ordered(others), plain)
     return sure.union(verified(more, plain, docs, text_col))
