@@ -62,23 +62,8 @@ def running_totals(df, group, order, sums):
     )
 
 
-#: Of one sampled text at most so many characters are learned from, as evenly spaced slices of SLICE characters.
-SAMPLE_CHARS, SLICE = 6000, 1000
-
-
-def slices(text):
-    """Evenly spaced slices over the whole of a long text; a short one stays whole."""
-    n = F.length(text)
-    step = (n - SLICE) / F.lit(SAMPLE_CHARS // SLICE - 1)
-    cut = F.transform(
-        F.sequence(F.lit(0), F.lit(SAMPLE_CHARS // SLICE - 1)),
-        lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.lit(SLICE)),
-    )
-    return F.when(n > SAMPLE_CHARS, F.array_join(cut, " ")).otherwise(text)
-
-
 def labelled_sample(docs, labels, label, fold, per_class, id_col="doc_id", text_col="text"):
-    """A bounded, repeatable sample of labelled texts: pandas columns ``text``, ``label``, ``weight``.
+    """A bounded, repeatable sample of labelled whole texts: pandas columns ``text``, ``label``, ``weight``.
 
     Up to ``per_class`` rows of each of the labels 0 and 1, the first by hash of
     the id, none of them from the held-out ``fold`` (modulus, remainder).  Ids
@@ -96,7 +81,7 @@ def labelled_sample(docs, labels, label, fold, per_class, id_col="doc_id", text_
     for value in (0, 1):
         part = known.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("_doc"), slices(F.col(text_col)).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
     rows = (
         texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
         .where(F.col("text").isNotNull())

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from geoquarry.llm.common import fold_is, slices, table
+from geoquarry.llm.common import fold_is, table
 
 #: Longest n-gram in characters, n-grams kept of a profile, and sampled documents of each language.
 LONGEST, KEPT, PER_LANGUAGE = 3, 400, 300
@@ -117,7 +117,7 @@ def sampled_texts(docs, per_language=PER_LANGUAGE, id_col="doc_id", text_col="te
     Broadcasts and result hold at most ``per_language`` rows for each language that ``lang`` names.
     """
     chosen = language_sample(docs, per_language, id_col, lang_col)
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(lang_col).alias("lang"), slices(F.col(text_col)).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = (
         texts.join(F.broadcast(chosen), (F.col("_doc") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
         .where(F.col("text").isNotNull()).toPandas()

@@ -21,6 +21,8 @@ PER_CLASS = 1500
 #: A word belongs to a class's own text if its document count there exceeds what the other class suggests by so many standard deviations.
 DEVIATIONS = 3.5
 HELD_OUT = (5, 0)
+#: How often samples are repeated, until the trainer takes them.
+TIMES = (1, 4, 16, 64, 256)
 _WORD = re.compile(r"\w+")
 
 
@@ -38,18 +40,23 @@ def own_text(texts, others):
 
 
 def dictionary(texts, size):
-    """Content of a zstandard dictionary trained on ``texts``; the texts' own ends where there are too few to train on."""
+    """Content of a zstandard dictionary trained on ``texts``.
+
+    The trainer wants more samples than a small class has, so samples are repeated
+    until it takes them; nothing to learn from gives no content.
+    """
     samples = []
     for t in texts:
         b = t.encode()
         samples += [b[i : i + WINDOW] for i in range(0, len(b), WINDOW)]
     samples = [s for s in samples if len(s) >= 8]
     total = sum(map(len, samples))
-    try:
-        whole = zstandard.train_dictionary(min(size, max(256, total // 4)), samples).as_bytes()
-        return whole
-    except (zstandard.ZstdError, ValueError):
-        return b" ".join(samples)[-size:]
+    for times in TIMES if samples else ():
+        try:
+            return zstandard.train_dictionary(min(size, max(256, total // 4)), samples * times).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            continue
+    return b""
 
 
 def compressors(pair):
