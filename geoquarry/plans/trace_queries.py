@@ -204,10 +204,10 @@ def stream_queries(spark, sf, closing=None):
     return V.queries_of(events)
 
 
-def end_mark(spark, sf):
+def end_mark(spark, sf, days=1):
     """An end mark a day after the last event."""
     last = V.load(spark, sf, "events").agg(F.max("ts").alias("ts")).first()["ts"]
-    return jobs.Closing(spark, last + datetime.timedelta(days=1))
+    return jobs.Closing(spark, last + datetime.timedelta(days=days))
 
 
 @query("t1_route_stream", "SELECT qid, task, mechanism, matched FROM v_routed", EXTRA)
@@ -259,8 +259,18 @@ def t6(spark, sf):
     return jobs.run_once(jobs.drop_repeats(arriving), "distinct").select("qid")
 
 
+#: Days of events that arrive as one file each in the query.
+ARRIVE_DAYS = 8
+
+
 @query("t7_change_state", """
     SELECT user_id AS location, ts, round(value / 500, 6) AS fraction, round(value / 500 - lag(value / 500) OVER (PARTITION BY user_id ORDER BY ts, value), 6) + 0.0 AS delta FROM events""")
 def t7(spark, sf):
-    masks = jobs.read_events(spark, sf).select(F.col("user_id").alias("location"), "ts", (F.col("value") / 500).alias("fraction"))
-    return jobs.run_once(jobs.change_state(masks), "change-state").select("location", F.col("ts").cast("timestamp_ntz").alias("ts"), six("fraction"), six("delta"))
+    # later than the last event by more than the watermark's delay
+    end = end_mark(spark, sf, ARRIVE_DAYS + 1)
+    folder = scratch_path(spark, "arrivals")
+    schema = jobs.arrivals(V.load(spark, sf, "events"), folder, ARRIVE_DAYS)
+    events = jobs.read_events(spark, folder, "*.parquet", schema, files_per_batch=1, closing=end)
+    masks = events.select(F.col("user_id").alias("location"), "ts", (F.col("value") / 500).alias("fraction"))
+    changed = jobs.run_once(jobs.change_state(masks, f"{ARRIVE_DAYS} days"), "change-state", closing=end)
+    return changed.select("location", F.col("ts").cast("timestamp_ntz").alias("ts"), six("fraction"), six("delta"))

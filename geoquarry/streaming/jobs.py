@@ -6,7 +6,8 @@ arriving rows.
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from geoquarry.operators.catalog import inspect
 from geoquarry.operators.routing import route
@@ -14,6 +15,8 @@ from geoquarry.operators.trace import write_traces
 from geoquarry.session import scratch_path
 
 LATE = "10 minutes"
+#: The state store that timers and lists need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_events(spark, folder, name="events.parquet", schema=None, files_per_batch=None, closing=None, pieces=None):
@@ -35,6 +38,17 @@ def read_events(spark, folder, name="events.parquet", schema=None, files_per_bat
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def arrivals(events, folder, days):
+    """Write ``events`` below ``folder`` as they would arrive, the files of ``days`` days after those of the days before; returns the schema."""
+    day = F.floor(F.unix_date(F.to_date("ts")) / days)
+    first, last = events.agg(F.min(day), F.max(day)).first()
+    for at in range(first or 0, (last if last is not None else -1) + 1):
+        events.where(day == at).write.mode("append").parquet(folder)
+    if first is None:
+        events.write.parquet(folder)
+    return events.schema
+
+
 class Closing:
     """An end mark for an input that has ended: one row, null but for a late enough time.
 
@@ -114,31 +128,60 @@ def drop_repeats(traces):
     return traces.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["qid"])
 
 
-def change_state(masks):
-    """Change against the last mask seen at a location.
+class LastMask(StatefulProcessor):
+    """Per location the last mask seen, and the arrivals that wait for the watermark."""
+
+    def init(self, handle):
+        row = StructType([StructField("micros", LongType()), StructField("fraction", DoubleType())])
+        self.handle = handle
+        self.last = handle.getValueState("last", row)
+        self.waiting = handle.getListState("waiting", row)
+
+    def handleInputRows(self, key, rows, timerValues):
+        if next(iter(self.handle.listTimers()), None) is None:
+            # at once: it expires when the watermark has moved past it
+            self.handle.registerTimer(max(1, timerValues.getCurrentWatermarkInMs() + 1))
+        for frame in rows:
+            times = frame["ts"].to_numpy("datetime64[us]").astype("int64")
+            self.waiting.appendList([*zip(times.tolist(), frame["fraction"].astype(float).tolist())])
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, later = [], []
+        for micros, fraction in self.waiting.get():
+            (ready if micros <= mark else later).append((micros, fraction))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(later)[0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        last = self.last.get()[1] if self.last.exists() else None
+        out = []
+        for micros, fraction in sorted(ready):
+            out.append((key[0], pd.Timestamp(micros, unit="us"), fraction, None if last is None else fraction - last))
+            last = fraction
+        if ready:
+            self.last.update((max(ready)[0], last))
+        yield pd.DataFrame(out, columns=["location", "ts", "fraction", "delta"])
 
-    ``masks``: location, ts, fraction.  A key's arrivals of one trigger are put
-    in time order, so the trigger size bounds what a task holds; an arrival older
-    than the state is reported and leaves it unchanged.
-    """
+    def close(self):
+        pass
 
-    def step(key, frames, state):
-        rows = pd.concat(list(frames)).sort_values(["ts", "fraction"])
-        last_ts, last = (state.get if state.exists else (None, None))
-        out = []
-        for ts, fraction in zip(rows["ts"], rows["fraction"]):
-            micros = int(pd.Timestamp(ts).value // 1000)
-            late = last_ts is not None and micros < last_ts
-            delta = None if last is None or late else float(fraction - last)
-            out.append((key[0], ts, float(fraction), delta, late))
-            if not late:
-                last_ts, last = micros, float(fraction)
-        state.update((last_ts, last))
-        yield pd.DataFrame(out, columns=["location", "ts", "fraction", "delta", "late"])
-
-    return masks.groupBy("location").applyInPandasWithState(
-        step, "location long, ts timestamp, fraction double, delta double, late boolean",
-        "last_ts long, last double", "append", GroupStateTimeout.NoTimeout,
+
+def change_state(masks, late=LATE):
+    """Change against the mask before at a location.
+
+    ``masks``: location, ts, fraction.  Arrivals wait in state until the watermark
+    has passed them and then come out in order of time, so the order in which
+    they arrive within ``late`` does not matter; later ones are dropped by the
+    watermark.  A task holds what a location sends within that time, not a
+    whole trigger of it.  Needs the RocksDB state store, which the job sets.
+    """
+    spark = masks.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return masks.withWatermark("ts", late).groupBy("location").transformWithStateInPandas(
+        LastMask(), "location long, ts timestamp, fraction double, delta double", "Append", "EventTime",
     )
 
 
