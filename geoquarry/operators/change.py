@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geoquarry.functions.text import fixed
 from geoquarry.operators.grid import morph
 from geoquarry.operators.scale import join_facts, tiled_pairs
+from geoquarry.session import reliable_checkpoint
 from geoquarry.sources.blocks import to_pixels
 
 # Fixed values of matching and confidence.
@@ -20,6 +21,8 @@ WITH_DELTA, WITHOUT_DELTA = 0.8, 0.2
 FUSION_CONFIDENCE = {3: 0.7, 2: 0.5, 1: 0.3, 0: 0.1}
 #: Keypoints per tile; an image of the reference's detector fits one tile.
 KEYPOINT_TILE = 2500
+#: Share of a pair's matches in a trimmed fit, and how often it is fitted again.
+KEEP, REFITS = 0.625, 4
 #: Pieces of a descriptor in multi-index hashing: fewer than GOOD_DISTANCE bits leave one piece with one bit at most.
 PIECES = 25
 
@@ -393,6 +396,29 @@ def fit_similarity(points, keys=("pair",)):
     )
 
 
+def fit_trimmed(points, keys=("pair",), keep=KEEP, rounds=REFITS):
+    """:func:`fit_similarity` that leaves the worst matches out.
+
+    After each fit the squared residual of every match is taken, and the next fit
+    uses the matches up to the ``keep`` quantile of their pair.  Wrong matches up to
+    about 1 - ``keep`` of a pair lose their pull within a few rounds.
+    ``n`` counts the matches of the last fit.  Quantiles come from mergeable
+    sketches, so a pair of any size stays spread; the points are kept once
+    and each round's fits, a row per pair, are cut from their lineage.
+    """
+    keys = list(keys)
+    points = reliable_checkpoint(points.select(*keys, "x", "y", "u", "v"))
+    fit = reliable_checkpoint(fit_similarity(points, keys))
+    for _ in range(rounds):
+        held = points.join(fit.select(*keys, "a", "b", "tx", "ty"), keys)
+        du = F.col("a") * F.col("x") - F.col("b") * F.col("y") + F.col("tx") - F.col("u")
+        dv = F.col("b") * F.col("x") + F.col("a") * F.col("y") + F.col("ty") - F.col("v")
+        off = held.withColumn("off", du * du + dv * dv)
+        limits = off.groupBy(*keys).agg(F.percentile_approx("off", keep, 10000).alias("limit"))
+        fit = reliable_checkpoint(fit_similarity(off.join(limits, keys).where(F.col("limit").isNull() | (F.col("off") <= F.col("limit"))), keys))
+    return fit
+
+
 def change_confidence(registration_confidence, mask_written, has_delta):
     """Mean of registration, delta and mask evidence, within [0, 1]."""
     parts = (

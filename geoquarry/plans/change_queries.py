@@ -174,13 +174,53 @@ def l6(spark, sf):
     FROM (SELECT *, (along - (sx * su + sy * sv) / n) / (sq - (sx * sx + sy * sy) / n) AS a,
                  (across - (sx * sv - sy * su) / n) / (sq - (sx * sx + sy * sy) / n) AS b FROM v_moment)""", EXTRA)
 def a26(spark, sf):
+    rows = change.fit_similarity(matched_points(spark, sf))
+    return rows.select("pair", "n", *[F.round(c, d).alias(c) for c, d in DIGITS.items()])
+
+
+DIGITS = {"a": 6, "b": 6, "tx": 4, "ty": 4, "scale": 6, "rotation": 5}
+
+
+def matched_points(spark, sf):
+    """Both positions of each good match."""
     first, second = keypoints(spark, sf)
     good = change.good_matches(matched(spark, sf))
-    points = good.join(first.select("pair", F.col("kp").alias("kp0"), F.col("x").alias("u"), F.col("y").alias("v")), ["pair", "kp0"]).join(
+    return good.join(first.select("pair", F.col("kp").alias("kp0"), F.col("x").alias("u"), F.col("y").alias("v")), ["pair", "kp0"]).join(
         second.select("pair", F.col("kp").alias("kp1"), "x", "y"), ["pair", "kp1"])
-    rows = change.fit_similarity(points)
-    digits = {"a": 6, "b": 6, "tx": 4, "ty": 4, "scale": 6, "rotation": 5}
-    return rows.select("pair", "n", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
+def _trimmed_sql(rounds=change.REFITS, keep=change.KEEP):
+    """Fits of the trimmed points, round by round, as further views."""
+    fit = """
+        SELECT pair, a, b, (su - a * sx + b * sy) / n AS tx, (sv - b * sx - a * sy) / n AS ty
+        FROM (SELECT *, (along - (sx * su + sy * sv) / n) / (sq - (sx * sx + sy * sy) / n) AS a, (across - (sx * sv - sy * su) / n) / (sq - (sx * sx + sy * sy) / n) AS b FROM (
+          SELECT pair, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(u) AS su, sum(v) AS sv, sum(x * x + y * y) AS sq, sum(x * u + y * v) AS along, sum(x * v - y * u) AS across
+          FROM {points} GROUP BY pair))"""
+    views = {
+        "v_bad": """
+            SELECT (kp0 // 50)::INT AS pair, x, y, u + CASE WHEN kp0 % 10 < 3 THEN 60.0 + kp0 % 7 * 25.0 ELSE 0.0 END AS u, v - CASE WHEN kp0 % 10 < 3 THEN kp0 % 5 * 30.0 ELSE 0.0 END AS v
+            FROM v_match WHERE distance < 50""",
+        "v_fit0": fit.format(points="v_bad"),
+    }
+    for i in range(rounds):
+        views[f"v_off{i}"] = f"""
+            SELECT p.*, pow(a * x - b * y + tx - u, 2) + pow(b * x + a * y + ty - v, 2) AS off FROM v_bad p JOIN v_fit{i} USING (pair)"""
+        views[f"v_kept{i}"] = f"""
+            SELECT o.* FROM v_off{i} o JOIN (SELECT pair, max(off) FILTER (r <= ceil({keep} * n)) AS most FROM (
+              SELECT pair, off, row_number() OVER (PARTITION BY pair ORDER BY off) AS r, count(*) OVER (PARTITION BY pair) AS n FROM v_off{i}) GROUP BY pair) USING (pair) WHERE off <= most"""
+        views[f"v_fit{i + 1}"] = fit.format(points=f"v_kept{i}")
+    return views
+
+
+@query("a26_trimmed_fit", f"""
+    SELECT pair, round(a, 6) AS a, round(b, 6) AS b, round(tx, 4) AS tx, round(ty, 4) AS ty, round(sqrt(a * a + b * b), 6) AS scale, round(degrees(atan2(b, a)), 5) AS rotation
+    FROM v_fit{change.REFITS}""", {**EXTRA, **_trimmed_sql()})
+def a26_trimmed(spark, sf):
+    # three matches in ten are wrong
+    wrong, k = F.col("kp0") % 10 < 3, F.col("kp0")
+    points = matched_points(spark, sf).withColumns({
+        "u": F.col("u") + F.when(wrong, 60.0 + k % 7 * 25.0).otherwise(0.0), "v": F.col("v") - F.when(wrong, k % 5 * 30.0).otherwise(0.0)})
+    return change.fit_trimmed(points).select("pair", *[F.round(c, d).alias(c) for c, d in DIGITS.items()])
 
 
 @query("p30_change_text", """

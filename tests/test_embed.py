@@ -125,3 +125,22 @@ def test_probe_without_training_rows(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0], [0])], "id long, e array<double>, labels array<int>")
     assert {r["score"] for r in embed.linear_probe(rows.limit(0), rows, [0, 1]).collect()} == {0.0}
     assert embed.linear_probe(rows, rows.limit(0), [0, 1]).count() == 0
+
+
+def test_trimmed_fit_recovers_a_transform_among_wrong_matches(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for pair, n in ((0, 200), (1, 40), (2, 1)):
+        x, y = rng.uniform(0, 500, (2, n))
+        u, v = 0.9 * x - 0.2 * y + 5 + rng.normal(size=n) * 0.1, 0.2 * x + 0.9 * y - 3 + rng.normal(size=n) * 0.1
+        wrong = np.arange(n) < 0.3 * n if n > 1 else np.zeros(n, bool)
+        u[wrong], v[wrong] = rng.uniform(0, 500, (2, wrong.sum()))
+        rows += [(pair, *map(float, r)) for r in zip(x, y, u, v)]
+    points = spark.createDataFrame(rows, "pair int, x double, y double, u double, v double")
+    fits = {r["pair"]: r for r in change.fit_trimmed(points).collect()}
+    for pair in (0, 1):
+        np.testing.assert_allclose([fits[pair][c] for c in ("a", "b")], [0.9, 0.2], atol=2e-3)
+        np.testing.assert_allclose([fits[pair][c] for c in ("tx", "ty")], [5, -3], atol=0.5)
+    assert fits[0]["n"] == 125 and fits[2]["a"] is None
+    plain = {r["pair"]: r for r in change.fit_similarity(points).collect()}
+    assert abs(plain[0]["a"] - 0.9) > 0.05
