@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from geoquarry.operators import routing, rules
+from geoquarry.operators import lookup, routing, rules
 from geoquarry.plans import views as V
 from geoquarry.plans.registry import query
 from geoquarry.plans.scene_queries import six
@@ -80,6 +80,39 @@ def j16(spark, sf):
     return routing.rule_matches(V.queries(spark, sf))
 
 
+@query("j16_rule_table", f"SELECT qid, i AS ordinal, ({_R_TASK})[i + 1] AS task, ({_R_NAME})[i + 1] AS name FROM (SELECT qid, unnest(hits) AS i FROM v_query JOIN v_text_hits USING (query))", EXTRA)
+def j16_table(spark, sf):
+    return lookup.rule_matches(V.queries(spark, sf), V.rule_table(spark))
+
+
+#: Examples from parts instead of the fixed ones, and queries of their words.
+PART_VIEWS = {
+    "v_part_query": """
+        SELECT a.p_partkey AS qid, 'show the ' || a.p_name || ' ' || a.p_name || ' of' || coalesce(' ' || b.p_type || ' size' || b.p_size, '') AS query
+        FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1""",
+    "v_part_text": "SELECT DISTINCT query FROM v_part_query",
+    "v_pe": f"SELECT p_partkey AS example, ({sql_list(rules.TASKS)})[p_partkey % {len(rules.TASKS)} + 1] AS task, p_name || ' ' || p_type || ' ' || p_brand || ' size' || p_size AS text FROM part",
+    "v_pe_token": f"SELECT example, task, token, count(*) AS tf FROM (SELECT example, task, unnest({_token_list('text')}) AS token FROM v_pe) GROUP BY ALL",
+    "v_pe_idf": "SELECT token, ln((1.0 + (SELECT count(*) FROM v_pe)) / (1.0 + count(*))) + 1.0 AS w FROM v_pe_token GROUP BY token",
+    "v_pe_norm": "SELECT example, sqrt(sum(tf * w * w)) AS n FROM v_pe_token JOIN v_pe_idf USING (token) GROUP BY example",
+    "v_pq_token": f"SELECT query, token, count(*) AS tf FROM (SELECT query, unnest({_token_list('query')}) AS token FROM v_part_text) GROUP BY ALL",
+    "v_pq_norm": "SELECT query, sqrt(sum((tf * w) * (tf * w))) AS n FROM v_pq_token JOIN v_pe_idf USING (token) GROUP BY query",
+    "v_pe_score": """
+        SELECT query, task, max(s) AS score FROM (
+          SELECT q.query, e.example, any_value(e.task) AS task, sum(q.tf * w * w * e.tf) / (any_value(n.n) * any_value(x.n)) AS s
+          FROM v_pq_token q JOIN v_pe_idf USING (token) JOIN v_pe_token e USING (token) JOIN v_pq_norm n USING (query) JOIN v_pe_norm x ON x.example = e.example
+          GROUP BY q.query, e.example) GROUP BY query, task""",
+}
+
+
+@query("w7_best_of_table", f"""
+    SELECT qid, t.task, round(coalesce(score, 0.0), 6) AS score FROM v_part_query q CROSS JOIN (SELECT unnest({sql_list(rules.TASKS)}) AS task) t
+    LEFT JOIN v_pe_score s ON s.query = q.query AND s.task = t.task""", PART_VIEWS)
+def w7_table(spark, sf):
+    rows = lookup.best_examples(V.part_queries(spark, sf), V.exemplars(spark, sf), rules.TASKS)
+    return rows.withColumn("score", F.round("score", 6))
+
+
 @query("w6_first_rule", f"SELECT qid, i AS ordinal, ({_R_TASK})[i + 1] AS task, ({_R_NAME})[i + 1] AS name FROM (SELECT qid, {_FIRST} AS i FROM v_query)")
 def w6(spark, sf):
     return routing.first_rule(V.queries(spark, sf))

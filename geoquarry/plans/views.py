@@ -6,6 +6,7 @@ Nothing here is sampled: every view covers every row of the tables it reads.
 from pyspark.sql import functions as F
 
 from geoquarry.functions.text import fixed, literal
+from geoquarry.operators.rules import RULES, TASKS
 from geoquarry.operators.slots import SLOTS
 from geoquarry.plans.templates import PAYLOADS, TEMPLATES
 from geoquarry.sources.blocks import to_pixels
@@ -218,6 +219,27 @@ def queries_of(events):
     )
 
 
+def exemplars(spark, sf):
+    """A large example table, one text for each part: (example, task, text)."""
+    p = F.col("p_partkey")
+    text = F.concat_ws(" ", "p_name", "p_type", "p_brand", F.concat(F.lit("size"), F.col("p_size").cast("string")))
+    tasks = F.array(*[F.lit(t) for t in TASKS])
+    return load(spark, sf, "part").select(p.alias("example"), F.element_at(tasks, (p % len(TASKS) + 1).cast("int")).alias("task"), text.alias("text"))
+
+
+def part_queries(spark, sf):
+    """Queries of the words of two parts: (qid, query)."""
+    part = load(spark, sf, "part")
+    other = part.select((F.col("p_partkey") - 1).alias("k"), F.concat_ws(" ", "p_type", F.concat(F.lit("size"), F.col("p_size").cast("string"))).alias("rest"))
+    rows = part.join(other, F.col("p_partkey") == F.col("k"), "left")
+    return rows.select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", F.lit("show the"), "p_name", "p_name", F.lit("of"), "rest").alias("query"))
+
+
+def rule_table(spark):
+    """The routing rules as a table: (ordinal, task, name, pattern)."""
+    return spark.createDataFrame([(i, *rule) for i, rule in enumerate(RULES)], "ordinal int, task string, name string, pattern string")
+
+
 def request_inputs(spark, sf):
     """Inputs of each request: (run_id, ord, scene); three ids just past the
     catalogue do not exist, so some inputs cannot be read."""
