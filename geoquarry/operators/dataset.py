@@ -136,6 +136,34 @@ def summarize(patches):
     return rows.unionByName(classes.select(F.lit("class").alias("kind"), F.col("label").alias("name"), F.col("count").alias("n")))
 
 
+#: Buckets of a kept distinct-count sketch, as a power of two; the relative error is about 1.04 / sqrt(buckets).
+SKETCH_BITS = 12
+
+
+def sketches(patches, values=("patch_id", "key")):
+    """Row counts and mergeable distinct-count sketches per split and country.
+
+    One row for each (kind, name): ``n`` and, for each of ``values``, a sketch as bytes,
+    to be stored and merged with later ones by :func:`merged`.  Splits and
+    countries come from one pass.
+    """
+    parts = patches.groupingSets([["split"], ["country"]], "split", "country").agg(
+        F.count(F.lit(1)).alias("n"), *[F.hll_sketch_agg(v, SKETCH_BITS).alias(v) for v in values])
+    kind = F.when(F.col("split").isNotNull(), "split").otherwise("country")
+    return parts.select(kind.alias("kind"), F.coalesce("split", "country").alias("name"), "n", *values)
+
+
+def merged(kept, batch, values=("patch_id", "key")):
+    """Kept sketches with those of a new batch folded in; the rows behind the kept ones are not read."""
+    both = kept.select("kind", "name", "n", *values).unionByName(batch.select("kind", "name", "n", *values))
+    return both.groupBy("kind", "name").agg(F.sum("n").alias("n"), *[F.hll_union_agg(v).alias(v) for v in values])
+
+
+def distinct_counts(kept, values=("patch_id", "key")):
+    """Counts of kept sketches: ``n`` and the estimated distinct number of each of ``values``."""
+    return kept.select("kind", "name", "n", *[F.hll_sketch_estimate(v).alias(v) for v in values])
+
+
 def class_coverage(patches):
     """The union of all label lists (U4): a set as small as the vocabulary."""
     return patches.select(F.explode("labels").alias("label")).distinct().agg(

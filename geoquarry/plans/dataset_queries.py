@@ -202,6 +202,23 @@ def a19(spark, sf):
     return dataset.summarize(V.patches(spark, sf))
 
 
+@query("a19_kept_sketches", """
+    SELECT 'split' AS kind, split AS name, count(*) AS n, true AS close FROM v_patch GROUP BY split
+    UNION ALL SELECT 'country', country, count(*), true FROM v_patch GROUP BY country""")
+def a19_sketches(spark, sf):
+    # yesterday's patches are known by their stored sketches only
+    rows = V.patches(spark, sf)
+    old, new = rows.where("key % 3 > 0"), rows.where("key % 3 = 0")
+    path = scratch_path(spark, "sketches")
+    dataset.sketches(old).write.parquet(path)
+    counts = dataset.distinct_counts(dataset.merged(spark.read.parquet(path), dataset.sketches(new)))
+    exact = rows.groupingSets([["split"], ["country"]], "split", "country").agg(F.countDistinct("key").alias("exact"))
+    exact = exact.select(F.when(F.col("split").isNotNull(), "split").otherwise("country").alias("kind"), F.coalesce("split", "country").alias("name"), "exact")
+    # four standard errors
+    near = F.abs(F.col("key") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * 1.04 / 2 ** (dataset.SKETCH_BITS / 2) * F.col("exact"))
+    return counts.join(exact, ["kind", "name"]).select("kind", "name", "n", near.alias("close"))
+
+
 @query("a20_project_bytes", f"""
     SELECT paired, floor(least({K}, n2) / n2 * 63251710377 + least({K1}, n1) / n1 * 54439153171)::BIGINT AS streamed_bytes, paired * 281000 AS stored_bytes
     FROM (SELECT count(DISTINCT s2_folder) AS n2, count(DISTINCT s1_folder) AS n1, count(*) FILTER (in_s2 AND in_s1) AS paired FROM v_mark)""", EXTRA)

@@ -1,4 +1,4 @@
-"""Example and rule tables."""
+"""Example tables, rule tables and kept sketches."""
 
 import math
 import random
@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from geoquarry.operators import lookup, rules
+from geoquarry.operators import dataset, lookup, rules
 from geoquarry.operators.routing import rule_matches
 from geoquarry.plans import views
 
@@ -67,3 +67,17 @@ def test_best_examples_equal_all_scores(spark):
     want = brute_best(queries, examples, "abcd")
     rows = {(r["qid"], r["task"]): r["score"] for r in got.collect()}
     assert rows == pytest.approx(want)
+
+
+def test_merged_sketches_equal_one_pass(spark):
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("p"), F.col("id") % 20_000).alias("patch_id"), (F.col("id") % 7_000).alias("key"),
+        F.element_at(F.array(F.lit("train"), F.lit("test")), (F.col("id") % 2 + 1).cast("int")).alias("split"), F.lit("AT").alias("country"))
+    numbered = rows.coalesce(1).withColumn("id", F.monotonically_increasing_id())
+    halves = [dataset.sketches(numbered.where(c)) for c in ("id < 25000", "id >= 25000")]
+    flat = lambda kept: sorted(map(tuple, dataset.distinct_counts(kept).collect()))
+    once = flat(dataset.sketches(rows))
+    assert flat(dataset.merged(*halves)) == once
+    assert [r[:3] for r in once] == [("country", "AT", 60_000), ("split", "test", 30_000), ("split", "train", 30_000)]
+    for (_, _, _, patches, keys), (want_patches, want_keys) in zip(once, [(20_000, 7_000), (10_000, 3_500), (10_000, 3_500)]):
+        assert abs(patches / want_patches - 1) < 0.07 and abs(keys / want_keys - 1) < 0.07
