@@ -22,6 +22,15 @@ def fold_is(column, modulus, remainder):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(modulus)) == remainder
 
 
+def under_own_names(df, columns, run):
+    """``run`` on ``df`` under column names that no operator uses, with the new names of ``columns``; the result has the given names again.
+
+    So columns that an operator does not read may have any name.
+    """
+    safe = [f"given_{i}" for i in range(len(df.columns))]
+    return run(df.toDF(*safe), *[safe[df.columns.index(c)] for c in columns]).toDF(*df.columns)
+
+
 def same(left, right, names):
     """Join condition: equal or both null in every one of ``names``."""
     condition = F.lit(True)

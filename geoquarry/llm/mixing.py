@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from geoquarry.llm.common import WORD, running_totals, table
+from geoquarry.llm.common import WORD, running_totals, table, under_own_names
 from geoquarry.session import reliable_checkpoint
 
 #: Weights by rank of the source, repeating; share of all words; most repeats of a source.
@@ -79,9 +79,14 @@ def mixed_documents(docs, id_col="doc_id", text_col="text", source_col="source",
     """The mix itself: a row of ``docs`` for each time it is used, in its own columns.
 
     A document used twice comes twice; at a source's cut the text is its first
-    words, joined by one space.  A document of no words costs nothing and is used
-    once.  Equal rows share one plan: the i-th of them takes the i-th amount.
+    words, joined by one space.  A document of no words (also null) costs nothing and is used
+    once.  Equal rows share one plan: the i-th of them takes the i-th amount.  Null
+    sources are a source; an empty table gives no rows; other columns, of any name, are passed on.
     """
+    return under_own_names(docs, [id_col, text_col, source_col], lambda *given: _mixed(*given, **options))
+
+
+def _mixed(docs, id_col, text_col, source_col, **options):
     plan = mix(docs, id_col, text_col, source_col, **options)
     names = docs.columns
     takes = plan.groupBy(

@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from geoquarry.llm.common import table
+from geoquarry.llm.common import table, under_own_names
 from geoquarry.session import reliable_checkpoint
 
 KINDS = ("email", "ip", "card", "phone")
@@ -207,7 +207,15 @@ def extract(docs, id_col="doc_id", text_col="text"):
 
 
 def redact(docs, id_col="doc_id", text_col="text"):
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    Null texts stay null; texts of any length are read whole; equal rows come out equal; an empty table gives no
+    rows; other columns, of any name, are passed on.
+    """
+    return under_own_names(docs, [id_col, text_col], _redacted)
+
+
+def _redacted(docs, id_col, text_col):
     found = _grouped(discovered(reliable_checkpoint(scan(docs, id_col, text_col))))
     names, place = docs.columns, docs.columns.index(text_col)
     keyed = docs.withColumn("_h", F.xxhash64(text_col))

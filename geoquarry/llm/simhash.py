@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from geoquarry.llm.common import table
+from geoquarry.llm.common import table, under_own_names
 from geoquarry.llm.graph import components
 from geoquarry.session import reliable_checkpoint
 
@@ -189,7 +189,11 @@ def representatives(docs, id_col="doc_id", text_col="text", words=WORDS, radius=
 
 
 def one_of_each(docs, found, id_col="doc_id", text_col="text"):
-    """The rows of ``docs`` that stand for the groups ``root`` of ``found`` (``doc_id``, ``body``, ``root``)."""
+    """The rows of ``docs`` that stand for the groups ``root`` of ``found`` (``doc_id``, ``body``, ``root``); its columns may have any name."""
+    return under_own_names(docs, [id_col, text_col], lambda own, i, t: _one_of_each(own, found, i, t))
+
+
+def _one_of_each(docs, found, id_col, text_col):
     alike = found.groupBy("root", "doc_id", "body").agg(F.count(F.lit(1)).alias("n"))
     first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body", "n")).alias("r"))
     chosen = first.select(F.col("r.doc_id").alias("_r_id"), F.col("r.body").alias("_r_body"), F.col("r.n").alias("_r_n"))

@@ -42,3 +42,22 @@ def test_queries_agree_with_their_sql(spark, small):
         assert sorted(got.columns) == order
         a, b = (d[order].convert_dtypes().sort_values(order).reset_index(drop=True).astype(str) for d in (got, want))
         assert a.equals(b), name
+
+
+#: Names that the operators' own plans use.
+CLASHES = ["spans", "_h", "_d", "_b", "_more", "_m_take", "_m_size", "_m_id", "_m_takes", "_r_n", "_r_id", "_r_own", "root", "node", "body", "fp", "sig", "par", "_key", "taken"]
+
+
+def test_stages_pass_on_columns_of_any_name(spark, small):
+    rows = [(1, "a b c d e f g one@example.org", "x"), (1, "a b c d e f g one@example.org", "x"), (2, None, None), (3, "", "y"), (None, "k l m n o p", "y")]
+    names = ["doc_id", "text", "source", *CLASHES]
+    docs = spark.createDataFrame([(*r, *(f"{c} {i}" for c in CLASHES)) for i, r in enumerate(rows)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, small)
+            assert out.columns == names, name
+            kept = out.collect()
+            assert all(r[c].startswith(f"{c} ") for r in kept for c in CLASHES), name
+            if name == "personal_data":
+                assert len(kept) == given.count() and all("@" not in (r["text"] or "") for r in kept)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == 5 and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), small).count() == 0
