@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 #: Answer words that decide a question of each type (fixed values).
 ANSWER_WORDS = {"presence": ["yes", "no"], "comp": ["yes", "no"], "rural_urban": ["rural", "urban"]}
 
+#: Stands for a word boundary; no text of an answer holds it.
+MARK = "\u0001"
+
 #: Base of the brevity penalty (fixed value).
 PENALTY_BASE = 2.718281828
 
@@ -95,8 +98,10 @@ def contains_answer(gold, response):
     word = F.lower(strip(gold))
     said = normalise(F.replace(response, F.lit("_"), F.lit(" ")))
     plain = F.when(word.isin("yes", "no"), word).otherwise(F.replace(word, F.lit("_"), F.lit(" ")))
-    quoted = F.regexp_replace(plain, r"([^\w\s])", r"\\$1")
-    return F.regexp_like(said, F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))
+    # a mark at each word boundary: the phrase stands there with a mark on either side
+    marked = lambda t: F.regexp_replace(t, r"(?U)\b", MARK)
+    phrase = F.concat(F.lit(MARK), F.call_function("btrim", marked(plain), F.lit(MARK)), F.lit(MARK))
+    return F.when(plain == "", F.regexp_like(said, F.lit(r"(?U)\w"))).otherwise(F.contains(marked(said), phrase))
 
 
 def text_confidence(text):

@@ -85,19 +85,38 @@ def lcs_length(a, b):
     return len(a) - bin(row).count("1")
 
 
-def gram_stats(ref, cand, max_n):
-    """N-gram overlap of two token lists: per level the candidate grams that occur
-    in the reference, the same clipped by the reference count, and the candidate
-    grams; then the unigram products ref.cand, ref.ref and cand.cand."""
-    hits, clipped, total, products = [], [], [], (0, 0, 0)
+def gram_stats(pair, side, code, pairs, max_n):
+    """N-gram overlap of many token pairs at once.
+
+    ``code`` are token numbers, in order, with their ``pair`` and ``side`` (0 the
+    reference, 1 the candidate), both ascending.  Per level and pair the candidate grams that
+    occur in the reference, the same clipped by the reference count, and the candidate grams;
+    then the unigram products ref.cand, ref.ref and cand.cand.  A gram of n tokens is the
+    number of its first n - 1 tokens with the last one.
+    """
+    text = pair * 2 + side
+    hits, clipped, total, products = (np.zeros((pairs, k), np.int64) for k in (max_n, max_n, max_n, 3))
+    gram, at = code, np.arange(len(code))
     for n in range(1, max_n + 1):
-        r = Counter(zip(*(ref[i:] for i in range(n))))
-        c = Counter(zip(*(cand[i:] for i in range(n))))
-        shared = [(k, r[g]) for g, k in c.items() if g in r]
-        hits.append(sum(k for k, _ in shared))
-        clipped.append(sum(min(k, m) for k, m in shared))
-        total.append(max(len(cand) - n + 1, 0))
+        if n > 1:
+            # grams that go on by one token of the same text
+            on = at + n - 1 < len(code)
+            on[on] = text[at[on] + n - 1] == text[at[on]]
+            at, gram = at[on], gram[on]
+            gram = np.unique(gram * (code.max(initial=0) + 1) + code[at + n - 1], return_inverse=True)[1]
+        width = gram.max(initial=0) + 1
+        counts = []
+        for s in (0, 1):
+            own = side[at] == s
+            keys, many = np.unique(pair[at][own] * width + gram[own], return_counts=True)
+            counts.append((keys, many))
+        (r, nr), (c, nc) = counts
+        total[:, n - 1] = np.bincount(c // width, nc, pairs)
+        shared, i, j = np.intersect1d(r, c, assume_unique=True, return_indices=True)
+        whose = shared // width
+        hits[:, n - 1] = np.bincount(whose, nc[j], pairs)
+        clipped[:, n - 1] = np.bincount(whose, np.minimum(nr[i], nc[j]), pairs)
         if n == 1:
-            squares = lambda counts: sum(k * k for k in counts.values())
-            products = (sum(k * m for k, m in shared), squares(r), squares(c))
+            for k, (own, values) in enumerate(((whose, nr[i] * nc[j]), (r // width, nr * nr), (c // width, nc * nc))):
+                products[:, k] = np.bincount(own, values, pairs)
     return hits, clipped, total, products

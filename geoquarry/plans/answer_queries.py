@@ -205,14 +205,12 @@ def f6_dropped(spark, sf):
 
 @query("d4_lcs_dropped", "SELECT id, len(r) - len(r) // 5 AS lcs FROM v_side", EXTRA)
 def d4_dropped(spark, sf):
-    words = lambda c: F.array_join(text.tokens(F.col(c)), " ")
-    return dropped(spark, sf).select("id", evaluate.lcs(words("ref"), words("cand")).alias("lcs"))
+    return evaluate.lcs_lengths(dropped(spark, sf))
 
 
 @query("d4_lcs_kernel")
 def d4(spark, sf):
-    words = lambda c: F.array_join(text.tokens(F.col(c)), " ")
-    return V.captions(spark, sf).select("id", evaluate.lcs(words("ref"), words("cand")).alias("lcs"))
+    return evaluate.lcs_lengths(V.captions(spark, sf))
 
 
 @query("f7_cider_proxy", "SELECT id, round(cider, 6) AS cider_proxy FROM v_cider", EXTRA)
