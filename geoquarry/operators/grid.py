@@ -6,6 +6,7 @@ whole chain of steps for its block.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from geoquarry.operators import kernels
@@ -148,70 +149,75 @@ def resample(blocks, geometry, keys=("scene", "band"), mode="bilinear", size=512
     wanted = targets.select("*", cells("y0", "y1").alias("_i")).select("*", cells("x0", "x1").alias("_j"))
     wanted = wanted.withColumns({"by": (F.col("_i") * size).cast("int"), "bx": (F.col("_j") * size).cast("int")}).drop("_i", "_j")
     source = in_step(blocks, size).select(*keys, "by", "bx", "h", "w", F.col("data").cast("array<double>").alias("data"))
-    spec = [*keys, "ty", "tx", "th", "tw", "y0", "y1", "x0", "x1", "src_h", "src_w", "ay", "cy", "ax", "cx"]
+    spec = [*keys, "ty", "tx", "th", "tw", "src_h", "src_w", "ay", "cy", "ax", "cx"]
     types = dict(blocks.dtypes)
     fields = ", ".join(f"{k} {types[k]}" for k in keys)
-
-    def samples(r):
-        """Source positions of the tile's rows and columns, and the lines and columns they need."""
-        places = []
-        for scale, shift, start, length, limit in ((r.ay, r.cy, r.ty, r.th, r.src_h), (r.ax, r.cx, r.tx, r.tw, r.src_w)):
-            at = scale * np.arange(start, start + length) + shift
-            inside = np.clip(np.floor(at) if mode == "nearest" else at, 0, limit - 1)
-            low = np.floor(inside).astype(int)
-            needed = np.unique(low if mode == "nearest" else np.concatenate([low, np.minimum(low + 1, limit - 1)]))
-            places.append((at, needed, np.searchsorted(needed, low) + inside - low))
-        return places
-
-    def within(needed, start, length):
-        return needed[(needed >= start) & (needed < start + length)]
-
-    def cut(batches):
-        for batch in batches:
-            results = []
-            for r in batch.itertuples(index=False):
-                if r.data is None:
-                    results.append(None)
-                    continue
-                (_, rows, _), (_, cols, _) = samples(r)
-                h, w = int(r.h), int(r.w)
-                block = np.asarray(r.data, dtype=float).reshape(h, w)
-                results.append(block[np.ix_(within(rows, r.by, h) - r.by, within(cols, r.bx, w) - r.bx)].ravel().tolist())
-            out = batch.copy()
-            out["data"] = results
-            yield out
-
-    sent = wanted.join(source, [*keys, "by", "bx"], "left").select(*spec, "by", "bx", "h", "w", "data")
-    schema = ", ".join(f"{name} {kind}" for name, kind in sent.dtypes)
-    gathered = sent.mapInPandas(cut, schema).groupBy(*spec).agg(F.collect_list(F.struct("by", "bx", "h", "w", "data")).alias("parts"))
+    sent = wanted.join(source, [*keys, "by", "bx"], "left")
+    # the lines and columns of a block that the tile samples, and the block cut to them
+    sent = sent.withColumns({"ys": _needed("ay", "cy", "ty", "th", "src_h", mode, "by", "h"), "xs": _needed("ax", "cx", "tx", "tw", "src_w", mode, "bx", "w")})
+    at = lambda y: F.transform("xs", lambda x: F.col("data")[((y - F.col("by")) * F.col("w") + x - F.col("bx")).cast("int")])
+    parts = sent.select(*spec, F.struct("ys", "xs", F.flatten(F.transform("ys", at)).alias("data")).alias("part"))
+    gathered = parts.groupBy(*spec).agg(F.collect_list("part").alias("parts"))
+
+    def places(scale, shift, start, length, limit):
+        """Source positions of a tile's lines, whether they lie in the image, and as they are read."""
+        position = scale * np.arange(start, start + length) + shift
+        return (position < -0.5) | (position > limit - 0.5), np.clip(np.floor(position) if mode == "nearest" else position, 0, limit - 1)
+
+    def tile_values(r, pieces):
+        """Pixels of a tile from its (lines, columns, values) pieces."""
+        (off_y, iy), (off_x, ix) = places(r["ay"], r["cy"], r["ty"], r["th"], r["src_h"]), places(r["ax"], r["cx"], r["tx"], r["tw"], r["src_w"])
+        if mode == "nearest":
+            rows, cols = np.unique(iy.astype(int)), np.unique(ix.astype(int))
+        else:
+            low_y, low_x = np.floor(iy).astype(int), np.floor(ix).astype(int)
+            rows = np.unique(np.concatenate([low_y, np.minimum(low_y + 1, r["src_h"] - 1)]))
+            cols = np.unique(np.concatenate([low_x, np.minimum(low_x + 1, r["src_w"] - 1)]))
+        window = np.full((len(rows), len(cols)), np.nan)
+        for y, x, values in pieces:
+            if len(y) and len(x):
+                window[np.ix_(np.searchsorted(rows, y), np.searchsorted(cols, x))] = values.reshape(len(y), len(x))
+        # positions among the lines that were sent
+        py, px = (np.searchsorted(known, np.floor(i).astype(int)) + i - np.floor(i) for known, i in ((rows, iy), (cols, ix)))
+        out = window[np.ix_(py.astype(int), px.astype(int))] if mode == "nearest" else kernels.sample(window, py, px)
+        if outside == "missing":
+            out[off_y, :] = np.nan
+            out[:, off_x] = np.nan
+        return out.ravel()
 
     def run(batches):
         for batch in batches:
-            results = []
-            for r in batch.itertuples(index=False):
-                (ys, rows, iy), (xs, cols, ix) = samples(r)
-                window = np.full((len(rows), len(cols)), np.nan)
-                for part in r.parts:
-                    if part is None or part["data"] is None:
-                        continue
-                    y, x = within(rows, part["by"], part["h"]), within(cols, part["bx"], part["w"])
-                    window[np.ix_(np.searchsorted(rows, y), np.searchsorted(cols, x))] = np.asarray(part["data"], dtype=float).reshape(len(y), len(x))
-                if mode == "nearest":
-                    values = window[np.ix_(iy.astype(int), ix.astype(int))]
-                else:
-                    values = kernels.sample(window, iy, ix)
-                if outside == "missing":
-                    off_y = (ys < -0.5) | (ys > r.src_h - 0.5)
-                    off_x = (xs < -0.5) | (xs > r.src_w - 0.5)
-                    values[off_y, :] = np.nan
-                    values[:, off_x] = np.nan
-                results.append(values.ravel().tolist())
-            out = batch[[*keys, "ty", "tx", "th", "tw"]].copy()
-            out.columns = [*keys, "by", "bx", "h", "w"]
-            out["data"] = results
-            yield out
-
-    return gathered.mapInPandas(run, f"{fields}, by int, bx int, h int, w int, data array<double>")
+            numbers = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in spec[len(keys) :]}
+            column = batch.column("parts")
+            ends, held = column.offsets.to_numpy(), column.values
+            lists = []
+            for name in ("ys", "xs", "data"):
+                inner = held.field(name)
+                lists.append((inner.offsets.to_numpy(), inner.values.to_numpy(zero_copy_only=False)))
+            tiles = []
+            for i in range(batch.num_rows):
+                pieces = ([values[cut[p] : cut[p + 1]] for cut, values in lists] for p in range(ends[i], ends[i + 1]))
+                tiles.append(tile_values({c: v[i] for c, v in numbers.items()}, pieces))
+            cuts = pa.array(np.cumsum([0, *map(len, tiles)]), pa.int32())
+            data = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([*tiles, np.empty(0)])))
+            shape = [pa.array(numbers[c], pa.int32()) for c in ("ty", "tx", "th", "tw")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *shape, data], names=[*keys, "by", "bx", "h", "w", "data"])
+
+    return gathered.mapInArrow(run, f"{fields}, by int, bx int, h int, w int, data array<double>")
+
+
+def _needed(scale, shift, start, length, limit, mode, first, size):
+    """Lines of a block (from ``first``, ``size`` of them) that a tile samples, ascending."""
+    last = (F.col(limit) - 1).cast("double")
+    inside = lambda v: F.greatest(F.lit(0.0), F.least(last, v))
+    position = lambda k: F.col(scale) * (F.col(start) + k) + F.col(shift)
+    if mode == "nearest":
+        lines = F.transform(F.sequence(F.lit(0), F.col(length) - 1), lambda k: inside(F.floor(position(k)).cast("double")).cast("int"))
+    else:
+        low = F.transform(F.sequence(F.lit(0), F.col(length) - 1), lambda k: F.floor(inside(position(k))).cast("int"))
+        lines = F.concat(low, F.transform(low, lambda v: F.least(v + 1, F.col(limit) - 1).cast("int")))
+    here = F.filter(lines, lambda v: (v >= F.col(first)) & (v < F.col(first) + F.col(size)))
+    return F.array_sort(F.array_distinct(here))
 
 
 def raster_size(blocks, keys=("scene", "band")):
