@@ -97,20 +97,29 @@ def expected_files(targets):
     )
 
 
+#: All bands of both sides; a folder's bands are a number with a bit for each.
+BANDS = S2_BANDS + S1_BANDS
+
+
+def _bits(bands):
+    return sum(1 << BANDS.index(b) for b in bands)
+
+
 def _band_sets(listing):
-    """Bands found in each folder of files called like the folder: (dir, bands)."""
-    name = F.substring_index("dir", "/", -1)
+    """Bands found in each folder of files called like the folder: (dir, bands), one bit a band."""
     file = F.substring_index("path", "/", -1)
-    rows = listing.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"))
-    found = rows.where(file.startswith(F.concat(name, F.lit("_"))) & file.endswith(".tif"))
-    band = F.expr("substring(substring_index(path, '/', -1), length(substring_index(dir, '/', -1)) + 2)")
-    return found.select("dir", F.regexp_replace(band, r"\.tif$", "").alias("band")).groupBy("dir").agg(F.collect_set("band").alias("bands"))
+    rows = listing.select(file.alias("file"), F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)").alias("dir"))
+    name = F.substring_index("dir", "/", -1)
+    found = rows.where(F.col("file").startswith(F.concat(name, F.lit("_"))) & F.col("file").endswith(".tif"))
+    band = F.expr("substring(file, length(substring_index(dir, '/', -1)) + 2, length(file) - length(substring_index(dir, '/', -1)) - 5)")
+    bit = F.expr("CASE band " + " ".join(f"WHEN '{b}' THEN {1 << i}" for i, b in enumerate(BANDS)) + " ELSE 0 END")
+    return found.select("dir", band.alias("band")).select("dir", bit.alias("bit")).groupBy("dir").agg(F.bit_or("bit").alias("bands"))
 
 
 def verify_pairs(targets, listing):
     """Missing files per side of each patch; kept when nothing is missing.
 
-    The listing becomes one band set per folder; a patch meets its two sets, and
+    The listing becomes a number per folder; a patch meets its two numbers, and
     no path of a file is made or shuffled for it.
     """
     sets = _band_sets(listing)
@@ -121,7 +130,7 @@ def verify_pairs(targets, listing):
     )
     for side in "21":
         rows = rows.join(sets.select(F.col("dir").alias(f"_d{side}"), F.col("bands").alias(f"_b{side}")), f"_d{side}", "left")
-    gone = lambda bands, have: F.size(F.array_except(F.array(*[F.lit(b) for b in bands]), F.coalesce(have, F.array().cast("array<string>")))).cast("long")
+    gone = lambda bands, have: F.bit_count(F.lit(_bits(bands)).bitwiseAND(F.bitwise_not(F.coalesce(have, F.lit(0))))).cast("long")
     return rows.select(
         "key", "patch_id", "s1_name", gone(S2_BANDS, F.col("_b2")).alias("missing_s2_bands"), gone(S1_BANDS, F.col("_b1")).alias("missing_s1_bands")
     ).withColumn("kept", (F.col("missing_s2_bands") + F.col("missing_s1_bands")) == 0)
