@@ -64,14 +64,13 @@ def windows_of(cost, before, start, system, budget=BUDGET, history=HISTORY):
 
 
 def prepared(conversations, id_col="conv_id", turn_col="turn", role_col="role", text_col="text", tokens=None):
-    """Turns with their cost in tokens and the sum of the costs before them in their conversation."""
+    """Turns with their cost in tokens, and ``tie``, which orders rows of one turn."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in (role_col, text_col))
     count = tokens if tokens is not None else F.regexp_count(text, F.lit(WORD))
-    turns = conversations.select(
+    return conversations.select(
         F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"),
         F.md5(F.concat(role, F.lit("\n"), text)).alias("tie"), (F.coalesce(count, F.lit(0)) + MARKS).cast("long").alias("cost"),
     )
-    return running_totals(turns, ["conv_id"], ["turn", "tie"], ["cost"])
 
 
 def format_chats(
@@ -101,17 +100,24 @@ def format_chats(
         raise ValueError("the history must fit into a segment")
     turns = prepared(conversations, id_col, turn_col, role_col, text_col, tokens)
     names = ["conv_id", "seg", "before", "kind", "cost", "role", "text"]
+    order = ["turn", "tie"]
+    # costs alone show which conversations are longer than a segment; only their turns are summed up in many tasks
+    long = turns.groupBy("conv_id").agg(F.sum("cost").alias("whole")).where(F.col("whole") > segment).select(F.col("conv_id").alias("c"))
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    zero = F.lit(0).cast("long")
+    short = turns.join(long, same, "left_anti").select("conv_id", zero.alias("seg"), zero.alias("before"), F.lit(2).alias("kind"), "cost", "role", "text", *order)
+    placed = running_totals(turns.join(long, same, "left_semi"), ["conv_id"], order, ["cost"])
     seg = F.floor(F.col("before_cost") / segment)
-    own = turns.select("conv_id", seg.alias("seg"), F.col("before_cost").alias("before"), F.lit(2).alias("kind"), "cost", "role", "text")
+    own = placed.select("conv_id", seg.alias("seg"), F.col("before_cost").alias("before"), F.lit(2).alias("kind"), "cost", "role", "text", *order)
     # turns that the next segment may repeat, and the system turn for every later segment
     late = own.where((F.col("cost") <= history) & (F.col("before") >= (F.col("seg") + 1) * segment - history)).select(
-        "conv_id", (F.col("seg") + 1).alias("seg"), "before", F.lit(1).alias("kind"), "cost", "role", "text"
+        "conv_id", (F.col("seg") + 1).alias("seg"), "before", F.lit(1).alias("kind"), "cost", "role", "text", *order
     )
-    first = own.where((F.col("before") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("c"), "cost", "role", "text")
+    first = own.where((F.col("before") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("c"), "cost", "role", "text", *order)
     later = own.where("seg > 0").select("conv_id", "seg").distinct()
-    system = later.join(first, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "seg", F.lit(0).cast("long").alias("before"), F.lit(0).alias("kind"), "cost", "role", "text")
+    system = later.join(first, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "seg", zero.alias("before"), F.lit(0).alias("kind"), "cost", "role", "text", *order)
     kind = conversations.schema[id_col].dataType.simpleString()
-    parts = own.select(*names).union(late.select(*names)).union(system.select(*names))
+    parts = short.union(own).union(late).union(system)
 
     def run(batches):
         key, held = None, []
@@ -126,7 +132,7 @@ def format_chats(
         if held:
             yield _batch(_segment(key, held, budget, history), batch.schema.field(0).type)
 
-    ordered = parts.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "kind", "before")
+    ordered = parts.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "kind", "before", *order).select(*names)
     return ordered.mapInArrow(
         run, f"conv_id {kind}, place long, formatted string, loss array<struct<start:int,end:int>>, repeated int, turns int, tokens long"
     )
@@ -142,6 +148,8 @@ def _segment(key, rows, budget, history):
     rows = [r for r in rows if r[1] == 2 or not (system and r[0] == 0)]
     cost, before = (np.array([r[i] for r in rows], np.int64) for i in (2, 0))
     start = next(i for i, r in enumerate(rows) if r[1] == 2)
+    # new turns follow one another from where the segment begins
+    before[start:] = before[start] + np.cumsum(cost[start:]) - cost[start:]
     texts = [turn_text(r[3], r[4]) for r in rows]
     out = []
     for back, at, end in windows_of(cost, before, start, system[2] if system else 0, budget, history):
