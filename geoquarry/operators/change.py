@@ -187,15 +187,12 @@ def mask_scores(predicted, truth):
     both = a.join(b, ["scene", "by", "bx"], "full_outer")
     bad = F.col("p").isNull() | F.col("t").isNull() | (F.size("p") != F.size("t"))
     both = both.withColumn("bad", bad)
-    pairs = F.when(F.col("bad"), F.array(F.struct(F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("t")))).otherwise(
-        F.arrays_zip(F.col("p").cast("array<int>").alias("p"), F.col("t").cast("array<int>").alias("t"))
-    )
-    px = both.select("scene", "bad", F.explode(pairs).alias("x"))
-    p, t = F.col("x.p") > 0, F.col("x.t") > 0
-    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    sums = px.groupBy("scene").agg(
-        F.max("bad").alias("bad"), F.count("x.p").alias("n"), count(p & t).alias("tp"),
-        count(p & ~t).alias("fp"), count(~p & t).alias("fn"),
+    # 0 to 3: neither, missed, said wrongly, hit; counted inside the block
+    kind = F.zip_with(F.col("p").cast("array<int>"), F.col("t").cast("array<int>"), lambda p, t: F.when(p > 0, 2).otherwise(0) + F.when(t > 0, 1).otherwise(0))
+    blocks = both.select("scene", "bad", F.when(~F.col("bad"), kind).alias("kind"))
+    count = lambda k: F.coalesce(F.sum(F.size(F.filter("kind", lambda v: v == k))), F.lit(0)).cast("long")
+    sums = blocks.groupBy("scene").agg(
+        F.max("bad").alias("bad"), F.coalesce(F.sum(F.size("kind")), F.lit(0)).alias("n"), count(3).alias("tp"), count(2).alias("fp"), count(1).alias("fn"),
     )
     rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")

@@ -17,6 +17,8 @@ from geoquarry.sources.blocks import to_pixels
 # Fixed values of the legacy mask quality.
 LEGACY_THRESHOLD, SIGNAL_AREA = 45, 100
 SNR_NOISE, SNR_RATIO = 1e-6, 1e-7
+#: Pixels of windows worked on at once.
+_PIXELS = 1 << 22
 TRUST_REGISTRATION, TRUST_COHERENCE, TRUST_LIMIT = 0.4, 0.6, 0.45
 
 
@@ -93,24 +95,55 @@ def morph(blocks, steps=("min", "max", "max", "min"), keys=("scene",), size=512,
 
     def run(batches):
         for batch in batches:
-            results = []
-            for row in batch.itertuples(index=False):
-                window, known = kernels.assemble(
-                    row.parts, row.by - halo, row.bx - halo, row.h + 2 * halo, row.w + 2 * halo
-                )
-                for step in steps:
-                    pick = np.minimum if step == "min" else np.maximum
-                    window = kernels.neighbourhood(window, known, pick, radius)
-                core = window[halo : halo + row.h, halo : halo + row.w]
-                results.append(core.astype(int).ravel().tolist())
-            out = batch.drop(columns=["parts"])
-            out["data"] = results
-            yield out
+            by, bx, h, w = (batch.column(c).to_numpy() for c in ("by", "bx", "h", "w"))
+            pieces = _Pieces(batch.column("parts"), by - halo, bx - halo)
+            cuts = np.concatenate([[0], np.cumsum(h.astype(np.int64) * w)])
+            out = np.empty(cuts[-1], np.int32)
+            for height, width in {*zip(h.tolist(), w.tolist())}:
+                alike = np.flatnonzero((h == height) & (w == width))
+                most = max(1, _PIXELS // ((height + 2 * halo) * (width + 2 * halo)))
+                for at in range(0, len(alike), most):
+                    some = alike[at : at + most]
+                    window, known = pieces.windows(some, height + 2 * halo, width + 2 * halo)
+                    for step in steps:
+                        window = kernels.neighbourhood(window, known, np.minimum if step == "min" else np.maximum, radius)
+                    core = window[:, halo : halo + height, halo : halo + width].astype(np.int32)
+                    out[cuts[some][:, None] + np.arange(height * width)] = core.reshape(len(some), -1)
+            data = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 4], data], names=[*keys, "by", "bx", "h", "w", "data"])
 
     fields = ", ".join(f"{k} {dict(blocks.dtypes)[k]}" for k in keys)
-    return ready.select(*keys, "by", "bx", "h", "w", "parts").mapInPandas(
-        run, f"{fields}, by int, bx int, h int, w int, data array<int>"
-    )
+    whole = [F.col(c).cast("int").alias(c) for c in ("by", "bx", "h", "w")]
+    return ready.select(*keys, *whole, "parts").mapInArrow(run, f"{fields}, by int, bx int, h int, w int, data array<int>")
+
+
+class _Pieces:
+    """The pixels of the pieces of many blocks, with their places in windows that begin at given corners."""
+
+    def __init__(self, parts, y0, x0):
+        held = parts.values
+        data = held.field("data")
+        starts = data.offsets.to_numpy().astype(np.int64)
+        size = np.diff(starts)
+        numbers = lambda name: held.field(name).fill_null(0).to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+        piece = np.repeat(np.arange(len(size)), size)
+        line, column = np.divmod(np.arange(len(piece)) - np.repeat(starts[:-1] - starts[0], size), np.maximum(numbers("w"), 1)[piece])
+        self.values = data.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]]
+        self.owner = owner[piece]
+        self.y = numbers("by")[piece] + line - y0[self.owner]
+        self.x = numbers("bx")[piece] + column - x0[self.owner]
+
+    def windows(self, owners, height, width):
+        """Windows of one size, and which of their pixels are known."""
+        place = np.full(int(self.owner.max(initial=0)) + 1, -1)
+        place[owners[owners < len(place)]] = np.flatnonzero(owners < len(place))
+        at = place[self.owner]
+        on = (at >= 0) & (self.y >= 0) & (self.y < height) & (self.x >= 0) & (self.x < width)
+        window, known = np.full((len(owners), height, width), np.nan), np.zeros((len(owners), height, width), bool)
+        spot = at[on], self.y[on], self.x[on]
+        window[spot], known[spot] = self.values[on], True
+        return window, known
 
 
 def _targets(geometry, keys, tile):

@@ -5,34 +5,17 @@ from collections import Counter
 import numpy as np
 
 
-def assemble(parts, y0, x0, height, width):
-    """Lay block pieces into a window whose top-left pixel is (y0, x0)."""
-    window = np.full((height, width), np.nan)
-    known = np.zeros((height, width), dtype=bool)
-    for part in parts:
-        if part is None or part["data"] is None:
-            continue
-        h, w = int(part["h"]), int(part["w"])
-        tile = np.asarray(part["data"], dtype=float).reshape(h, w)
-        top, left = int(part["by"]) - y0, int(part["bx"]) - x0
-        r0, r1 = max(top, 0), min(top + h, height)
-        c0, c1 = max(left, 0), min(left + w, width)
-        if r0 < r1 and c0 < c1:
-            window[r0:r1, c0:c1] = tile[r0 - top : r1 - top, c0 - left : c1 - left]
-            known[r0:r1, c0:c1] = True
-    return window, known
-
-
 def neighbourhood(values, known, pick, radius=1):
-    """Least (``pick=np.minimum``) or greatest value around each pixel; pixels
+    """Least (``pick=np.minimum``) or greatest value around each pixel of one or many images; pixels
     outside the image do not take part."""
     neutral = np.inf if pick is np.minimum else -np.inf
-    padded = np.pad(np.where(known, values, neutral), radius, constant_values=neutral)
-    out = padded[radius:-radius, radius:-radius].copy()
-    height, width = values.shape
+    edges = [(0, 0)] * (values.ndim - 2) + [(radius, radius)] * 2
+    padded = np.pad(np.where(known, values, neutral), edges, constant_values=neutral)
+    out = padded[..., radius:-radius, radius:-radius].copy()
+    height, width = values.shape[-2:]
     for dy in range(2 * radius + 1):
         for dx in range(2 * radius + 1):
-            out = pick(out, padded[dy : dy + height, dx : dx + width])
+            out = pick(out, padded[..., dy : dy + height, dx : dx + width])
     return np.where(known, out, np.nan)
 
 
