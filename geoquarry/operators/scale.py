@@ -12,8 +12,6 @@ from geoquarry.session import reliable_checkpoint
 
 #: A group of up to this many values may be held by one exact percentile buffer.
 PERCENTILE_ROWS = 2_000_000
-#: Pieces of the value range of one group in distributed running sums.
-RANGES = 64
 
 
 def join_facts(left, right, keys, how="inner"):
@@ -25,45 +23,28 @@ def join_facts(left, right, keys, how="inner"):
     return left.join(right, list(keys), how)
 
 
-def running_sums(df, keys, order, sums, descending=False, ranges=RANGES):
+def running_sums(df, keys, order, sums, descending=False):
     """Running totals of ``sums`` along ``order`` within ``keys``, ties merged.
 
-    Rows that share ``order`` become one row.  Each group is cut at approximate
-    quantiles of ``order``; totals per cut are added up first, and only the rows
-    of one cut meet in a task, so the result is exact for any group size.
+    Rows that share ``order`` become one row.  These are range-partitioned by keys
+    and order, so a group spans as many partitions as its size asks for; each
+    partition adds up by itself and is shifted by the totals of those before.
     Output: keys, order, the sums, and ``run_<sum>``.
 
-    The merged rows are read three times, so they are checkpointed rather than
-    computed again from ``df`` each time.
+    The placement is checkpointed, because partition numbers must not be drawn twice.
     """
-    merged = reliable_checkpoint(df.groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums]))
-    cuts = merged.groupBy(*keys).agg(
-        F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10000).alias("_cuts")
-    )
-    placed = join_facts(merged, cuts, keys).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    ).drop("_cuts")
     direction = F.desc if descending else F.asc
-    before = Window.partitionBy(*keys).orderBy(direction("_range")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        placed.groupBy(*keys, "_range")
-        .agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-        .select(
-            *keys,
-            "_range",
-            *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
-        )
-    )
-    within = Window.partitionBy(*keys, "_range").orderBy(direction(order)).rowsBetween(
-        Window.unboundedPreceding, 0
+    merged = df.groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums])
+    placed = reliable_checkpoint(merged.repartitionByRange(*keys, direction(order)).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition that a group reaches
+    offsets = placed.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums]).select(
+        *keys, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]
     )
-    return placed.join(offsets, [*keys, "_range"]).select(
-        *keys,
-        order,
-        *sums,
-        *[(F.sum(c).over(within) + F.col(f"_o_{c}")).alias(f"run_{c}") for c in sums],
+    within = Window.partitionBy(*keys, "_part").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select("*", *[F.sum(c).over(within).alias(f"_l_{c}") for c in sums])
+    return local.join(offsets, [*keys, "_part"]).select(
+        *keys, order, *sums, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"run_{c}") for c in sums]
     )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from geoquarry.operators import change, embed, grid, results, sar, trace
 from geoquarry.plans import views as V
-from geoquarry.plans.change_queries import EXTRA as CHANGE_VIEWS, keypoints
+from geoquarry.plans.change_queries import COMPONENTS, EXTRA as CHANGE_VIEWS, keypoints
 from geoquarry.plans.embed_queries import EXTRA as EMBED_VIEWS, scores, top
 from geoquarry.plans.pixel_queries import _SAR, morph_sql
 from geoquarry.plans.registry import query
@@ -100,6 +100,31 @@ def a6_opened(spark, sf):
     return to_pixels(grid.opened_mask(simple_mask(spark, sf), size=V.BLOCK), keep=("scene",))
 
 
+def _quality_sql(mask, parts):
+    """Quality of each scene from its mask and the areas of its components."""
+    return f"""
+        SELECT scene, round(intensity, 6) AS intensity, reg_conf, coalesce(snr, 0) AS snr_db, coalesce(coh, 0) AS coherence,
+               round(reg_conf * 0.4 + coalesce(coh, 0) / 100 * 0.6, 6) AS trust,
+               CASE WHEN reg_conf * 0.4 + coalesce(coh, 0) / 100 * 0.6 > 0.45 THEN 'VERIFIED GEOGRAPHIC CHANGE' ELSE 'SIGNAL INCONCLUSIVE' END AS verdict
+        FROM (SELECT scene, sum((v > 0)::INT) / count(*) * 100 AS intensity, ((scene % 10) / 8.0)::DOUBLE AS reg_conf FROM {mask} GROUP BY scene)
+        LEFT JOIN (SELECT scene, round(10 * log10(signal / (noise + 1e-6) + 1e-7), 2) AS snr, round(signal / (signal + noise + 1e-6) * 100, 2) AS coh
+                   FROM (SELECT scene, coalesce(sum(area) FILTER (area >= 100), 0) AS signal, coalesce(sum(area) FILTER (area < 100), 0) AS noise FROM {parts} GROUP BY scene)) USING (scene)"""
+
+
+@query("a6_opened_quality", _quality_sql("v_mo4", "v_mo_comp"), {
+    "v_mo0": """
+        SELECT scene, y, x, CASE WHEN v > 0.25 OR (scene % 4 = 0 AND y BETWEEN 2 AND 13 AND x BETWEEN 2 AND 13) OR (scene % 4 = 1 AND y BETWEEN 1 AND 5 AND x BETWEEN 1 AND 5)
+                 OR (scene % 4 = 2 AND (y BETWEEN 0 AND 6 OR (y BETWEEN 9 AND 13 AND x BETWEEN 2 AND 6))) THEN 255 ELSE 0 END AS v
+        FROM (SELECT (vec_id // 4)::INT AS scene, (vec_id % 4 // 2 * 8 + (p - 1) // 8)::INT AS y, (vec_id % 2 * 8 + (p - 1) % 8)::INT AS x, e::DOUBLE AS v
+              FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(1, 65)) AS p FROM embeddings))""",
+    **{f"v_mo{i + 1}": f"SELECT * FROM {morph_sql(f'v_mo{i}', [s])}" for i, s in enumerate(("min", "min", "max", "max"))},
+    "v_mo_comp": COMPONENTS.replace("v_l0", "v_mo4").replace("y * 8 + x", "y * 16 + x")})
+def a6_opened_quality(spark, sf):
+    reg = V.scenes(spark, sf).select("scene", (F.col("scene") % 10 / 8.0).alias("reg_conf"))
+    rows = grid.mask_quality(grid.opened_mask(V.mosaic_masks(spark, sf), size=V.SIDE), reg)
+    return rows.withColumns({"intensity": F.round("intensity", 6), "trust": F.round("trust", 6)})
+
+
 #: Band mappings as JSON, right and with one thing wrong: (mapping, violations).
 MAPPINGS = [
     ('{"slots_filled": ["B02"], "slots_absent": ["B03", "VV"], "fill_strategy": "mean", "source_modality": "msi"}', 0),

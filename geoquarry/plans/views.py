@@ -103,6 +103,28 @@ def pair_blocks(spark, sf):
     return rows.select("*", classes("g0").alias("l0"), classes("g1").alias("l1"))
 
 
+def mosaic_masks(spark, sf):
+    """Change masks of 16 x 16 scenes, four vectors each as blocks of 8 x 8.
+
+    By scene number: one large patch; one small; a large and a small one; none.
+    Single pixels are set besides.
+    """
+    k = F.col("vec_id") % 4
+    rows = load(spark, sf, "embeddings").select(
+        _idiv(F.col("vec_id"), 4).alias("scene"), (F.floor(k / 2) * SIDE).cast("int").alias("by"), ((k % 2) * SIDE).cast("int").alias("bx"),
+        F.col("embedding").cast("array<double>").alias("e"),
+    )
+    kind = F.col("scene") % 4
+
+    def marked(v, i):
+        y, x = F.col("by") + F.floor(i / SIDE), F.col("bx") + i % SIDE
+        inside = lambda a, b, c, d: y.between(a, b) & x.between(c, d)
+        patch = ((kind == 0) & inside(2, 13, 2, 13)) | ((kind == 1) & inside(1, 5, 1, 5)) | ((kind == 2) & (inside(0, 6, 0, 15) | inside(9, 13, 2, 6)))
+        return F.when(patch | (v > 0.25), 255).otherwise(0)
+
+    return rows.select("scene", "by", "bx", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), F.transform("e", marked).alias("data"))
+
+
 def slot_blocks(spark, sf):
     """One 8x8 block per (scene, slot) of the 14-slot stack."""
     names = F.array(*[F.lit(s) for s in SLOTS])

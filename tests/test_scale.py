@@ -37,7 +37,7 @@ def test_join_facts_keeps_every_row(spark):
 def test_running_sums_match_sorted_totals(spark, descending):
     rng = np.random.default_rng(3)
     data = [(int(k), float(v), 1) for k, v in zip(rng.integers(0, 2, 3000), rng.integers(0, 400, 3000))]
-    rows = scale.running_sums(spark.createDataFrame(data, "k int, v double, c int"), ["k"], "v", ["c"], descending, ranges=7).collect()
+    rows = scale.running_sums(spark.createDataFrame(data, "k int, v double, c int"), ["k"], "v", ["c"], descending).collect()
     for r in rows:
         ahead = (lambda v: v >= r["v"]) if descending else (lambda v: v <= r["v"])
         assert r["run_c"] == sum(1 for k, v, _ in data if k == r["k"] and ahead(v))
