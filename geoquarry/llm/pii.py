@@ -15,6 +15,9 @@ ROUNDS, SUPPORT, SEEDS, PATTERN_SCORE, INSTANCE_SCORE = 3, 5, 3, 0.5, 0.5
 #: Characters looked at on either side of an instance for its context words.
 LEFT, RIGHT = 80, 40
 
+#: Digits of an instance whose form is a pattern.
+FORM_DIGITS = 9
+
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # whole digit runs: a match that fails from the start of a run fails from anywhere in it
@@ -24,6 +27,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _CANDIDATE = re.compile(r"[0-9@]\S*")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _EDGE = " \t\r\n\"'`.,;:!?()[]{}<>*#$%&|="
 
 
@@ -88,11 +92,22 @@ def _context(text, start, end):
     return [_DIGIT.sub("0", p) for p in out]
 
 
+def _form(instance):
+    """The lexical pattern of an instance itself: digits and runs of letters are alike; None for short numbers and plain words."""
+    if "@" not in instance and len(_NOT_DIGIT.sub("", instance)) < FORM_DIGITS:
+        return []
+    return ["=" + _LETTERS.sub("a", _DIGIT.sub("0", instance.lower()))]
+
+
 def mentions(text, base):
-    """(start, end, kind or '', instance, patterns) of the base spans and of other chunks with a digit or an @."""
+    """(start, end, kind or '', instance, patterns) of the base spans and of other chunks with a digit or an @.
+
+    Patterns are the contexts of an instance and its own form, so an identifier
+    that a base pattern passes over, such as one of two that stand side by side, can be known by its form.
+    """
     out, taken = [], sorted((a, b) for _, a, b in base)
     for kind, a, b in base:
-        out.append((a, b, kind, text[a:b].lower(), _context(text, a, b)))
+        out.append((a, b, kind, text[a:b].lower(), _context(text, a, b) + _form(text[a:b])))
     at = 0
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
@@ -107,7 +122,7 @@ def mentions(text, base):
         # overlaps by an earlier, longer span are looked for a little way back
         if end - start < 4 or any(a < end and b > start for a, b in taken[max(0, at - 4) : at + 4]):
             continue
-        patterns = _context(text, start, end)
+        patterns = _context(text, start, end) + _form(text[start:end])
         if patterns:
             out.append((start, end, "", text[start:end].lower(), patterns))
     return out

@@ -109,3 +109,26 @@ def test_bounds_are_above_the_product():
         assert (bound >= exact - 1e-6).all()
         last = bound
     assert (last - exact).mean() < (topk.segments(a, 1) @ topk.segments(b, 1).T - exact).mean()
+
+
+def test_forms_discover_identifiers_that_the_base_passes_over(spark):
+    rng = random.Random(11)
+
+    def card(valid):
+        while True:
+            number = "".join(rng.choice("0123456789") for _ in range(16))
+            if pii.luhn([int(c) for c in number]) == valid:
+                return number
+
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    text = lambda *inner: " ".join([*rng.sample(words, 6), *inner, *rng.sample(words, 6)])
+    rows = [(i, text(card(True))) for i in range(30)]
+    # two side by side are one run of 32 digits, a wrong check digit is no card to the base
+    rows += [(100, text(card(True), card(True))), (101, text(card(False))), (102, text("2024", "12345678")), (103, text("1234567890123"))]
+    found = {r["doc_id"]: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    spans = {i: [s.split(":") for s in (r["spans"] or "").split(",") if s.startswith("like_")] for i, r in found.items()}
+    assert [texts[100][int(a) : int(b)] for _, a, b in spans[100]] == texts[100].split()[6:8]
+    assert [texts[101][int(a) : int(b)] for _, a, b in spans[101]] == texts[101].split()[6:7]
+    assert not spans[102] and not spans[103] and found[100]["n_card"] == 0
+    assert all(not spans[i] and found[i]["n_card"] == 1 for i in range(30))
