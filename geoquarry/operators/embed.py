@@ -139,12 +139,12 @@ def pair_scores(images, texts, tile=VECTOR_TILE):
     was ``compared`` with.  An image without a text has no own score and no rank,
     which counts as a miss.
 
-    Texts lie in cells, rings of angles around a few pivots, and cells are cut
-    into tiles.  An image is sent only to the tiles of cells that may
-    hold a score of at least its own; what is left runs as matrix products of
+    Texts lie in cells, rings of angles around a few pivots; large cells are cut
+    into tiles, small ones share one.  An image is sent only to the tiles with
+    cells that may hold a score of at least its own; what is left runs as matrix products of
     tiles of bounded size, and only per-image summaries are shuffled.
     """
-    pivots = _pivots(texts)
+    spark, pivots = images.sparkSession, _pivots(texts)
     kinds = dict(images.dtypes)
     kind, arrays = kinds["id"], "array<double>"
 
@@ -166,19 +166,29 @@ def pair_scores(images, texts, tile=VECTOR_TILE):
             yield pd.DataFrame({"id": frame["id"], "v": frame["v"], "own": own, "cell": _cells(unit, pivots), "reach": [codes[r] for r in reach]})
 
     def tiled(df):
+        """Groups of cells and their blocks of at most about ``tile`` rows; small cells share a group."""
         # at most PIVOTS * RINGS + 1 cells
-        blocks = F.broadcast(df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks")))
-        return blocks, df.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+        sizes = df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        small = F.col("n") < tile
+        before = F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+        shared = -2 - F.floor(F.coalesce(before, F.lit(0)) / tile).cast("int")
+        grouped = sizes.select("cell", F.when(small, shared).otherwise(F.col("cell")).alias("part"), F.when(small, 1).otherwise(F.ceil(F.col("n") / tile)).cast("int").alias("blocks"))
+        placed = df.join(F.broadcast(grouped), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        return grouped, placed.drop("blocks", "cell")
 
     double = lambda c: F.col(c).cast(arrays).alias(c)
-    t_blocks, held = tiled(texts.select("id", double("v")).mapInPandas(place_texts, f"id {kind}, v {arrays}, cell int"))
+    t_groups, held = tiled(texts.select("id", double("v")).mapInPandas(place_texts, f"id {kind}, v {arrays}, cell int"))
     own = images.select("id", double("v")).join(texts.select("id", F.col("v").cast(arrays).alias("t")), "id", "left")
     _, asked = tiled(own.mapInPandas(place_images, f"id {kind}, v {arrays}, own double, cell int, reach array<int>"))
-    reached = t_blocks.select(F.col("cell").alias("t_cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t_block"))
-    keys = ["cell", "block", "t_cell", "t_block"]
-    asking = asked.withColumn("t_cell", F.explode("reach")).drop("reach").join(F.broadcast(reached), "t_cell")
+    # the group of each cell at its place in one array, null where no text lies
+    every = spark.range(-1, PIVOTS * RINGS).select(F.col("id").cast("int").alias("cell")).join(t_groups, "cell", "left")
+    places = every.agg(F.sort_array(F.collect_list(F.struct("cell", "part"))).alias("places"))
+    reached = F.array_distinct(F.filter(F.transform("reach", lambda c: F.element_at("places", c + 2)["part"]), lambda g: g.isNotNull()))
+    blocks = t_groups.select(F.col("part").alias("t_part"), "blocks").distinct().select("t_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t_block"))
+    keys = ["part", "block", "t_part", "t_block"]
+    asking = asked.crossJoin(F.broadcast(places)).withColumn("t_part", F.explode(reached)).drop("reach", "places").join(F.broadcast(blocks), "t_part")
     meeting = asking.select(*keys).distinct()
-    offered = held.select(F.col("cell").alias("t_cell"), F.col("block").alias("t_block"), "id", "v").join(meeting, ["t_cell", "t_block"])
+    offered = held.select(F.col("part").alias("t_part"), F.col("block").alias("t_block"), "id", "v").join(meeting, ["t_part", "t_block"])
 
     def compare(x, y):
         names = ["id", "own", "above", "best", "best_score", "compared"]

@@ -34,9 +34,9 @@ def test_pruned_ranks_equal_all_products(spark, tile):
     assert len(rows) == len(images) and {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in want.items()}
     assert all(got[i][1] == pytest.approx(want[i][1], abs=2e-9) for i in want)
     assert {r["n"] for r in rows} == {len(texts)}
-    # images whose own text is close need few of the others
+    # images whose own text is close need few of the others, where these fill several tiles
     near = [r["compared"] / r["n"] for r in rows if r["id"] % 5 and r["id"] % 17 and r["id"] < 240]
-    assert np.mean(near) < 0.4
+    assert np.mean(near) < 0.4 if tile == 16 else set(near) == {1.0}
 
 
 def test_no_reachable_cell_is_left_out():
