@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoquarry.llm.common import table
 
 #: Segments per vector, coarse to fine; candidates and queries of a block; candidates compared at once.
-LEVELS, CANDIDATES, QUERIES, TILE = (1, 4, 16), 8192, 1024, 1024
+LEVELS, CANDIDATES, QUERIES, TILE = (1, 4, 16), 8192, 8192, 1024
 TOP, SCALE, EVERY = 20, 64.0, 20
 
 
