@@ -36,7 +36,7 @@ def sweep_pairs(boxes, keys, bound=BOUND):
     rows is cut into strips of ``bound`` left edges each (by rank, so equal edges
     are cut as well); a box visits the later strips it reaches, a pair is found
     where the later of its left edges is at home, and the visitors of a strip are dealt
-    out so that a task holds at most about twice ``bound`` rows.
+    out by rank so that a task holds at most about twice ``bound`` rows.
     """
     keys = list(keys)
     rows = usable(boxes).select(*keys, "id", *[F.col(c).cast("double").alias(c) for c in CORNERS], F.col("role").cast("int").alias("role"))
@@ -46,12 +46,12 @@ def sweep_pairs(boxes, keys, bound=BOUND):
     # one left edge for each strip of a key
     edges = ranked.groupBy(*keys, "own").agg(F.min("xmin").alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     reach = ranked.join(edges, keys).withColumn("last", F.size(F.filter("edges", lambda e: e < F.col("xmax"))) - 1)
-    sent = reach.select(*rows.columns, "own", F.explode(F.sequence("own", F.greatest("own", "last"))).alias("strip")).withColumn(
+    sent = reach.select(*rows.columns, "_at", "own", F.explode(F.sequence("own", F.greatest("own", "last"))).alias("strip")).withColumn(
         "home", (F.col("own") == F.col("strip")).cast("int")
     )
     guests = sent.where("home = 0").groupBy(*keys, "strip").agg(F.ceil(F.count(F.lit(1)) / bound).cast("int").alias("parts"))
     dealt = sent.join(guests, [*keys, "strip"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    block = F.when(F.col("home") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    block = F.when(F.col("home") == 0, F.array((F.col("_at") % F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     cut = dealt.select(*rows.columns, "strip", F.explode(block).alias("block"), "home")
     names = [*keys, "strip", "block"]
     order = [*names, "xmin"]
