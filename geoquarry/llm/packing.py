@@ -14,7 +14,7 @@ from geoquarry.session import reliable_checkpoint
 
 CAPACITY, END = 2048, 1
 #: Distinct chunks, and distinct words, whose ids a worker remembers at once.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 
 #: Byte-level vocabularies name printable bytes by themselves and the others by code points from 256 on, in order.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}

@@ -24,6 +24,8 @@ SAMPLE_ROWS, COMMON = 5_000, 100_000
 #: Buckets over this size are compared from the rows outside their largest component only.
 LARGE = 512
 _SENT = 1 << 18
+#: Texts whose shingle sets are held at once.
+_TEXTS = 1024
 #: Bits of the filter that keeps texts without a candidate pair from being shuffled; once it is full, all are shuffled.
 _BITS = 1 << 23
 #: Least bits of a parity signature, and of the shorter one that goes along into the buckets.
@@ -98,7 +100,8 @@ def prints(docs, id_col="doc_id", text_col="text"):
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        # few texts at a time: their sets are larger than they are
+        for batch in (b.slice(at, _TEXTS) for b in batches for at in range(0, b.num_rows, _TEXTS)):
             sets = [shingle_set(t.as_py() or "") for t in batch.column(1)]
             node, fp = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: xxhash.xxh64_intdigest(s.tobytes()), lambda s: majority([s])))
             yield pa.RecordBatch.from_arrays(
