@@ -14,7 +14,7 @@ from geoquarry.session import reliable_checkpoint
 
 CAPACITY, END = 2048, 1
 #: Distinct chunks, and distinct words, whose ids a worker remembers at once.
-REMEMBERED = 150_000
+REMEMBERED = 600_000
 
 #: Byte-level vocabularies name printable bytes by themselves and the others by code points from 256 on, in order.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -43,10 +43,10 @@ class ChunkTokens:
     tokenizer's merges; anything else takes its whole way.
     """
 
-    def __init__(self, path):
+    def __init__(self, path, remembered=REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.encoder, self.known, self.words = Tokenizer.from_file(path), {}, {}
+        self.encoder, self.known, self.words, self.remembered = Tokenizer.from_file(path), {}, {}, remembered
         self.merges = self.encoder.model
 
     def _word(self, word):
@@ -64,9 +64,9 @@ class ChunkTokens:
     def ids(self, text):
         """Little-endian unsigned 32-bit ids, as bytes."""
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.remembered:
             self.words.clear()
         # split() also cuts at the four separator controls, which the tokenizer keeps
         chunks = _CHUNK.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
@@ -76,7 +76,7 @@ class ChunkTokens:
                 if ids is None:
                     chunk = chunks[i]
                     out[i] = ids = known.get(chunk) or self._chunk(chunk)
-                    if len(known) <= REMEMBERED:
+                    if len(known) <= self.remembered:
                         known[chunk] = ids
         return b"".join(out)
 
@@ -84,17 +84,18 @@ class ChunkTokens:
 PIECES = "doc_id {0}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, path=None, with_ids=False):
+def pieces(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, path=None, with_ids=False, remembered=REMEMBERED):
     """Tokens of each document and an end mark, cut into full pieces and a rest.
 
     A null or empty text is the end mark alone.  With ``with_ids`` the ids
     themselves come along as ``ids`` (binary, little-endian unsigned 32 bit).
+    ``remembered`` bounds the chunks that a task keeps encoded, a matter of memory and speed only.
     """
     path = path or tokenizer_path()
     schema = PIECES.format(docs.schema[id_col].dataType.simpleString()) + (", ids binary" if with_ids else "")
 
     def cut(batches):
-        tokens = ChunkTokens(path)
+        tokens = ChunkTokens(path, remembered)
         for batch in batches:
             names, which, rows, bodies = batch.column(0), [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -188,7 +189,7 @@ def slots(plan):
     return rows
 
 
-def pack(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, path=None, with_ids=False):
+def pack(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, path=None, with_ids=False, remembered=REMEMBERED):
     """Place every token piece of ``docs`` in a sequence of at most ``capacity`` ids.
 
     Output: the columns of :func:`pieces` and ``sequence_id``, ``offset`` (gapless
@@ -200,7 +201,7 @@ def pack(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, path=None, w
     equal rows are packed as often as they come, an empty table gives no rows, and
     other columns of the input are not read.
     """
-    cut = pieces(docs, id_col, text_col, capacity, path, with_ids).withColumn("_one", F.lit(1).cast("long"))
+    cut = pieces(docs, id_col, text_col, capacity, path, with_ids, remembered).withColumn("_one", F.lit(1).cast("long"))
     # range partitioning reads its input twice: once for the cuts
     ranked = running_totals(reliable_checkpoint(cut), ["length"], ["doc_id", "start", "ids_crc32"], ["_one"])
     # at most one row per possible length
