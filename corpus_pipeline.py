@@ -30,7 +30,9 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack_sequences(spark, docs, sf_dir):
-    return packing.pack(docs)
+    """Every piece of every document and its place in a sequence; nulls and empty texts are an end mark, an empty table gives no rows."""
+    # Python workers that ran the stages before have less room for remembered chunks
+    return packing.pack(docs, remembered=150_000)
 
 
 STAGES = [
